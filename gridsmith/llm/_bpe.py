@@ -55,7 +55,7 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _piece(self, piece: bytes) -> bytes:
-        return self._shown(piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.letters))
+        return self._shown(piece.decode() if piece.isalnum() else piece.decode("latin-1").translate(self.letters))
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "replace")

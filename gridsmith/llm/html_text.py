@@ -172,6 +172,8 @@ def page_text(page: str | None) -> str:
         first = m[0][0]
         top = stack[-1]
         if first != "<" or len(m[0]) == 1:
+            if top.kind == "closed":
+                continue
             if not top.hidden and top.tag not in ("tr", "thead", "tbody", "tfoot") or m[0].strip():
                 text = html.unescape(m[0]) if "&" in m[0] else m[0]
                 top.items.append(text if top.pre else text.replace("\x0b", " "))

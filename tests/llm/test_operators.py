@@ -1,0 +1,444 @@
+"""The operators against brute force, on small tables with the hard cases in them."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from gridsmith.llm import embedding_dedup, html_text, importance, mixing, packing, quality_rules, sharding, simhash, substring, token_files
+from gridsmith.llm._bpe import default_path
+from gridsmith.llm._components import components
+from gridsmith.llm._runs import runs
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string, taken string"
+rng = random.Random(5)
+VOCAB = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+
+
+def words(n, r):
+    return [r.choice(VOCAB) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(3)
+    passage, base = words(60, r), words(150, r)
+    texts = [" ".join(words(r.randint(1, 120), r)) for _ in range(40)]
+    texts += [" ".join(base), " ".join(base), " ".join(base[:70] + ["changed"] + base[70:]), " ".join(base).upper()]
+    texts += [" ".join(words(13, r) + passage + words(7, r)), "\n".join(words(5, r) + passage[5:50] + words(3, r)), " ".join(passage + passage)]
+    texts += ["", None, "  \n\t ", "x", " ".join(words(9000, r)), "Don't stop the '90s <|endoftext|> ½ 你好 É \x0b\x0c!", "a b c d e f " * 30, "Ab\x1cc d"]
+    out = [(i, t, ["en", "fr", None][i % 3], ["s1", "s2", "s1", "s3", None][i % 5], None if t is None else len(t), 7, "clash", "clash") for i, t in enumerate(texts)]
+    out += [(None, texts[2], "en", "s1", 3, 7, "c", None), (3, texts[3], "en", "s2", 3, 7, "c", None), (4, "other text for the same id", "en", "s2", 3, 7, "c", None)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, 0, 0), (3, None, None), (None, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def multiset(frame, columns):
+    return Counter(tuple(None if x is None or x is pd.NA else x for x in row) for row in frame.select(*columns).collect())
+
+
+@pytest.mark.parametrize("make", [
+    lambda d, lab: quality_rules.judge_documents(d, lab), lambda d, lab: packing.pack_documents(d), lambda d, lab: simhash.near_duplicates(d),
+    lambda d, lab: token_files.token_files(d), lambda d, lab: substring.remove_repeats(d), lambda d, lab: importance.importance_resample(d, lab),
+    lambda d, lab: sharding.shard_documents(d), lambda d, lab: mixing.mix_documents(d), lambda d, lab: mixing.mixed_documents(d),
+    lambda d, lab: importance.kept_documents(d, lab), lambda d, lab: substring.without_repeats(d), lambda d, lab: simhash.one_of_each(d),
+])
+def test_empty_tables(spark, docs, labels, make):
+    assert make(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def features(text):
+    w = WORD.findall(text or "")
+    at = defaultdict(list)
+    for i in range(len(w) - 4):
+        at[tuple(w[i : i + 5])].append(i)
+    covered = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(5)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_features(docs, labels, rows):
+    got = multiset(quality_rules.judge_documents(docs, labels), ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
+    want = Counter()
+    for r in rows:
+        f = features(r[1])
+        failed = f[0] < 10 or 100 * f[4] > 20 * f[0]
+        want[(r[0], *f, failed, not failed)] += 1  # too few labels for any cutoff
+    assert got == want
+
+
+def test_binomial_tail_is_exact(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(0, 50), (1, 50), (3, 1000), (9, 900), (0, 0), (20, 100), (25, 3000)]
+    got = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.01).alias("p")).collect()
+    for k, n, p in got:
+        want = 1.0 if not n or k >= n * 0.01 else math.fsum(math.comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(k + 1))
+        assert p == pytest.approx(want, rel=1e-9)
+
+
+def test_cutoffs_keep_the_risk(spark):
+    r = random.Random(1)
+    # rising shares of symbols: a tenth of the good documents have many
+    texts = [(i, " ".join(words(50, r) + ["#"] * (0 if i % 10 else i // 10 % 100)), "en" if i % 4 else None) for i in range(8000)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(8000)], "doc_id long, quality int, toxic int")
+    feats = quality_rules.features(d)
+    chosen = [c for c in quality_rules.cutoffs(feats, lab).collect() if c["rule"] == "symbols"]
+    assert {c["stratum"] for c in chosen} == {"en", None}
+    for c in chosen:
+        assert c["rejected"] / c["good"] <= 0.05 / len(quality_rules.RULES)
+        assert c["cutoff"] < 2.0
+    judged = quality_rules.judge_documents(d, lab)
+    assert judged.filter("not kept and not base_failed").count() <= 0.05 * 8000
+
+
+def reference_ids(texts, end):
+    t = Tokenizer.from_file(default_path())
+    return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_files_round_trip(spark, docs, rows):
+    ids = reference_ids([r[1] for r in rows], 2)
+    got = sorted(token_files.token_files(docs).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted([r[0] for r in rows], key=lambda x: (x is not None, x))
+    assert [r["start"] for r in got] == list(np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1])
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((r[0], len(x), crc(x)) for r, x in zip(rows, ids, strict=True))
+
+
+def test_token_files_give_the_ids(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/t"
+    token_files.write_token_files(docs, path, segment_ids=100)
+    for r in token_files.read_token_files(spark, path, with_ids=True).collect():
+        assert len(r["ids"]) == r["n_tokens"] and crc(r["ids"]) == r["ids_crc32"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
+@pytest.mark.parametrize("most", [1, 2, 300, 70000, 2**32])
+def test_blocks_round_trip(n, most):
+    g = np.random.default_rng(n)
+    ids = g.integers(0, most, n).astype(np.uint32)
+    ids[:: 40 + n // 100] = 2**32 - 1
+    payload, starts = token_files.pack(ids)
+    assert (token_files.unpack(payload, starts) == ids).all()
+    if len(starts) > 2:
+        assert (token_files.unpack(payload, starts[1:2]) == ids[256:512]).all()
+
+
+def test_packing(docs, rows):
+    ids = reference_ids([r[1] for r in rows], 1)
+    got = packing.pack_documents(docs).collect()
+    want = Counter((r[0], p, p * 4096, len(x[p * 4096 : (p + 1) * 4096]), crc(x[p * 4096 : (p + 1) * 4096])) for r, x in zip(rows, ids, strict=True) for p in range(-(-len(x) // 4096)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_sum_of_squares_takes_the_smallest_sum():
+    lengths = [random.Random(1).randint(1, 10) for _ in range(300)]
+    sequence, offset = packing.sum_of_squares(np.array(lengths), 10)
+    gaps = {}
+    for s, b, o in zip(lengths, sequence, offset, strict=True):
+        before = Counter(g for g in gaps.values() if g)
+
+        def after(gap, s=s, before=before):
+            n = Counter(before)
+            n[gap] -= 1
+            n[gap - s] += 1
+            return sum(v * v for g, v in n.items() if 0 < g < 10)
+
+        best = min(after(g) for g in {*before, 10} if g >= s)
+        assert after(gaps.get(b, 10)) == best and o == 10 - gaps.get(b, 10)
+        gaps[b] = gaps.get(b, 10) - s
+
+
+def fingerprint(text, k=4):
+    t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = WORD.findall(t)
+    shingles = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def grouped(n, linked):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if linked(a, b):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(n)]
+
+
+def test_simhash_near_duplicates(docs, rows):
+    fp = [fingerprint(r[1]) for r in rows]
+    root = grouped(len(rows), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4)
+    least = {c: min((r[0] for r, x in zip(rows, root, strict=True) if x == c and r[0] is not None), default=None) for c in root}
+    got = multiset(simhash.near_duplicates(docs), ["doc_id", "fingerprint", "component_id"])
+    assert got == Counter((r[0], f"{f:016x}", least[c]) for r, f, c in zip(rows, fp, root, strict=True))
+
+
+@pytest.mark.parametrize("limit", [3, 20_000])
+def test_simhash_links_lose_nothing(spark, limit):
+    r = random.Random(2)
+    centres = [r.getrandbits(64) for _ in range(6)]
+    fps = list({c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for c in centres for _ in range(60)} | {r.getrandbits(64) for _ in range(60)})
+    root = grouped(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    pairs = simhash.links(frame, limit=limit).collect()
+    place = {x: i for i, x in enumerate(signed)}
+    joined = {frozenset((place[a], place[b])) for a, b in pairs}
+    assert all((fps[i] ^ fps[j]).bit_count() <= 4 for i, j in map(tuple, joined))
+    assert grouped(len(fps), lambda a, b: frozenset((a, b)) in joined) == root
+
+
+def test_components_of_a_long_path(spark):
+    ids = list(range(300))
+    random.Random(1).shuffle(ids)
+    edges = [(ids[i], ids[i + 1]) for i in range(200)] + [(ids[201], ids[202]), (ids[202], ids[201]), (ids[250], ids[250])]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: min(ids[:201]) for x in ids[:201]} | {x: min(ids[201:203]) for x in ids[201:203]}
+
+
+def test_runs_cross_batches():
+    import pyarrow as pa
+
+    keys = [1, 1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4, 5, 5]
+    for size in (1, 2, 3, 5, 14):
+        batches = [pa.RecordBatch.from_pydict({"k": keys[i : i + size]}) for i in range(0, len(keys), size)]
+        seen, small = [], Counter()
+        for table, starts, chunk in runs(iter(batches), 3):
+            k = table["k"].to_pylist()
+            seen += k
+            assert chunk < 0 or set(k) == {3} and len(k) <= 3
+            if chunk < 0:
+                for a, b in zip(starts, [*starts[1:], len(k)], strict=True):
+                    small[k[a], b - a] += 1
+        assert seen == keys and small == {(1, 3): 1, (2, 1): 1, (4, 1): 1, (5, 2): 1}
+
+
+def test_substring_dedup(docs, rows):
+    seen, result = set(), {}
+    distinct = sorted({(-(1 << 63) if r[0] is None else r[0], np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode()))), r[1] or "") for r in rows})
+    for d, h, text in distinct:
+        w = WORD.findall(text)
+        gone = set()
+        for i in range(len(w) - 19):
+            run = tuple(w[i : i + 20])
+            if run in seen:
+                gone.update(range(i, i + 20))
+            seen.add(run)
+        result[d, text] = (len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
+    assert sum(x[1] for x in result.values()) > 100
+    want = Counter((r[0], *result[-(1 << 63) if r[0] is None else r[0], r[1] or ""]) for r in rows)
+    assert multiset(substring.remove_repeats(docs), ["doc_id", "n_words", "n_removed", "kept_sha256"]) == want
+
+
+def test_substring_dedup_of_repeats_at_every_phase(spark):
+    r = random.Random(9)
+    pool = [words(40, r) for _ in range(6)]
+    rows = [(i, " ".join(sum((words(r.randint(0, 15), r) + r.choice(pool)[r.randint(0, 15) : r.randint(18, 40)] for _ in range(4)), []))) for i in range(80)]
+    seen, want = set(), Counter()
+    for d, text in rows:
+        w = text.split()
+        gone = {j for i in range(len(w) - 19) if tuple(w[i : i + 20]) in seen or seen.add(tuple(w[i : i + 20])) for j in range(i, i + 20)}
+        want[d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()] += 1
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), with_text=True)
+    assert multiset(got, ["doc_id", "n_words", "n_removed", "kept_sha256"]) == want
+    assert all(hashlib.sha256(x["kept_text"].encode()).hexdigest() == x["kept_sha256"] for x in got.collect())
+
+
+def test_importance_separates_and_counts(spark):
+    r = random.Random(4)
+    good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]
+    rows = [(i, " ".join(r.choice(bad if i % 4 == 0 else good) for _ in range(40))) for i in range(600)]
+    lab = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 300)], "doc_id long, quality int, toxic int")
+    got = importance.importance_resample(spark.createDataFrame(rows, "doc_id long, text string"), lab).collect()
+    assert sorted(x["rank"] for x in got) == list(range(1, 601))
+    assert sum(x["kept"] for x in got) == 450
+    held_out = [x for x in got if x["doc_id"] >= 300]
+    assert sum(x["kept"] == (x["doc_id"] % 4 != 0) for x in held_out) >= 0.99 * len(held_out)
+    key = sorted(got, key=lambda x: -x["sample_key"])
+    assert [x["rank"] for x in key] == list(range(1, 601))
+
+
+def test_importance_without_labels_keeps_all(docs, labels, rows):
+    got = importance.importance_resample(docs, labels.limit(0))
+    assert got.count() == len(rows) == got.filter("kept and log_weight = 0").count()
+
+
+def scalar_jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) & (2**64 - 1)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash_law():
+    keys = np.arange(-2000, 20000)
+    shards = [sharding.jump_hash(keys, n) for n in range(1, 40)]
+    mixed = sharding.mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    assert all(scalar_jump(int(k), 16) == s for k, s in zip(mixed[:500], shards[15][:500], strict=True))
+    for n, (a, b) in enumerate(zip(shards, shards[1:], strict=False), 1):
+        moved = a != b
+        assert (b[moved] == n).all() and abs(moved.mean() - 1 / (n + 1)) < 0.02
+
+
+def test_sharding(docs, rows, spark, tmp_path):
+    got = sharding.shard_documents(docs).collect()
+    want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert Counter((x["doc_id"], x["size"], x["text_crc32"]) for x in got) == want
+    for shard in range(16):
+        own = sorted((x["slot"], x["doc_id"] if x["doc_id"] is not None else -1) for x in got if x["shard"] == shard)
+        assert [x[0] for x in own] == list(range(len(own))) and [x[1] for x in own] == sorted(x[1] for x in own)
+    assert all(x["grown_shard"] in (x["shard"], 16) and x["law"] == "key" for x in got)
+    sharding.write_shards(docs.select("doc_id", "text"), f"file://{tmp_path}/s")
+    assert Counter(x["shard"] for x in got) == Counter(x["shard"] for x in spark.read.parquet(f"file://{tmp_path}/s").collect())
+
+
+def brute_targets(sizes, weights, share, cap):
+    aim, open_ = {}, set(sizes)
+    rest = share * sum(sizes.values())
+    while open_:
+        level = rest / sum(weights[s] for s in open_)
+        over = {s for s in open_ if level * weights[s] > cap * sizes[s]}
+        if not over:
+            return aim | {s: level * weights[s] for s in open_}
+        aim |= {s: cap * sizes[s] for s in over}
+        rest -= sum(cap * sizes[s] for s in over)
+        open_ -= over
+    return aim
+
+
+def test_mixing(docs, rows):
+    got = mixing.mix_documents(docs, block=16).collect()
+    assert Counter((x["doc_id"], x["size"]) for x in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
+    names = sorted({r[3] for r in rows} - {None}) + [None]
+    sizes = {s: sum(len(WORD.findall(r[1] or "")) for r in rows if r[3] == s) for s in names}
+    aim = brute_targets(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, 1.5, 2)
+    taken = Counter()
+    for x in got:
+        assert x["source_size"] == sizes[x["source"]] and x["target"] == pytest.approx(aim[x["source"]])
+        assert 0 <= x["taken"] <= 2 * x["size"]
+        taken[x["source"]] += x["taken"]
+    assert all(abs(taken[s] - aim[s]) <= 32 for s in names)
+    assert got == mixing.mix_documents(docs.repartition(3), block=16).collect() or multiset(mixing.mix_documents(docs.repartition(3), block=16), ["doc_id", "taken"]) == Counter((x["doc_id"], x["taken"]) for x in got)
+
+
+def test_apportionment_is_by_highest_quotients(spark):
+    r = random.Random(6)
+    for seats, aims in ((17, [53.0, 24.0, 23.0]), (60, [r.random() * 10 ** r.randint(0, 4) for _ in range(25)]), (9, [5.0] * 4), (0, [0.0, 0.0])):
+        block = sum(aims) / seats if seats else 1.0
+        frame = spark.createDataFrame([(i, a) for i, a in enumerate(aims)], "rank int, target double")
+        got = {x["rank"]: x["quota"] for x in mixing.apportioned(frame, block).collect()}
+        quotients = sorted(((-a / (2 * j + 1), i) for i, a in enumerate(aims) for j in range(seats)))[:seats]
+        assert got == {i: sum(q[1] == i for q in quotients) for i in range(len(aims))}
+
+
+def test_shard_quotas(spark):
+    quotas = spark.createDataFrame([(1, 10), (2, 3), (3, 0), (4, 7)], "rank int, quota long")
+    got = mixing.shard_quotas(quotas, 4).collect()
+    for rank, quota in ((1, 10), (2, 3), (3, 0), (4, 7)):
+        own = [x["quota"] for x in got if x["rank"] == rank]
+        assert sum(own) == quota and max(own) - min(own) <= 1
+    sums = [sum(x["quota"] for x in got if x["shard"] == s) for s in range(4)]
+    assert max(sums) - min(sums) <= 1
+
+
+@pytest.mark.parametrize("limit", [5, 4096])
+def test_embedding_near_duplicates(spark, limit):
+    g = np.random.default_rng(3)
+    centres = g.normal(size=(5, 20))
+    x = [c + g.normal(size=20) * s for c in centres for s in (0.02, 0.1, 0.14, 0.2) for _ in range(12)] + list(g.normal(size=(30, 20)))
+    x += [x[0], x[0], 3 * x[1], 0 * x[0]]
+    rows = [(i * 7 % 1000, v.tolist(), i % 3 if i % 3 else 1, "x") for i, v in enumerate(x)]
+    rows += [(2000, None, 1, "x"), (2001, [1.0, None], 1, "x"), (2002, [float("nan")] * 20, 1, "x"), (2003, x[0].tolist(), None, "x"), (2004, [], 1, "x"), (2005, [1.0] * 7, 1, "x"), (2006, [2.0] * 7, 1, "x"), (None, x[2].tolist(), 1, "x"), (14, x[5].tolist(), 2, "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cell string")
+
+    def linked(a, b):
+        u, v = rows[a], rows[b]
+        if u[2] is None or u[2] != v[2] or not u[1] or not v[1] or len(u[1]) != len(v[1]) or None in u[1] or None in v[1]:
+            return False
+        p, q = np.array(u[1]), np.array(v[1])
+        if not (np.isfinite(p).all() and np.isfinite(q).all() and p.any() and q.any()):
+            return False
+        return p @ q / np.sqrt(p @ p) / np.sqrt(q @ q) >= 0.98
+
+    n = len(rows)
+    near = {(a, b) for a in range(n) for b in range(n) if a != b and linked(a, b)}
+    root = grouped(n, lambda a, b: (a, b) in near)
+    least = {c: min((rows[i][0] for i in range(n) if root[i] == c and rows[i][0] is not None), default=None) for c in root}
+    want = Counter((rows[i][0], sum(a == i for a, _ in near), least[root[i]], rows[i][0] == least[root[i]]) for i in range(n))
+    original = embedding_dedup.links
+    try:
+        embedding_dedup.links = lambda classes, cosine: original(classes, cosine, limit=limit)
+        got = multiset(embedding_dedup.near_duplicates(frame), ["vec_id", "n_links", "component_id", "kept"])
+    finally:
+        embedding_dedup.links = original
+    assert len(near) > 500 and got == want
+
+
+def test_embedding_empty(spark):
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+PAGES = [
+    (None, ""), ("", ""), ("plain &amp; text", "plain & text"), ("<p>a<p>b", "a\n\nb"), ("a<br>b<br/>c", "a\nb\nc"),
+    ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "- a\n- b\n  - c\n- d"), ("<ol start=3><li>a<li>b</ol>", "3. a\n4. b"),
+    ("<table><tr><th>Name<th>n<tr><td>apple<td>1<tr><td>fig<td>22</table>", "Name  | n\napple | 1\nfig   | 22"),
+    ("<table><tr><td colspan=2>wide one<tr><td>a<td>b</table>after", "wide one\na | b\n\nafter"),
+    ("<head><title>t</title></head>x<script>if (a < b) '</p>'</script><style>p{}</style><!-- c -->y", "xy"),
+    ("<div hidden>no</div>a<span style='DISPLAY : none'>no</span>b<input type=hidden value=no>", "ab"),
+    ("<pre>\n a\n   b\n</pre>c", " a\n   b\n\nc"), ("<details><summary>s</summary>no</details><details open><summary>s</summary>yes</details>", "s\ns\nyes"),
+    ("<b>a<p>b</b>c", "a\n\nbc"), ("1 < 2 <", "1 < 2 <"), ("<div>a<div>b</div>c</div>", "a\nb\nc"), ("<p title='a>b'>x", "x"), ("</p>a</div></td>b", "ab"),
+    ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"), ("<textarea>a <b></textarea>", "a <b>"), ("<select><option>a<option>b</select>", "a\nb"),
+]
+
+
+@pytest.mark.parametrize("page,want", PAGES)
+def test_page_text(page, want):
+    assert html_text.page_text(page) == want
+
+
+def test_extract_text_rows(spark):
+    rows = [(i, None if i % 2 else "u", p, "clash") for i, (p, _) in enumerate(PAGES)] + [(None, None, "<div>" * 30000 + "deep", "x")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert Counter((x["page_id"], x["text"]) for x in got) == Counter([(i, t) for i, (_, t) in enumerate(PAGES)] + [(None, "deep")])
+    assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
