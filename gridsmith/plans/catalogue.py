@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gridsmith.plans import parsing, reviewing
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = parsing.QUERIES | reviewing.QUERIES
+ORACLES = parsing.ORACLES | reviewing.ORACLES
 FLAGSHIP = "locale_parse_totals"
