@@ -20,7 +20,9 @@ from gridsmith.llm._words import LOWER, SPACE, U64, Texts, hashed
 
 #: the pre-tokenizer's own pattern (fixed value)
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-MEMO = 800_000
+#: pieces kept by a worker, and bytes of text in work at once: together some 200 MB
+MEMO = 350_000
+SLICE_BYTES = 3 << 19
 
 _KIND = np.full(256, 3, np.uint8)
 _KIND[SPACE] = 0

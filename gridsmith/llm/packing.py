@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.llm._bpe import default_path, encoder
+from gridsmith.llm._bpe import SLICE_BYTES, default_path, encoder
 from gridsmith.llm._scratch import partitions
 from gridsmith.llm._words import slices
 
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None,
         part, done = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             keys = batch.column(0)
-            for row, texts in slices(batch.column(1)):
+            for row, texts in slices(batch.column(1), SLICE_BYTES):
                 ids, offsets = encoder(at).encode(texts)
                 lens = np.diff(offsets) + 1
                 begins = np.cumsum(lens) - lens

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsmith.llm._bpe import default_path, encoder
+from gridsmith.llm._bpe import SLICE_BYTES, default_path, encoder
 from gridsmith.llm._scratch import scratch_dir
 from gridsmith.llm._words import slices
 
@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys = batch.column(0)
-            for row, texts in slices(batch.column(1)):
+            for row, texts in slices(batch.column(1), SLICE_BYTES):
                 ids, offsets = encoder(at).encode(texts)
                 lens = np.diff(offsets) + 1
                 ends = np.cumsum(lens)
