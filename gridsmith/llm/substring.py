@@ -45,8 +45,8 @@ class _Reader:
 
 
 def _pack(docs: np.ndarray, place: np.ndarray, hashes: np.ndarray | None, width: int) -> bytes:
-    """Windows of rising (document, place): docs is a matrix of one or two key columns, row by window."""
-    change = np.concatenate([[True], (docs[1:] != docs[:-1]).any(1)])
+    """Windows in runs of one document and rising places: docs is a matrix of one or two key columns, row by window."""
+    change = np.concatenate([[True], (docs[1:] != docs[:-1]).any(1) | (place[1:] < place[:-1])])
     first = np.flatnonzero(change)
     counts = np.diff(np.append(first, len(place)))
     step = np.diff(place, prepend=0)
@@ -80,15 +80,62 @@ def _by_bucket(bucket: np.ndarray, docs: np.ndarray, place: np.ndarray, hashes:
     return [(int(bucket[a]), False, _pack(docs[a:b], place[a:b], hashes[a:b], width)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _by_document(docs: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, payload: a row for each document (first key column) with its packed windows."""
-    if not len(place):
-        return
+def _by_group(docs: np.ndarray, place: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """Windows packed for each group of documents, of n, by the first key column."""
+    if len(place):
+        group = (mixed(docs[:, 0].view(U64)) % U64(n)).astype(np.int32)
+        order = np.lexsort([place, *docs.T[::-1], group])
+        docs, place, group = docs[order], place[order], group[order]
+        edge = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
+        yield _rows([(int(group[a]), True, _pack(docs[a:b], place[a:b], None, 0)) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+
+
+def _binary(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary value for each count, of so many rows of data."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]) * (data.nbytes // max(1, len(data)))
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _of_documents(column: pa.Array, kind: type, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the row, record) for all records in a column of _binary() values; null has none."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offs, data = column.buffers()
+    offsets = np.frombuffer(offs, np.int64, count=len(column) + 1, offset=column.offset * 8)
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    records = raw.view(kind).reshape(-1, width)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // (width * np.dtype(kind).itemsize)), records
+
+
+def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
+    """All windows of a group of documents, each once, by document and place."""
+    got = [_unpack(x, 0)[:2] for batch in batches for x in batch.column(2).to_pylist()]
+    if not got:
+        return None
+    docs, place = (np.concatenate(x) for x in zip(*got, strict=True))
     order = np.lexsort([place, *docs.T[::-1]])
     docs, place = docs[order], place[order]
-    edge = np.append(np.flatnonzero(np.concatenate([[True], docs[1:, 0] != docs[:-1, 0]])), len(place)).tolist()
-    packed = [_pack(docs[a:b], place[a:b], None, 0) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(docs[edge[:-1], 0]), pa.array(packed, pa.binary())], names=["id", "payload"])
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]).any(1) | (place[1:] != place[:-1])])
+    return docs[new], place[new]
+
+
+def _hits_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, packed: a row for each document with the places of its hits (int32)."""
+    if found := _collected(batches):
+        ids, place = found[0][:, 0], found[1].astype("<i4")
+        first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), _binary(place[:, None], np.diff(np.append(first, len(ids)))).cast(pa.binary())], names=["id", "packed"])
+
+
+def _late_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, packed: a row for each document with runs of late windows (text hash, first and last place, int64)."""
+    if found := _collected(batches):
+        docs, place = found
+        new = np.concatenate([[True], (docs[1:] != docs[:-1]).any(1) | (place[1:] != place[:-1] + 1)])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(place)) - 1
+        ids, record = docs[at, 0], np.stack([docs[at, 1], place[at], place[last]], 1).astype("<i8")
+        first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[first]), _binary(record, np.diff(np.append(first, len(ids)))).cast(pa.binary())], names=["id", "packed"])
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
@@ -96,7 +143,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
 
     A word goes if a run of `window` words that covers it also starts earlier: in a smaller doc_id, or further up in
     the same document.  Runs are judged on the input.  Rows of one doc_id stand in the order of a hash of their
-    texts; rows that agree in both are one document and give equal results.  A null doc_id comes before all others.  A
+    texts; rows that agree in both are one document and give equal results.  A null doc_id comes before all others (and is
+    held as the least long, which no document may have).  A
     null text has no words.  An empty table gives none; other columns are left out, whatever their names.
 
     Runs are told apart by 64-bit hashes.  A task holds the windows of 1 / spark.sql.shuffle.partitions of the words,
@@ -138,7 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
             for hits, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 docs, place, short = _unpack(payload, 5)
                 if hits:
-                    yield from _by_document(docs, place)
+                    yield from _by_group(docs, place, n)
                 else:
                     got.append((short, docs[:, 0], place.astype(np.int32)))
         if not got:
@@ -150,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
         size = np.diff(np.append(first, len(key)))
         has = (short[order[first + size - 1]] & U64(1)).astype(bool)  # blocks come last in their run
         at = order[np.repeat((size > 1) & has, size)]
-        yield from _by_document(np.concatenate([x[1] for x in got])[at, None], np.concatenate([x[2] for x in got])[at].astype(np.int64))
+        yield from _by_group(np.concatenate([x[1] for x in got])[at, None], np.concatenate([x[2] for x in got])[at].astype(np.int64), n)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,14 +208,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
                 starts = len(h) - half
                 if starts <= 0:
                     continue
-                near = np.zeros(len(doc) + 1, np.int64)  # marks of windows that hold a hit
                 ids = rows.column(0).to_numpy()[at : at + len(texts)]
-                for i, packed in enumerate(rows.column(2).slice(at, len(texts)).to_pylist()):
-                    base, size = int(texts.word_offsets[i]), int(texts.n_words[i])
-                    hit = np.concatenate([_unpack(x, 0)[1] for x in packed])
-                    hit = hit[hit <= size - half]  # those of another row of this doc_id may lie beyond
-                    np.add.at(near, base + np.maximum(hit - half, 0), 1)
-                    np.add.at(near, base + hit + 1, -1)
+                of, hit = _of_documents(rows.column(2).slice(at, len(texts)), np.int32, 1)
+                hit = hit[:, 0].astype(np.int64)
+                fits = hit <= texts.n_words[of] - half  # those of another row of this doc_id may lie beyond
+                of, hit = texts.word_offsets[of[fits]], hit[fits]
+                size = len(doc) + 1  # marks of windows that hold a hit
+                near = np.bincount(of + np.maximum(hit - half, 0), minlength=size) - np.bincount(of + hit + 1, minlength=size)
                 ok = (np.cumsum(near)[:starts] > 0) & (doc[window - 1 :] == doc[:starts])
                 s = np.flatnonzero(ok)
                 if not len(s):
@@ -181,10 +228,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
         """Of equal windows the earliest goes on to the others' bucket; the rest repeat it."""
         late = _late(whole, keys, place)
         bucket = ((whole >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
-        order = np.lexsort([place, keys[:, 1], keys[:, 0]])
-        k, p, w, b, late = keys[order], place[order], whole[order], bucket[order], late[order]
-        own = [(int(b[0]), True, _pack(k[late], p[late], None, 0))] if late.any() else []
-        yield _rows(own + _by_bucket(b[~late], k[~late], p[~late], w[~late], 8))
+        own = [(int(bucket[0]), True, _pack(keys[late], place[late], None, 0))] if late.any() else []
+        first = ~late
+        yield _rows(own + _by_bucket(bucket[first], keys[first], place[first], whole[first], 8))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
@@ -192,34 +238,32 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
             for hits, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 keys, place, whole = _unpack(payload, 8)
                 if hits:
-                    yield from _by_document(keys, place)
+                    yield from _by_group(keys, place, n)
                 else:
                     got.append((whole, keys, place))
         if got:
             whole, keys, place = (np.concatenate(x) for x in zip(*got, strict=True))
             late = _late(whole, keys, place)
-            yield from _by_document(keys[late], place[late])
+            yield from _by_group(keys[late], place[late], n)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column(1)):
-                gone = np.zeros(len(texts.starts) + 1, np.int64)
-                for i, packed in enumerate(batch.column(2).slice(at, len(texts)).to_pylist()):
-                    if packed:
-                        own = np.array([xxhash.xxh64_intdigest(texts.text(i))], U64).view(np.int64)[0]
-                        for x in packed:
-                            keys, place, _ = _unpack(x, 0)
-                            place = place[keys[:, 1] == own] + int(texts.word_offsets[i])
-                            np.add.at(gone, place, 1)
-                            np.add.at(gone, place + window, -1)
+                of, run = _of_documents(batch.column(2).slice(at, len(texts)), np.int64, 3)
+                own = np.zeros(len(texts), np.int64)
+                for i in np.unique(of).tolist():
+                    own[i] = np.array(xxhash.xxh64_intdigest(texts.text(i)), U64).view(np.int64)
+                mine = run[:, 0] == own[of]
+                base, run, size = texts.word_offsets[of[mine]], run[mine], len(texts.starts) + 1
+                gone = np.bincount(base + run[:, 1], minlength=size) - np.bincount(base + run[:, 2] + window, minlength=size)
                 stays = np.cumsum(gone)[:-1] == 0
                 data, ends, offsets = joined(texts, stays)
                 lens = [(int(ends[a - 1]) + 1 if a else 0, int(ends[b - 1]) if b > a else -1) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 kept = [data[a:b] if b >= 0 else b"" for a, b in lens]
                 columns = [
-                    batch.column(3).slice(at, len(texts)), pa.array(texts.n_words.astype(np.int64)), pa.array((texts.n_words - np.diff(offsets)).astype(np.int64)),
+                    batch.column(0).slice(at, len(texts)), pa.array(texts.n_words.astype(np.int64)), pa.array((texts.n_words - np.diff(offsets)).astype(np.int64)),
                     pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
                 ]
                 if with_text:
@@ -227,28 +271,32 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    # dealt once; probing, extending and finishing read the same exchange
-    dealt = docs.select(key.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id")).repartition(n, "id")
+    # dealt once: probing, extending and finishing read the same exchange, as they read the same columns
+    dealt = docs.select(key.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartition(n, "id")
 
-    def met(packed: DataFrame, then) -> DataFrame:
-        each = packed.repartitionById(n, "bucket").mapInArrow(then, "id long, payload binary")
-        return each.groupBy("id").agg(F.collect_list("payload").alias("packed"))
+    def met(packed: DataFrame, then, merge) -> DataFrame:
+        """Windows go to the task of their hashes, what is found to that of a group of documents; a row for each document."""
+        each = packed.repartitionById(n, "bucket").mapInArrow(then, _PACKED)
+        return each.repartitionById(n, "bucket").mapInArrow(merge, "id long, packed binary")
 
-    hits = met(dealt.mapInArrow(probe, _PACKED), meet)
-    late = met(dealt.join(hits, "id").select("id", "text", "packed").mapInArrow(extend, _PACKED), decide)
+    hits = met(dealt.mapInArrow(probe, _PACKED), meet, _hits_of_documents)
+    late = met(dealt.join(hits, "id").select("id", "text", "packed").mapInArrow(extend, _PACKED), decide, _late_of_documents)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return dealt.join(late, "id", "left").select("id", "text", "packed", "doc_id").mapInArrow(finish, schema)
+    out = dealt.join(late, "id", "left").select("id", "text", "packed").mapInArrow(finish, schema)
+    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))
 
 
 def _late(whole: np.ndarray, keys: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Whether an equal window starts earlier; a window that is there twice, key and place alike, is one."""
-    order = np.lexsort([place, keys[:, 1], keys[:, 0], whole])
-    w = whole[order]
-    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-    lead = order[np.repeat(first, np.diff(np.append(first, len(w))))]
-    same = (keys[order] == keys[lead]).all(1) & (place[order] == place[lead])
     out = np.zeros(len(whole), bool)
-    out[order] = ~same
+    order = np.argsort(whole)
+    same = whole[order[1:]] == whole[order[:-1]]
+    some = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(whole) else order
+    some = some[np.lexsort([place[some], keys[some, 1], keys[some, 0], whole[some]])]
+    w = whole[some]
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+    lead = some[np.repeat(first, np.diff(np.append(first, len(w))))]
+    out[some] = ~((keys[some] == keys[lead]).all(1) & (place[some] == place[lead]))
     return out
 
 
