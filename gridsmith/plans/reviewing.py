@@ -92,14 +92,14 @@ def _all_results(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def rule_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over all orders, in one row a rule."""
-    cells = _checked(spark, sf_dir)
+    cells = _checked(spark, sf_dir).persist()  # five rules read it
     results, tested = _all_results(cells)
     per_table = rules.summaries(results, tested, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id")))
     return per_table.groupBy("rule").agg(F.sum("tested").alias("tested"), F.sum("failed").alias("failed"), F.count_if(F.col("status") == "failed").alias("tables_failed"))
 
 
 def unresolved_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _checked(spark, sf_dir)
+    cells = _checked(spark, sf_dir).persist()
     results, _ = rules.check_cells(cells)
     return rules.unresolved(results, cells).groupBy("rule").agg(F.count("*").alias("n"))
 

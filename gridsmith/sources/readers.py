@@ -40,10 +40,15 @@ def truth(spark: SparkSession, folder: str) -> DataFrame:
     """document, table_no, row, col, text, type, is_header, box, page of all truth files of a folder."""
     d = spark.read.schema(TRUTH_SCHEMA).option("multiLine", True).option("pathGlobFilter", "*.truth.json").json(folder)
     t = d.select("document", F.posexplode("tables").alias("table_no", "t"))
-    rows = t.select("document", "table_no", "t", F.posexplode("t.cells").alias("row", "r"))
-    cells = rows.select("document", "table_no", "t", "row", F.posexplode("r").alias("col", "text"))
-    pick = lambda x: F.get(F.get(x, F.col("row")), F.col("col"))
-    return cells.select("document", "table_no", "row", "col", "text", F.get("t.columnTypes", F.col("col")).alias("type"), (F.col("row") < F.col("t.headerRows")).alias("is_header"), pick(F.col("t.cellRects")).alias("box"), pick(F.col("t.cellPages")).alias("page"), F.col("t.numberFormat").alias("number_format"))
+    kept = ["headerRows", "cellRects", "cellPages", "numberFormat", "columnTypes"]
+    grid = F.flatten(F.transform("t.cells", lambda r, i: F.transform(r, lambda x, j: F.struct(i.alias("row"), j.alias("col"), x.alias("text")))))
+    t = t.select("document", "table_no", grid.alias("grid"), *[F.col(f"t.{k}").alias(k) for k in kept])
+    cells = t.select("document", "table_no", *kept, F.explode("grid").alias("c"))
+    pick = lambda x: F.get(F.get(F.col(x), F.col("c.row")), F.col("c.col"))
+    return cells.select(
+        "document", "table_no", "c.row", "c.col", "c.text", F.get("columnTypes", F.col("c.col")).alias("type"), (F.col("c.row") < F.col("headerRows")).alias("is_header"),
+        pick("cellRects").alias("box"), pick("cellPages").alias("page"), F.col("numberFormat").alias("number_format"),
+    )
 
 
 def tokens(spark: SparkSession, path: str) -> DataFrame:
