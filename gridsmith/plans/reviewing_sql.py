@@ -74,8 +74,10 @@ select document_id, n, 3 * case turn when 0 then u0 when 1 then v0 when 2 then 5
 from c""",
     "rect_iou": f"with {_PAIRS} select d document_id, n, round(coalesce(shared / nullif(aa + bb - shared, 0), 0), 9) iou from p",
     "candidate_anti_filter": f"""
-with {_PAIRS} select l_orderkey document_id, l_linenumber n from lineitem l where l_linenumber > 1
-  and not exists (from p where p.d = l_orderkey and p.n = l_linenumber and shared / nullif(aa + bb - shared, 0) > 0.31417)""",
+with b as (select l_orderkey d, l_linenumber n, {_BOX} from lineitem)
+select d document_id, n from b where n > 1 and not exists (
+  select 1 from (select greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) shared, a.w * a.h + b.w * b.h whole
+    from b a where a.d = b.d and a.n = 1) where shared > 0.31417 * (whole - shared))""",
     "best_candidate": f"with {_PAIRS} select d id, max_by(n, (shared, -n)) candidate_id from p where shared > 0 and shared >= 0.5 * least(aa, bb) group by 1",
     "point_hit": f"""
 with b as (select l_orderkey d, l_linenumber n, {_BOX} from lineitem)
