@@ -47,7 +47,26 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from f left join listed using (row_no)"""
 
 
-_MIX_SIZES = f"""
-sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint size from documents)"""
+_SUBSTRING_DEDUP = f"""
+with w as (select row_number() over () row_no, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') words from documents),
+runs as (select row_no, doc_id, i, array_to_string(words[i : i + 19], ' ') run from (select row_no, doc_id, words, unnest(range(1, len(words) - 18)) i from w)),
+late as (select row_no, i from (select row_no, i, row_number() over (partition by run order by doc_id, i) k from runs) where k > 1),
+gone as (select distinct row_no, unnest(range(i, i + 20)) j from late),
+each as (select row_no, unnest(words) word, generate_subscripts(words, 1) j from w),
+kept as (select row_no, string_agg(word, ' ' order by j) t from each anti join gone using (row_no, j) group by row_no),
+counts as (select row_no, count(*) n from gone group by row_no)
+select doc_id, len(words)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
+from w left join kept using (row_no) left join counts using (row_no)"""
 
-SQL = {"op1_quality_rules": _quality_rules()}
+_EMBEDDING_DEDUP = """
+with recursive v as (select row_number() over () r, vec_id, label, embedding::double[] e from embeddings),
+able as (
+  select r, vec_id, label, e, sqrt(list_inner_product(e, e)) norm from v
+  where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_inner_product(e, e) > 0),
+links as (select a.r, b.r s from able a join able b on a.label = b.label and a.r != b.r and len(a.e) = len(b.e) where list_inner_product(a.e, b.e) / a.norm / b.norm >= 0.98),
+reach(r, s) as (select r, r from v union select reach.r, links.s from reach join links on reach.s = links.r),
+parts as (select reach.r, min(v.vec_id) component_id from reach join v on v.r = reach.s group by 1),
+counts as (select r, count(*) n from links group by 1)
+select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_id kept from v join parts using (r) left join counts using (r)"""
+
+SQL = {"op1_quality_rules": _quality_rules(), "op6_substring_dedup": _SUBSTRING_DEDUP, "op10_embedding_dedup": _EMBEDDING_DEDUP}
