@@ -17,7 +17,8 @@ from gridsmith.llm._scratch import partitions, written
 from gridsmith.llm._words import U64, Texts, mixed, slices, windows
 
 BUCKET_BITS = 20
-PART_BITS = 14
+SLICE_BYTES = 1 << 20
+PART_BITS = 12
 
 
 def _features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -50,24 +51,24 @@ def log_ratios(docs: DataFrame, target: DataFrame, z: float = 4.0) -> np.ndarray
     n, parts = 1 << BUCKET_BITS, 1 << (BUCKET_BITS - PART_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, aim = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        raw, aim = np.zeros(n, np.int32), np.zeros(n, np.int32)
         for batch in batches:
             is_target = batch.column(1).to_numpy(zero_copy_only=False)
-            for at, texts in slices(batch.column(0)):
+            for at, texts in slices(batch.column(0), SLICE_BYTES):
                 bucket, doc = _features(texts)
-                raw += np.bincount(bucket, minlength=n)
-                aim += np.bincount(bucket[is_target[at + doc]], minlength=n)
+                np.add.at(raw, bucket, 1)
+                np.add.at(aim, bucket[is_target[at + doc]], 1)
         for p in np.flatnonzero(raw.reshape(parts, -1).any(1)).tolist():
-            both = np.stack([x.reshape(parts, -1)[p] for x in (raw, aim)]).astype("<i8")
-            planes = np.ascontiguousarray(both.view(np.uint8).reshape(-1, 8).T)  # high bytes are zeros and compress
+            both = np.stack([x.reshape(parts, -1)[p] for x in (raw, aim)]).astype("<i4")
+            planes = np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T)  # high bytes are zeros and compress
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([planes.tobytes()], pa.binary())], names=["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-                got = np.ascontiguousarray(planes.T).view("<i8").reshape(2, -1)
+                planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
+                got = np.ascontiguousarray(planes.T).view("<i4").reshape(2, -1).astype(np.int64)
                 sums[p] = sums[p] + got if p in sums else got
         for p, both in sums.items():
             at = np.flatnonzero(both[0])
@@ -107,16 +108,16 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), SLICE_BYTES):
                 bucket, doc = _features(texts)
                 sums = np.bincount(doc, ratios.value[bucket], len(texts))
                 mean = sums / np.maximum(np.bincount(doc, minlength=len(texts)), 1)
                 own = ids.slice(at, len(texts))
-                key = mixed(own.fill_null(-1).to_numpy().astype(np.int64).view(U64) + U64(seed) * U64(0x9E3779B97F4A7C15))
+                key = mixed(own.fill_null(-1).to_numpy().astype(np.int64).view(U64) + U64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
                 noise = -np.log(-np.log(((key >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)))
                 yield pa.RecordBatch.from_arrays([own, pa.array(mean), pa.array(sharpness * mean + noise)], names=["doc_id", "log_weight", "sample_key"])
 
-    keyed = docs.mapInArrow(weigh, "doc_id long, log_weight double, sample_key double")
+    keyed = written(docs.mapInArrow(weigh, "doc_id long, log_weight double, sample_key double"))  # once, though its ranges are sampled
     order = [F.desc("sample_key"), F.asc_nulls_last("doc_id")]
     ranged = written(keyed.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
     counts = ranged.groupBy("range").agg(F.count("*").alias("n"))
