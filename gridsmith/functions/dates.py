@@ -64,8 +64,8 @@ def parse_dates(df: DataFrame, raw: str, order: Column | str, out: str) -> DataF
         },
     ]
     kept = df.columns
-    for stage in stages:
-        df = df.withColumns({p + k: v for k, v in stage.items()})
+    # one select: later columns name earlier ones, and Spark lays the projections one on another
+    df = df.select("*", *[v.alias(p + k) for stage in stages for k, v in stage.items()])
     both = F.coalesce(c("both"), F.lit(False))
     kind = F.when(both, "ambiguous").when(c("iso").isNotNull(), "value").otherwise("invalid")
     return df.select(*kept, F.struct(kind.alias("kind"), F.when(~both, c("iso")).alias("iso"), F.when(both, F.array(c("dmy"), c("mdy"))).alias("candidates")).alias(out))

@@ -112,8 +112,8 @@ def parse_numbers(df: DataFrame, raw: str, decimal: Column | str, grouping: Colu
         {"neg": (c("paren") != c("minus")) & c("abs").rlike("[1-9]")},
     ]
     kept = df.columns
-    for stage in stages:
-        df = df.withColumns({p + k: v for k, v in stage.items()})
+    # one select: later columns name earlier ones, and Spark lays the projections one on another
+    df = df.select("*", *[v.alias(p + k) for stage in stages for k, v in stage.items()])
     ok = c("error").isNull()
     whole = F.struct(
         F.when(ok, F.concat(F.when(c("neg"), "-").otherwise(""), c("abs"))).alias("canonical"),
