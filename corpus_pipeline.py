@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridsmith.llm import importance, mixing, packing, simhash, substring
+from gridsmith.llm import importance, mixing, packing, shingles, substring
 from gridsmith.llm._scratch import written
 
 
@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates: word 5-shingles, 4 of 64 bits."""
-    return simhash.one_of_each(docs, k=5, bits=4)
+    """The document with the smallest doc_id of each group of near-duplicates: word 5-shingles, Jaccard 0.8."""
+    return shingles.one_of_each(docs, k=5, threshold=0.8)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
