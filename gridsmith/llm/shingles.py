@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.llm._components import components
+from gridsmith.llm._rows import best_row, keyed
 from gridsmith.llm._scratch import partitions, written
 from gridsmith.llm._words import U64, Texts, mixed, slices, windows
 from gridsmith.llm.simhash import fingerprints, links
@@ -76,17 +77,6 @@ def linked(sets: list[np.ndarray], threshold: float) -> tuple[list[int], list[in
     return a, b
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with __row, a number of the row that is fixed once."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()))
-
-
-def best_row(docs: DataFrame) -> list:
-    """The columns of the order in which one row of a component is kept, for a table of keyed(): doc_id, nulls last, then all of the row."""
-    doc = F.col("doc_id").cast("long")
-    return [doc.isNull().alias("none"), doc.alias("doc"), F.xxhash64(*(c for c in docs.columns if c != "__row")).alias("whole"), F.col("__row").alias("row")]
-
-
 def _sketches(rows: DataFrame, k: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

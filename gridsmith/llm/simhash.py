@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.llm._components import components
+from gridsmith.llm._rows import best_row, keyed
 from gridsmith.llm._runs import runs
 from gridsmith.llm._scratch import dropped, partitions, written
 from gridsmith.llm._words import LOWER, U64, slices
@@ -187,7 +188,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is its component's smallest; of rows that share that doc_id one stays."""
-    found = near_duplicates(docs, k, bits).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__doc"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of docs, all columns, of each component: that with the smallest doc_id, a null one only where no other is there.
+
+    Each row is a document of its own, whatever its doc_id; of a component's rows that share it the one with the
+    smallest hash stays.
+    """
+    rows = keyed(docs)
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k, bits).select(F.col("doc_id").alias("row"), "component_id")
+    best = rows.select(*best_row(rows)).join(found, "row").groupBy("component_id").agg(F.min(F.struct("none", "doc", "whole", "row")).alias("best"))
+    return rows.join(best.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
