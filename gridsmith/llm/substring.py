@@ -139,13 +139,14 @@ def _late_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_removed, kept_sha256, and the kept text if asked for.
+    """A row for each document: doc_id, n_words, n_removed, kept_sha256; if asked for, the kept text and text_hash.
 
     A word goes if a run of `window` words that covers it also starts earlier: in a smaller doc_id, or further up in
     the same document.  Runs are judged on the input.  Rows of one doc_id stand in the order of a hash of their
     texts; rows that agree in both are one document and give equal results.  A null doc_id comes before all others (and is
     held as the least long, which no document may have).  A
-    null text has no words.  An empty table gives none; other columns are left out, whatever their names.
+    null text has no words.  An empty table gives none; other columns are left out, whatever their names.  text_hash is
+    Spark's xxhash64 of a text that loses words, null of others.
 
     Runs are told apart by 64-bit hashes.  A task holds the windows of 1 / spark.sql.shuffle.partitions of the words,
     about 20 bytes each.
@@ -246,7 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
             late = _late(whole, keys, place)
             yield from _by_group(keys[late], place[late], n)
 
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text_hash"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,6 +269,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
                 ]
                 if with_text:
                     columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
+                    lost = (texts.n_words > np.diff(offsets)).tolist()
+                    columns.append(pa.array(np.array([xxhash.xxh64_intdigest(texts.text(i), 42) if x else 0 for i, x in enumerate(lost)], U64).view(np.int64), mask=~np.array(lost, bool)))
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
@@ -281,7 +284,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
 
     hits = met(dealt.mapInArrow(probe, _PACKED), meet, _hits_of_documents)
     late = met(dealt.join(hits, "id").select("id", "text", "packed").mapInArrow(extend, _PACKED), decide, _late_of_documents)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, text_hash long" * with_text
     out = dealt.join(late, "id", "left").select("id", "text", "packed").mapInArrow(finish, schema)
     return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))
 
@@ -312,10 +315,14 @@ def joined(texts, stays: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """docs, all columns, with the kept words joined by one space where words went; documents of which nothing is left go."""
-    found = remove_repeats(docs, window, with_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("__doc"), F.col("kept_text").alias("__kept"))
-    found = found.groupBy("__doc").agg(F.min("__kept").alias("__kept"))
-    out = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__doc"]), "left")
+    """docs, all columns, with the kept words joined by one space where words went; documents of which nothing is left go.
+
+    Each row has what is kept of its own text, whatever other rows of its doc_id lose.
+    """
+    found = remove_repeats(docs, window, with_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("kept_text").alias("__kept"))
+    found = found.groupBy("__doc", "__hash").agg(F.min("__kept").alias("__kept"))  # rows that agree in both have equal results
+    same = docs["doc_id"].cast("long").eqNullSafe(found["__doc"]) & (F.xxhash64(docs["text"].cast("string")) == found["__hash"])
+    out = docs.join(found, same, "left")
     text = F.coalesce(F.col("__kept"), docs["text"])
     columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return out.filter("__kept is null or __kept != ''").select(*columns)

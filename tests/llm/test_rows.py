@@ -2,7 +2,7 @@
 
 import pytest
 
-from gridsmith.llm import shingles, simhash
+from gridsmith.llm import shingles, simhash, substring
 
 DOCS = "doc_id long, text string, source string"
 
@@ -13,3 +13,10 @@ def test_one_row_of_each_component_stays(spark, each):
     rows = [(None, one, "a"), (None, two, "b"), (5, three, "c"), (5, four, "d"), (None, three, "e"), (7, four, "f"), (7, one, "g")]
     got = each(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted(r["source"] for r in got) == ["b", "c", "d", "g"]
+
+
+def test_rows_of_one_doc_id_keep_their_own_texts(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, passage, "a"), (None, "some other text", "b"), (5, passage, "c"), (5, "is left alone", "d"), (6, f"x {passage} y", "e"), (6, f"z {passage}", "f"), (6, f"z {passage}", "g"), (7, None, "h")]
+    got = substring.without_repeats(spark.createDataFrame(rows, DOCS))
+    assert sorted((r["source"], r["text"]) for r in got.collect() if r["text"]) == [("a", passage), ("b", "some other text"), ("d", "is left alone"), ("e", "x y"), ("f", "z"), ("g", "z")]
