@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+PLACED = re.compile(r"\sd?[xy]\s*=", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in ("script", "style", "title", "textarea", "noembed", "noframes", "iframe", "xmp")}
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NOT_SHOWN = set("head script style template noscript title datalist noembed noframes iframe audio video canvas object svg math param col colgroup".split())
+NOT_SHOWN = set("head script style template noscript title datalist noembed noframes iframe audio video canvas object param col colgroup".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption tr td th thead tbody tfoot listing xmp optgroup option".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure menu dir hr listing".split())
 LISTS = {"ul", "ol", "menu", "dir"}
@@ -42,6 +43,15 @@ CLOSES = {
     "optgroup": ({"optgroup", "option"}, {"select", "datalist"}),
     "body": ({"head"}, set()),
 }
+#: in an svg only text and foreignObject are shown, in a math all but annotations; these have other rules of parsing
+FOREIGN = {"svg", "svg text", "math"}
+NOT_DRAWN = {
+    "svg": set("title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient".split()),
+    "svg text": set("title desc metadata".split()),
+    "math": set("annotation annotation-xml mphantom".split()),
+}
+#: start tags that end an open svg or math
+BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SCOPE = {"td", "th", "caption", "table", "button", "object", "html"}
 
 
@@ -125,6 +135,14 @@ def _close(stack: list[_Open]) -> None:
     up, tag = stack[-1], node.tag
     if tag not in BLOCK:
         up.items += node.items
+        if node.rows:  # cells and rows in an inline element: of the table around it, or else a table of their own
+            around = next((x.tag for x in reversed(stack) if x.tag in BLOCK), "")
+            if around in ("table", "thead", "tbody", "tfoot", "tr"):
+                up.rows += node.rows
+            else:
+                up.items.append((_table(node.rows), False))
+        if node.kind == "svg text" and tag == "text":
+            up.items.append(" ")
         return
     if tag in ("thead", "tbody", "tfoot"):
         up.rows += node.rows
@@ -172,7 +190,7 @@ def page_text(page: str | None) -> str:
         first = m[0][0]
         top = stack[-1]
         if first != "<" or len(m[0]) == 1:
-            if top.kind == "closed":
+            if top.kind in ("closed", "svg"):
                 continue
             if not top.hidden and top.tag not in ("tr", "thead", "tbody", "tfoot") or m[0].strip():
                 text = html.unescape(m[0]) if "&" in m[0] else m[0]
@@ -185,6 +203,12 @@ def page_text(page: str | None) -> str:
         if m[1] or m[4]:
             _end(stack, tag)
             continue
+        if tag in BREAKS_OUT:
+            while stack[-1].kind in FOREIGN:
+                _close(stack)
+        foreign = stack[-1].kind if stack[-1].kind in FOREIGN else ""
+        if (foreign or tag in ("svg", "math")) and raw.endswith("/"):
+            continue
         if tag in BLOCK and tag not in IN_TABLE - {"table"} and tag not in ("html", "body", "option", "optgroup"):
             _until(stack, {"p"}, SCOPE)
         if tag in CLOSES:
@@ -204,11 +228,24 @@ def page_text(page: str | None) -> str:
             continue
         top = stack[-1]
         node = _Open(tag, top.hidden or tag in NOT_SHOWN, top.pre or tag in ("pre", "listing", "xmp", "textarea"))
+        if foreign or tag in ("svg", "math"):
+            node.hidden |= tag in NOT_DRAWN.get(foreign, ())
+            if tag in ("svg", "math"):
+                node.kind = tag
+            elif foreign == "svg" and tag == "text":
+                node.kind = "svg text"
+                node.items.append(" ")
+            elif tag not in ("foreignobject", "mi", "mo", "mn", "ms", "mtext"):
+                node.kind = foreign
+                if tag == "tspan" and PLACED.search(raw):
+                    node.items.append(" ")
         low = raw.lower()
         if "hidden" in low or "none" in low or "span" in low or "start" in low:
             a = _attributes(raw)
             style = a.get("style", "").lower().replace(" ", "")
             node.hidden |= "hidden" in a or "display:none" in style or "visibility:hidden" in style or "visibility:collapse" in style
+            if foreign:
+                node.hidden |= a.get("display", "").lower() == "none" or a.get("visibility", "").lower() in ("hidden", "collapse")
             if tag in ("td", "th"):
                 node.span = _number(a.get("colspan"), 1000)
             elif tag == "ol" and a.get("start", "").lstrip("-").isdigit():
