@@ -2,8 +2,8 @@
 
 Documents become token ids; only a document longer than a sequence is cut.  Each piece goes where the sum over
 residual gaps of (open sequences with that gap) squared becomes smallest, so that no gap piles up.  Pieces are
-dealt by hash into groups that are packed apart, largest first; a group's only loss is what its last open
-sequences leave.
+dealt by hash into groups of some million tokens that are packed apart, largest first.  What the groups leave
+unfilled is taken apart and packed again in fewer groups, until one is left or no sequence is saved.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.llm._bpe import SLICE_BYTES, default_path, encoder
-from gridsmith.llm._scratch import partitions
+from gridsmith.llm._scratch import written
 from gridsmith.llm._words import slices
 
 
@@ -93,27 +93,57 @@ def pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None,
     return bare.mapInArrow(cut, PIECES + ", ids array<long>" * with_ids)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids if asked for.
-
-    A document is its whole text's ids, then end_id; a null text counts as empty.  Rows that share a doc_id are
-    documents of their own.  Every sequence is filled from offset 0 without a gap.  An empty table gives none;
-    other columns are left out, whatever their names.
-    """
+def _packed(cut: DataFrame, groups: int, no: int, capacity: int) -> DataFrame:
+    """The pieces of cut, packed in so many groups: sequence_id, offset and room, what is left of the sequence."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         table = pa.Table.from_batches(got)
-        sequence, offset = sum_of_squares(table["length"].to_numpy(), capacity)
-        base = TaskContext.get().partitionId() << 40
-        kept = [x for x in table.column_names if x != "copy"]
-        out = table.select(kept).append_column("sequence_id", pa.array(base + sequence)).append_column("offset", pa.array(offset))
-        yield from out.to_batches()
-
-    cut = pieces(docs, capacity, tokenizer, end_id, with_ids)
-    dealt = cut.repartition(partitions(docs.sparkSession), F.xxhash64("doc_id", "copy", "piece"))
-    dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
-    return dealt.mapInArrow(place, schema)
+        group = table["group"].to_numpy()
+        edge = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            part = table.slice(a, b - a)
+            length = part["length"].to_numpy()
+            sequence, offset = sum_of_squares(length, capacity)
+            room = capacity - np.bincount(sequence, length).astype(np.int64)[sequence]
+            base = (no << 56) + (int(group[a]) << 28)
+            out = part.drop_columns(["group"]).append_column("sequence_id", pa.array(base + sequence))
+            yield from out.append_column("offset", pa.array(offset)).append_column("room", pa.array(room)).to_batches()
+
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", "piece", F.lit(no)), F.lit(groups)).cast("int"))
+    dealt = dealt.repartitionById(groups, "group").sortWithinPartitions("group", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    return dealt.mapInArrow(place, PIECES + ", sequence_id long, offset long, room long")
+
+
+def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False, group_tokens: int = 1 << 20) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the ids if asked for.
+
+    A document is its whole text's ids, then end_id; a null text counts as empty.  Rows that share a doc_id are
+    documents of their own.  Every sequence is filled from offset 0 without a gap.  An empty table gives none;
+    other columns are left out, whatever their names.  The number of sequences does not depend on the settings of
+    the cluster: a group has some `group_tokens` tokens, up to 16 times as many where unfilled sequences meet.
+    """
+    cut = written(pieces(docs, capacity, tokenizer, end_id, with_ids))
+    light = cut.drop("ids")
+    groups, no, done = max(1, -(-(light.agg(F.sum("length")).first()[0] or 0) // group_tokens)), 0, []
+    now = written(_packed(light, groups, no, capacity))
+    while groups > 1:
+        unfilled = F.col("room") * 64 > capacity
+        # each sequence has one piece at offset 0
+        tokens, count = now.filter(unfilled).agg(F.sum("length"), F.sum((F.col("offset") == 0).cast("int"))).first()
+        fewer = -(-(tokens or 0) // (16 * group_tokens))
+        if not 0 < fewer < groups:
+            break
+        no += 1
+        again = written(_packed(now.filter(unfilled).select(light.columns), fewer, no, capacity))
+        if again.filter("offset = 0").count() >= count:
+            break
+        done.append(now.filter(~unfilled))
+        now, groups = again, fewer
+    for x in done:
+        now = now.unionByName(x)
+    if with_ids:
+        now = now.join(cut.select("copy", "piece", "ids"), ["copy", "piece"])
+    return now.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset")
