@@ -74,39 +74,50 @@ def ratio(rule: str) -> Column:
     return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X of n trials with success p, summed from its exact terms in logarithms.
+def _stirling_error(n: Column) -> Column:
+    """log n! - log(sqrt(2 pi n) (n/e)^n): by its series from 16 on, by the factorial below, 0 for 0."""
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / (n * n)) / (n * n)) / (n * n)) / (n * n)) / n
+    factorial = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.greatest(n, F.lit(1)), F.lit(16)).cast("long")), F.lit(0.0), lambda a, j: a + F.log(j.cast("double")))
+    return F.when(n >= 16, series).when(n <= 0, 0.0).otherwise(factorial - (n + 0.5) * F.log(n) + n - 0.5 * math.log(2 * math.pi))
 
-    From k = p n on it is over one half at least in the limit and no test passes: 1 is given.  Beyond 20,000 terms
-    the Chernoff bound exp(-n KL(k/n, p)) stands in, which is never below the tail, so the guarantee holds.
-    """
-    odds, zero = math.log(p / (1 - p)), n * math.log(1 - p)
-    step = lambda a, j: F.struct(
-        (a["t"] + F.log((n - j + 1) / j) + odds).alias("t"),
-        _log_add(a["s"], a["t"] + F.log((n - j + 1) / j) + odds).alias("s"),
-    )
-    start = F.struct(zero.cast("double").alias("t"), zero.cast("double").alias("s"))
-    summed = F.exp(F.aggregate(F.sequence(F.lit(1).cast("long"), k), start, step)["s"])
-    q = k / n
-    chernoff = F.exp(-n * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p))))
-    return F.when((n <= 0) | (k >= n * p), 1.0).when(k == 0, F.exp(zero)).when(k > 20_000, chernoff).otherwise(summed)
 
+def _deviance(x: Column, mean: Column) -> Column:
+    """x log(x / mean) + mean - x, for x > 0."""
+    return x * F.log(x / mean) + mean - x
 
 
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """P(X <= k) for X of n trials with success p, by its exact terms at any size.
 
-def _log_add(a: Column, b: Column) -> Column:
-    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+    The largest term, that of k, is taken in the saddle-point form of log n!, in which nothing large cancels; the
+    smaller ones follow by their ratios, from k down, until they no longer change the sum: twelve standard deviations
+    on they are below the precision of a double.  From k = p n on the tail is over one half at least in the limit
+    and no test passes: 1 is given.
+    """
+    k, n, q = k.cast("double"), n.cast("double"), 1 - p
+    top = _stirling_error(n) - _stirling_error(k) - _stirling_error(n - k) - _deviance(k, n * p) - _deviance(n - k, n * q)
+    top = F.exp(top) * F.sqrt(n / (2 * math.pi * k * (n - k)))
+    terms = F.least(k, F.ceil(12 * F.sqrt(n * p * q)) + 60).cast("long")
+    step = lambda a, j: F.struct(
+        (a["t"] * (k - j + 1) * q / ((n - k + j) * p)).alias("t"),
+        (a["s"] + a["t"] * (k - j + 1) * q / ((n - k + j) * p)).alias("s"),
+    )
+    summed = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(terms, F.lit(1))), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), step)["s"]
+    return F.when((n <= 0) | (k >= n * p), 1.0).when(k == 0, F.exp(n * math.log1p(-p))).otherwise(top * summed)
 
 
 def cutoffs(feats: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """stratum, rule, cutoff, good, rejected: the tightest cutoff of each rule that the labelled documents allow.
 
-    Good documents are those with quality 1 in all rows of a doc_id that pass the base rules.  Each rule may reject
-    risk / number of rules of a stratum's good documents, so all together reject at most risk, with probability
-    1 - delta for all strata at once.  A rule without an allowed cutoff has no row.
+    Good documents are those with quality 1 in all rows of a doc_id that pass the base rules.  Two things are shared
+    out.  The risk, over rules: a document goes if any rule rejects it, so each may reject risk / rules of a stratum's
+    good documents, and all together at most risk.  The error delta, over rules and strata: each such pair is a test
+    that may err, and with delta / (rules x strata) each, none does with probability 1 - delta.  A rule without an
+    allowed cutoff has no row.  The counts of the labelled documents are written once.
     """
     good = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).filter("q = 1")
-    held = feats.filter("not base_failed").join(good, "doc_id", "left_semi")
+    numbers = sorted({x for text, _ in RULES.values() for x in text.split(" / ")})
+    held = written(feats.filter("not base_failed").join(good, "doc_id", "left_semi").select("stratum", *numbers))
     hits = [F.array(*[F.sum((ratio(r) > c).cast("long")) for c in RULES[r][1]]) for r in RULES]
     counted = held.groupBy("stratum").agg(F.count("*").alias("good"), F.array(*hits).alias("hits"))
     # a row for each stratum in one task
