@@ -1,7 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed word uni- and bigrams, one of target documents and one of all documents, weigh each
-document; Gumbel top-k then samples without replacement in proportion to the weights.
+document by the ratio of its probabilities, the product over its n-grams; Gumbel top-k then samples without
+replacement in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -31,22 +32,24 @@ def _features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def target_sample(labels: DataFrame, limit: int = 50_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """(doc_id of at most `limit` good documents, one row with good and all): what the target model is fitted on.
+    """(doc_id of at most `limit` target documents, one row with good and all): what the target model is fitted on.
 
-    Good is quality 1 and not toxic in all rows of a doc_id.  A larger table is sampled by a seeded hash of doc_id.
+    Good is quality 1 in all rows of a doc_id; target documents are good and not toxic in any.  A larger table is
+    sampled by a seeded hash of doc_id.
     """
-    good = (F.min(F.coalesce("quality", F.lit(0))) == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)
-    each = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good.alias("good"))
+    good, clean = F.min(F.coalesce("quality", F.lit(0))) == 1, F.max(F.coalesce("toxic", F.lit(0))) == 0
+    each = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good.alias("good"), (good & clean).alias("target"))
     share = each.agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("all"))
-    return each.filter("good").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(limit).select("doc_id"), share
+    return each.filter("target").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(limit).select("doc_id"), share
 
 
-def log_ratios(docs: DataFrame, target: DataFrame, z: float = 4.0) -> np.ndarray:
-    """For each of 2^20 buckets the log ratio of target to raw probability, 0 where the counts do not show one.
+def log_ratios(docs: DataFrame, target: DataFrame, prior: float = 16.0) -> np.ndarray:
+    """For each of 2^20 buckets the log ratio of target to raw probability.
 
     Raw counts are over all documents, target counts over those in target (at most target_sample()'s limit, so they
-    may be broadcast).  A ratio counts where the target count lies z or more standard deviations from what the raw
-    model expects.  The array has a fixed size, whatever the input's.
+    may be broadcast).  With both counted at the target's size, each model has `prior` occurrences of every bucket
+    beforehand, so a bucket that was hardly seen says little: log((aim + prior) / (raw x all aim / all raw + prior)).
+    The array has a fixed size, whatever the input's.
     """
     n, parts = 1 << BUCKET_BITS, 1 << (BUCKET_BITS - PART_BITS)
 
@@ -77,24 +80,31 @@ def log_ratios(docs: DataFrame, target: DataFrame, z: float = 4.0) -> np.ndarray
     marked = docs.join(F.broadcast(target.withColumn("__t", F.lit(True))), docs["doc_id"].cast("long") == target["doc_id"], "left")
     packed = marked.select(docs["text"].cast("string").alias("text"), F.coalesce("__t", F.lit(False)).alias("t")).mapInArrow(count, "part int, counts binary")
     counts = written(packed.repartition(min(parts, partitions(docs.sparkSession)), "part").mapInArrow(add, "bucket long, raw long, aim long"))
-    total = counts.agg(F.sum("raw").alias("r"), F.sum("aim").alias("a"))
-    expected = F.col("raw") * F.col("a") / F.col("r")
-    sure = counts.crossJoin(total).withColumn("e", expected).filter("a > 0").filter(F.abs(F.col("aim") - F.col("e")) >= z * F.sqrt("e"))
-    rows = sure.select("bucket", F.log((F.col("aim") + 1) / (F.col("e") + 1)).alias("v")).toArrow()  # at most 2^20 rows
+    total = counts.agg(F.sum("raw").alias("r"), F.sum("aim").alias("a")).first()
     out = np.zeros(n)
-    out[rows["bucket"].to_numpy()] = rows["v"].to_numpy()
+    if total["a"]:
+        expected = F.col("raw") * (total["a"] / total["r"])
+        rows = counts.select("bucket", F.log((F.col("aim") + prior) / (expected + prior)).alias("v")).toArrow()  # at most 2^20 rows
+        out[rows["bucket"].to_numpy()] = rows["v"].to_numpy()
     return out
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None, sharpness: float = 1000.0, seed: int = 11, limit: int = 50_000) -> DataFrame:
+def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
+    """Standard Gumbel noise of each id, from a seeded hash."""
+    key = mixed(ids.astype(np.int64).view(U64) + U64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return -np.log(-np.log(((key >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)))
+
+
+def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 11, limit: int = 50_000, prior: float = 16.0) -> DataFrame:
     """A row for each document: doc_id, log_weight, sample_key, rank, kept.
 
-    log_weight is the mean log ratio over the text's uni- and bigrams, so that length does not count; a text
-    without words, or null, has 0.  sample_key is sharpness x log_weight plus Gumbel noise from a seeded hash of
-    doc_id; the k largest are kept, k = share of all documents, rounded up.  share None takes the share of good
-    documents among the labelled ones.  Of equal keys the smaller doc_id goes first, null last; rows that share a
-    doc_id have the same noise.  Without labels every weight is 0 and all documents stay.  An empty table gives
-    none; other columns are left out, whatever their names.
+    log_weight is the sum of log ratios over the text's uni- and bigrams; a text without words, or null, has 0.
+    sample_key is log_weight plus Gumbel noise from a seeded hash of doc_id; the k largest are kept, k = share of all
+    documents, rounded up: a sample without replacement in proportion to exp(log_weight).  share None takes the
+    share of good documents, toxic or not, among the labelled ones; the target model is fitted on those that are not
+    toxic.  Of equal keys the smaller doc_id goes first, null last; rows that share a doc_id have the same noise.
+    Without labels every weight is 0 and all documents stay.  An empty table gives none; other columns are left out,
+    whatever their names.
 
     Ranks come in two steps: ranges of sample_key are counted, and only rows of one range are put in order together.
     """
@@ -103,19 +113,17 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     if share is None:
         got = of_labels.first()
         share = (got["good"] or 0) / got["all"] if got["all"] else 1.0
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, target))
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, target, prior))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for at, texts in slices(batch.column(1), SLICE_BYTES):
                 bucket, doc = _features(texts)
-                sums = np.bincount(doc, ratios.value[bucket], len(texts))
-                mean = sums / np.maximum(np.bincount(doc, minlength=len(texts)), 1)
+                weight = np.bincount(doc, ratios.value[bucket], len(texts))
                 own = ids.slice(at, len(texts))
-                key = mixed(own.fill_null(-1).to_numpy().astype(np.int64).view(U64) + U64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
-                noise = -np.log(-np.log(((key >> U64(11)).astype(np.float64) + 0.5) / float(1 << 53)))
-                yield pa.RecordBatch.from_arrays([own, pa.array(mean), pa.array(sharpness * mean + noise)], names=["doc_id", "log_weight", "sample_key"])
+                key = weight + gumbel(own.fill_null(-1).to_numpy(), seed)
+                yield pa.RecordBatch.from_arrays([own, pa.array(weight), pa.array(key)], names=["doc_id", "log_weight", "sample_key"])
 
     keyed = written(docs.mapInArrow(weigh, "doc_id long, log_weight double, sample_key double"))  # once, though its ranges are sampled
     order = [F.desc("sample_key"), F.asc_nulls_last("doc_id")]
