@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations alone.
 
 Targets are cut into blocks of equally many words; the blocks are seats, given to the sources by the highest
-quotients target / (2 seats + 1).  A source's own blocks are runs of its documents in seeded order; its seats take
-them in that order, from the first again once all are taken.
+quotients target / (2 seats + 1) and dealt to the shards of the mix, so that each shard has an integer quota of every
+source.  Then the seats are filled: a source's documents, in seeded order and from the first again once all are taken,
+are a tape that is cut into blocks, and a seat takes the next one.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from gridsmith.llm._scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_BITS = 10
 
 
 def n_words(text: Column) -> Column:
@@ -71,49 +71,67 @@ def apportioned(aims: DataFrame, block: int) -> DataFrame:
     return out.select(*aims.columns, "quota")
 
 
-def shard_quotas(quotas: DataFrame, shards: int) -> DataFrame:
-    """rank, shard, quota: a source's seats dealt over shards 0 to shards - 1, counts at most one apart in a source.
+def _seats(quota: Column, first: Column, shard: Column, shards: int) -> Column:
+    """Of a source's seats, numbered on from `first` through all sources, those that a shard has."""
+    return F.floor((quota + shards - 1 - F.pmod(shard - first, F.lit(shards))) / shards).cast("long")
 
-    A source starts where the one before it ended, so the shards' sums are at most one apart as well.
+
+def shard_quotas(quotas: DataFrame, shards: int = 16) -> DataFrame:
+    """quotas (rank, quota and more) with first_seat and shard_quota, an array of the source's seats in shards 0, 1, ...
+
+    Seats are dealt round by round, and a source starts where the one before it ended: in a source the shards' seats
+    are at most one apart, and so are the sums of all sources.
     """
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    q = quotas.withColumn("__from", F.coalesce(F.sum("quota").over(before), F.lit(0).cast("long")))
-    q = q.select("rank", "quota", "__from", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    place = F.pmod(F.col("shard") - F.col("__from"), F.lit(shards))
-    return q.select("rank", "shard", (F.floor((F.col("quota") + shards - 1 - place) / shards)).cast("long").alias("quota"))
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # a row for each source in one task
+    q = quotas.withColumn("first_seat", F.coalesce(F.sum("quota").over(before), F.lit(0).cast("long")))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+    return q.withColumn("shard_quota", F.transform(every, lambda k: _seats(F.col("quota"), F.col("first_seat"), k, shards)))
+
+
+def _shard_words(upto: Column, shard: Column, block: int, shards: int) -> Column:
+    """Words of a shard among the first `upto` of a source's tape: whole rounds of all shards, and its block in the last."""
+    turn = F.pmod(shard - F.col("first_seat"), F.lit(shards)) * block
+    return F.floor(upto / (block * shards)).cast("long") * block + F.greatest(F.lit(0).cast("long"), F.least(F.lit(block).cast("long"), upto % (block * shards) - turn))
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 128, seed: int = 7) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, quota, taken.
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 32, seed: int = 7, shards: int = 16) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, quota, taken, shard_words.
 
-    size is the words of the text (null: 0), taken the words that the mix takes of it, repeats counted: all of it for
-    each time that its source's blocks are all taken, and its words in the first blocks that are left.  No document
-    exceeds twice its size where cap is 2.  The order within a source is that of a seeded hash of doc_id, so reruns
-    agree; rows that share a doc_id stand next to each other.  null is a source of its own.  An empty table gives
-    none; other columns are left out, whatever their names.
+    size is the words of the text (null: 0), taken the words that the mix takes of it, repeats counted, and
+    shard_words, an array, how many of these go to each shard.  A source's quota x block words, at most cap times its
+    size, are the start of its tape: its documents in the order of a seeded MD5 of doc_id, so reruns agree, again and
+    again.  No document exceeds cap times its size where cap is an integer.  A source is as near to its target as the
+    apportionment brings it, about half a block; one with a target below that may get no seat.  Rows that share a
+    doc_id stand next to each other.  null is a source of its own.  An empty table gives none; other columns are left
+    out, whatever their names.
 
     Word counts before a document come in two steps, so that no task holds a source: hash ranges of each source are
     summed, and only rows of one range are put in order together.
     """
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    sized = written(sized.withColumn("h", h).withColumn("range", F.shiftright("h", 64 - BUCKET_BITS)))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    sized = written(sized.withColumn("h", h).withColumn("range", F.left("h", F.lit(3))))
     sums = written(sized.groupBy("source", "range").agg(F.sum("size").alias("size")))
     sources = sums.groupBy("source").agg(F.sum("size").alias("source_size"))
-    quotas = written(apportioned(targets(sources, weights, share, cap), block))
-    blocks = F.ceil(F.col("source_size") / block).cast("long")
-    seats = F.least(F.col("quota"), F.lit(int(cap)) * blocks)
-    q = quotas.withColumn("passes", F.coalesce(F.floor(F.try_divide(seats, blocks)), F.lit(0)).cast("long"))
-    q = q.withColumn("words", (seats - F.col("passes") * blocks) * block)
+    quotas = written(shard_quotas(apportioned(targets(sources, weights, share, cap), block), shards))
+    q = quotas.withColumn("words", F.least(F.col("quota") * block, F.floor(F.col("source_size") * F.lit(float(cap))).cast("long")))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sums.select(F.col("source").alias("s2"), F.col("range").alias("r2"), F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")).alias("before"))
     within = Window.partitionBy("source", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2")))
     rows = rows.join(q.withColumnRenamed("source", "s3"), F.col("source").eqNullSafe(F.col("s3")))
-    at = F.col("before") + F.col("own")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("words") - at))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "quota", (F.col("passes") * F.col("size") + part).alias("taken"))
+    rows = rows.withColumn("at", F.col("before") + F.col("own"))
+    zero = F.lit(0).cast("long")
+    # of each pass over the source, where the document begins and ends on the tape as far as it is taken
+    passes = F.sequence(zero, F.coalesce(F.floor(F.try_divide(F.col("words"), F.col("source_size"))), zero).cast("long"))
+    begin = lambda p: F.least(F.col("words"), p * F.col("source_size") + F.col("at"))
+    end = lambda p: F.least(F.col("words"), p * F.col("source_size") + F.col("at") + F.col("size"))
+    rows = rows.withColumn("parts", F.filter(F.transform(passes, lambda p: F.struct(begin(p).alias("a"), end(p).alias("b"))), lambda x: x["b"] > x["a"]))
+    total = lambda of: F.aggregate("parts", zero, lambda acc, x: acc + of(x))
+    every = F.sequence(zero, F.lit(shards - 1).cast("long"))
+    words = F.transform(every, lambda k: total(lambda x: _shard_words(x["b"], k, block, shards) - _shard_words(x["a"], k, block, shards)))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "quota", total(lambda x: x["b"] - x["a"]).alias("taken"), words.alias("shard_words"))
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridsmith.llm import embedding_dedup, html_text, importance, mixing, packing, quality_rules, sharding, simhash, substring, token_files
 from gridsmith.llm.sql import SQL
@@ -45,7 +46,7 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(_table(spark, sf_dir, "documents"))
+    return mixing.mix_documents(_table(spark, sf_dir, "documents")).withColumn("shard_words", F.array_join("shard_words", ","))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

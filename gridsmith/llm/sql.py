@@ -69,4 +69,40 @@ parts as (select reach.r, min(v.vec_id) component_id from reach join v on v.r =
 counts as (select r, count(*) n from links group by 1)
 select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_id kept from v join parts using (r) left join counts using (r)"""
 
-SQL = {"op1_quality_rules": _quality_rules(), "op6_substring_dedup": _SUBSTRING_DEDUP, "op10_embedding_dedup": _EMBEDDING_DEDUP}
+
+
+def _source_mixing(weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = 32, seed: int = 7, shards: int = 16) -> str:
+    """Seats one by one by their quotients, and each seat's block of the tape met with the documents on it."""
+    return f"""
+with d as (select row_number() over () row_no, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint size, md5(concat('{seed}:', coalesce(doc_id::varchar, 'null'))) h from documents),
+s as (
+  select source, sum(size)::bigint source_size, row_number() over (order by encode(source) nulls last) rank,
+    {list(weights)}[((row_number() over (order by encode(source) nulls last) - 1) % {len(weights)} + 1)::int]::double weight
+  from d group by source),
+levels as (
+  select *, ({share} * (select sum(source_size) from s) - coalesce(sum({cap} * source_size) over (order by {cap} * source_size / weight, rank rows between unbounded preceding and 1 preceding), 0))::double
+    / sum(weight) over (order by {cap} * source_size / weight, rank rows between current row and unbounded following) level
+  from s),
+aims as (
+  select source, source_size, rank, least({cap} * source_size, coalesce((select min_by(level, ({cap} * source_size / weight, rank)) from levels where level <= {cap} * source_size / weight), 'inf'::double) * weight)::double target
+  from levels),
+seats as (select round(sum(target) / {block})::bigint n from aims),
+quotients as (select rank, target / (2 * j + 1) q from (select rank, target, unnest(range(0, ceil(target / {block})::bigint + (select count(*) from aims) + 1)) j from aims)),
+given as (select rank from quotients order by q desc, rank limit (select n from seats)),
+quotas as (select aims.*, (select count(*) from given where given.rank = aims.rank)::bigint quota from aims),
+firsts as (select *, least(quota * {block}, floor({cap} * source_size)::bigint) words, coalesce(sum(quota) over (order by rank rows between unbounded preceding and 1 preceding), 0)::bigint first_seat from quotas),
+tape as (
+  select d.*, firsts.* exclude (source), coalesce(sum(size) over (partition by d.source order by h, doc_id nulls first, size, row_no rows between unbounded preceding and 1 preceding), 0)::bigint start
+  from d join firsts on d.source is not distinct from firsts.source),
+parts as (select row_no, words, first_seat, p * source_size + start a, p * source_size + start + size b from (select *, unnest(range(0, {int(-(-cap // 1))})) p from tape)),
+met as (
+  select row_no, (first_seat + seat) % {shards} k, least(b, words, (seat + 1) * {block}) - greatest(a, seat * {block}) n
+  from (select *, unnest(range(a // {block}, (least(b, words) + {block - 1}) // {block})) seat from parts where least(b, words) > a)),
+dealt as (select row_no, k, sum(n)::bigint n from met group by all),
+listed as (
+  select row_no, string_agg(coalesce(n, 0)::varchar, ',' order by k) shard_words, sum(coalesce(n, 0))::bigint taken
+  from (select row_no, unnest(range(0, {shards})) k from d) left join dealt using (row_no, k) group by row_no)
+select doc_id, source, size, source_size, target, quota, taken, shard_words from tape join listed using (row_no)"""
+
+
+SQL = {"op1_quality_rules": _quality_rules(), "op6_substring_dedup": _SUBSTRING_DEDUP, "op9_source_mixing": _source_mixing(), "op10_embedding_dedup": _EMBEDDING_DEDUP}
