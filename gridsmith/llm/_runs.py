@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Table, np.ndarray, int]]:
@@ -60,3 +62,17 @@ def runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Tab
             held, size = [whole.slice(limit)], size - limit
     if held and size:
         yield pa.concat_tables(held), np.zeros(1, np.int64), chunk + 1 if chunk >= 0 else -1
+
+
+def chunk_pairs(chunks: DataFrame, key: str, number: str, content: str) -> DataFrame:
+    """one, two: the contents of each two chunks of a key, and of each one with null.
+
+    Chunks are numbered 0, 1, ... in a key.  The pairs of numbers are made first, and contents join them by key and
+    number, so that no task makes all pairs of a key.
+    """
+    numbers = chunks.groupBy(key).agg(F.max(number).alias("most"))
+    pairs = numbers.select(key, F.explode(F.sequence(F.lit(0), F.col("most"))).alias("n1"), "most")
+    pairs = pairs.select(key, "n1", F.explode(F.sequence(F.col("n1"), F.col("most"))).alias("n2"))
+    one = chunks.select(key, F.col(number).alias("n1"), F.col(content).alias("one"))
+    two = chunks.select(key, F.col(number).alias("n2"), F.col(content).alias("two"))
+    return pairs.join(one, [key, "n1"]).join(two, [key, "n2"]).select("one", F.when(F.col("n1") < F.col("n2"), F.col("two")).alias("two"))
