@@ -4,8 +4,9 @@ Unit vectors with cosine c lie 2 - 2c apart in squared distance.  They are rotat
 blocks of equal width; of a close pair at least one block has its share of the squared budget or less.  Each block is
 range-joined on a grid whose cells are twice the block's radius wide: a vector stands in its own cell, and visits the
 neighbouring cells that the radius reaches, those above its own in order, so that two vectors meet once a block.
-Who meets is verified by the exact cosine of the vectors as given, and counted in the first block that brings the
-two together.
+What goes to the cells is a class's number and a sketch, some coordinates of the block at a byte each; who has no
+partner there by the sketches leaves.  Only the others' vectors follow, to be verified by the exact cosine of the
+vectors as given, and counted in the first block that brings the two together.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.llm._components import components
-from gridsmith.llm._runs import runs
+from gridsmith.llm._runs import chunk_pairs, runs
 from gridsmith.llm._scratch import partitions, written
 from gridsmith.llm._words import U64, mixed
 
 BLOCKS, GRID = 4, 4
+SKETCH = 16
 STRIP = 512
 
 
@@ -126,41 +128,112 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw.to_pylist()), "<f8").reshape(len(raw), -1)
 
 
+def sketches(part: np.ndarray, size: int) -> np.ndarray:
+    """The first coordinates of a block, of vectors of `size` coordinates, in 127ths of four times their usual size.
+
+    Values beyond that are cut, which brings no two further apart; rounding moves a sketch by half a step a coordinate.
+    """
+    return np.rint(np.clip(part[:, :SKETCH] * (np.sqrt(size) / 4), -1, 1) * 127).astype(np.int8)
+
+
+def _near(u: np.ndarray, v: np.ndarray, home_u: np.ndarray, home_v: np.ndarray, size: int, budget: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, matrix) of strips of u against v: whether two sketches may be of vectors within the block's budget."""
+    step = 4 / np.sqrt(size) / 127
+    most = ((np.sqrt(budget) + 1e-6) / step + np.sqrt(u.shape[1])) ** 2
+    u, v = u.astype(np.float32), v.astype(np.float32)  # sums of products of bytes are exact
+    square = (v * v).sum(1)
+    for at in range(0, len(u), STRIP):
+        x = u[at : at + STRIP]
+        far = (x * x).sum(1)[:, None] + square[None, :] - 2 * x @ v.T
+        yield at, (far <= most) & (home_u[at : at + STRIP, None] | home_v[None, :])
+
+
 def links(classes: DataFrame, cosine: float, limit: int = 4096) -> DataFrame:
     """classes (cls long, copies long, label, vector binary of doubles) -> a, b, n.
 
     Rows with n > 0: class a has n linked vectors in classes met here.  Rows with b: a and b are in one component.
     A cell of more than `limit` vectors is cut into chunks, each two compared in a task of their own.
     """
-    width = 2 * np.sqrt((2 - 2 * cosine) / BLOCKS)
+    budget = (2 - 2 * cosine) / BLOCKS
+    width = 2 * np.sqrt(budget)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, copies, group, dims = (batch.column(i).to_numpy() for i in (0, 1, 2, 3))
+            cls, group, dims = (batch.column(i).to_numpy() for i in (0, 1, 2))
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 for k in range(0, len(at), 1024):
                     some = at[k : k + 1024]
-                    taken = pa.array(some)
-                    turned = rotated(unit(_matrix(batch.column(4).take(taken))))
+                    turned = rotated(unit(_matrix(batch.column(3).take(pa.array(some)))))
                     step = turned.shape[1] // BLOCKS
                     for block in range(BLOCKS):
-                        grid = turned[:, block * step : block * step + GRID] / width
+                        part = turned[:, block * step : (block + 1) * step]
+                        grid, drawn = part[:, :GRID] / width, sketches(part, turned.shape[1])
                         own = np.floor(grid).astype(np.int64)
-                        side = np.where(grid - own < 0.5, -1, 1)
+                        inside = grid - own
+                        side, far = np.where(inside < 0.5, -1, 1), np.minimum(inside, 1 - inside)
+                        out = []
                         for move in product((0, 1), repeat=GRID):
-                            to = own + side * np.array(move)
-                            change = to - own
+                            change = side * np.array(move)
                             lead = np.argmax(change != 0, 1)
-                            go = np.flatnonzero(change[np.arange(len(some)), lead] >= 0)  # its own cell, or one above
+                            reach = (far * far * np.array(move)).sum(1) <= 0.25 + 1e-9  # of a radius of half a cell
+                            go = np.flatnonzero(reach & (change[np.arange(len(some)), lead] >= 0))  # its own cell, or one above
                             key = group[some[go]].view(U64) + U64(d * BLOCKS + block)
                             for c in range(GRID):
-                                key = mixed(key * U64(0x9E3779B97F4A7C15) + to[go, c].view(U64))
-                            picked = pa.array(some[go])
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(key.view(np.int64)), pa.array(cls[some[go]]), pa.array(copies[some[go]]), pa.array(np.full(len(go), 2 * block + (not any(move)), np.int32)), batch.column(4).take(picked)],
-                                names=["cell", "cls", "copies", "how", "vector"],
-                            )
+                                key = mixed(key * U64(0x9E3779B97F4A7C15) + (own + change)[go, c].view(U64))
+                            out.append((key.view(np.int64), cls[some[go]], np.full(len(go), 2 * block + (not any(move)), np.int8), drawn[go], np.full(len(go), turned.shape[1], np.int32)))
+                        key, ids, how, drawn, size = (np.concatenate(x) for x in zip(*out, strict=True))
+                        column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(drawn.shape[1]), len(drawn), [None, pa.py_buffer(np.ascontiguousarray(drawn))]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(how), pa.array(size), column], names=["cell", "cls", "how", "size", "sketch"])
+
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = table["sketch"].combine_chunks() if isinstance(table["sketch"], pa.ChunkedArray) else table["sketch"]
+        return table["cls"].to_numpy(), table["how"].to_numpy(), np.frombuffer(b"".join(raw.to_pylist()), np.int8).reshape(len(raw), -1)
+
+    def left(ids: np.ndarray, how: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+        n = len(ids)
+        columns = [pa.array(cell, pa.int64()), pa.array(ids, pa.int64()), pa.array(how, pa.int8()), pa.array([None] * n, pa.int32()), pa.array([None] * n, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["cell", "cls", "how", "chunk", "members"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, chunk in runs(batches, limit):
+            if chunk >= 0:
+                row = [[table["cell"][0].as_py()], [None], [None], [chunk], [_members(table)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.binary()), strict=True)], names=["cell", "cls", "how", "chunk", "members"])
+                continue
+            cell, sizes = table["cell"].to_numpy(), table["size"].to_numpy()
+            ends = np.append(starts[1:], len(cell))
+            stays = []
+            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                _, how, drawn = read(table.slice(a, b - a))
+                home, any_ = (how & 1).astype(bool), np.zeros(b - a, bool)
+                if home.any():
+                    for at, near in _near(drawn, drawn, home, home, int(sizes[a]), budget):
+                        rows = np.arange(len(near))
+                        near[rows, at + rows] = False
+                        any_[at : at + len(near)] |= near.any(1)
+                    stays.append(a + np.flatnonzero(any_))
+            stays = np.concatenate(stays) if stays else np.zeros(0, np.int64)
+            if len(stays):
+                yield left(table["cls"].to_numpy()[stays], table["how"].to_numpy()[stays], cell[stays])
+
+    def meet_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                table = pa.ipc.open_stream(one).read_all()
+                ids, how, drawn = read(table)
+                other = read(pa.ipc.open_stream(two).read_all()) if two else (ids, how, drawn)
+                here, there = np.zeros(len(ids), bool), np.zeros(len(other[0]), bool)
+                for at, near in _near(drawn, other[2], (how & 1).astype(bool), (other[1] & 1).astype(bool), table["size"][0].as_py(), budget):
+                    if not two:
+                        rows = np.arange(len(near))
+                        near[rows, at + rows] = False
+                    here[at : at + len(near)] |= near.any(1)
+                    there |= near.any(0)
+                cell = table["cell"][0].as_py()
+                for i, h, stays in ((ids, how, here), (other[0], other[1], there))[: 2 if two else 1]:
+                    if stays.any():
+                        yield left(i[stays], h[stays], np.full(int(stays.sum()), cell))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, chunk in runs(batches, limit):
@@ -178,9 +251,9 @@ def links(classes: DataFrame, cosine: float, limit: int = 4096) -> DataFrame:
 
     def compare_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, one, two in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for one, two in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 ids, copies, how, x = _of_members(one)
-                if same:
+                if two is None:
                     tally = _Tally(ids, copies)
                     found = _pairs(x, (how & 1).astype(bool), None, None, int(how[0]) >> 1, cosine)
                     for i, j in found:
@@ -193,14 +266,20 @@ def links(classes: DataFrame, cosine: float, limit: int = 4096) -> DataFrame:
                 yield from tally.rows()
 
     n = partitions(classes.sparkSession)
-    rows = classes.select("cls", "copies", F.xxhash64("label").alias("group"), F.length("vector").alias("dims"), "vector")
-    dealt = rows.mapInArrow(cells, "cell long, cls long, copies long, how int, vector binary").repartition(n, "cell").sortWithinPartitions("cell")
-    found = written(dealt.mapInArrow(compare, _OUT))
+    rows = classes.select("cls", F.xxhash64("label").alias("group"), F.length("vector").alias("dims"), "vector")
+    dealt = rows.mapInArrow(cells, "cell long, cls long, how byte, size int, sketch binary").repartition(n, "cell").sortWithinPartitions("cell")
+    met = written(dealt.mapInArrow(meet, "cell long, cls long, how byte, chunk int, members binary"))
+    stay = met.filter("members is null").select("cell", "cls", "how")
+    chunks = met.filter("members is not null").select("cell", "chunk", "members")
+    if not chunks.isEmpty():
+        each_two = chunk_pairs(chunks, "cell", "chunk", "members").repartition(n)
+        stay = stay.unionByName(each_two.mapInArrow(meet_chunks, "cell long, cls long, how byte, chunk int, members binary").select("cell", "cls", "how")).distinct()
+    whole = stay.join(classes.select("cls", "copies", "vector"), "cls").select("cell", "cls", "copies", F.col("how").cast("int").alias("how"), "vector")
+    found = written(whole.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare, _OUT))
     out = found.filter("members is null").select("a", "b", "n")
     chunks = found.filter("members is not null").select("cell", "chunk", "members")
     if not chunks.isEmpty():
-        one, two = (chunks.select("cell", F.col("chunk").alias(f"n{i}"), F.col("members").alias(f"m{i}")) for i in (1, 2))
-        each_two = one.join(two, "cell").filter("n1 <= n2").select((F.col("n1") == F.col("n2")).alias("same"), "m1", F.when(F.col("n1") < F.col("n2"), F.col("m2")).alias("m2")).repartition(n)
+        each_two = chunk_pairs(chunks, "cell", "chunk", "members").repartition(n)
         out = out.unionByName(each_two.mapInArrow(compare_chunks, _OUT).select("a", "b", "n"))
     return out
 
