@@ -1,7 +1,8 @@
 """Near-duplicates by the Jaccard similarity of word shingles.
 
-Candidates share a cell of five min-hashes, of twenty, or are linked by their fingerprints; a pair of similarity 0.8
-shares none with a chance of 0.0004.  Documents that candidates join are compared by whole sets of shingles: a group
+Candidates are linked by their SimHash fingerprints, which at 4 bits brings together half of the pairs of similarity 0.95 and
+a thirtieth of those of 0.8, or share a cell of five min-hashes, of twenty; a pair of similarity 0.8 shares none with
+a chance of 0.0004.  Documents that candidates join are compared by whole sets of shingles: a group
 of more shingles than a task should hold is cut into chunks, and each two chunks are compared in a task of their own.
 """
 
@@ -15,10 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.llm._components import components
-from gridsmith.llm._rows import best_row, keyed
 from gridsmith.llm._scratch import partitions, written
 from gridsmith.llm._words import U64, Texts, mixed, slices, windows
-from gridsmith.llm.simhash import fingerprints, links
+from gridsmith.llm.simhash import links
 
 CELLS, ROWS = 20, 5
 _MUL = mixed(np.arange(1, CELLS * ROWS + 1, dtype=U64)).astype(np.uint32) | np.uint32(1)
@@ -77,29 +77,48 @@ def linked(sets: list[np.ndarray], threshold: float) -> tuple[list[int], list[in
     return a, b
 
 
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """A bit is set if over half of the hashes have it; of none: zero."""
+    if not len(hashes):
+        return U64(0)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # 64 bytes a hash at once
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """docs with two hashes of the whole row: rows that share both are equal in every column."""
+    return docs.withColumns({"__w1": F.xxhash64(*docs.columns), "__w2": F.xxhash64(F.lit(1), *docs.columns)})
+
+
 def _sketches(rows: DataFrame, k: int) -> DataFrame:
+    names = ["none", "doc", "w1", "w2", "key", "size", "fp", "cells"]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in slices(batch.column(4)):
                 sets = shingle_sets(texts, k)
                 size = np.array([len(x) for x in sets], np.int64)
                 key = np.array([mixed(x + U64(len(x))).sum(dtype=U64) for x in sets], U64)
+                fp = np.array([fingerprint(x) for x in sets], U64)
                 offsets = np.concatenate([[0], np.cumsum((size > 0) * CELLS)])
                 found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(cells([x for x in sets if len(x)]).reshape(-1).view(np.int64)))
                 columns = [batch.column(i).slice(at, len(texts)) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(key.view(np.int64)), pa.array(size), found], names=["none", "doc", "whole", "row", "key", "size", "cells"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(key.view(np.int64)), pa.array(size), pa.array(fp.view(np.int64)), found], names=names)
 
-    bare = rows.select(*best_row(rows), F.col("text").cast("string").alias("text"))
-    return bare.mapInArrow(each, "none boolean, doc long, whole long, row long, key long, size long, cells array<long>")
+    doc = F.col("doc_id").cast("long")
+    bare = rows.select(doc.isNull().alias("none"), doc.alias("doc"), F.col("__w1").alias("w1"), F.col("__w2").alias("w2"), F.col("text").cast("string").alias("text"))
+    return bare.mapInArrow(each, "none boolean, doc long, w1 long, w2 long, key long, size long, fp long, cells array<long>")
 
 
-def _candidates(rows: DataFrame, nodes: DataFrame, k: int, bits: int) -> DataFrame:
+def _candidates(nodes: DataFrame, bits: int) -> DataFrame:
     """a, b: keys of nodes that share a cell, a fingerprint or a link of fingerprints, or are joined by such pairs."""
-    in_cell = nodes.select("key", F.explode("cells").alias("cell")).selectExpr("key as a", "min(key) over (partition by cell) as b")
-    marked = fingerprints(rows.select(F.col("__row").alias("doc_id"), "text"), k)
-    marked = written(nodes.join(marked, nodes["row"] == marked["doc_id"]).select("key", "fp"))
-    least = marked.groupBy("fp").agg(F.min("key").alias("least"))
-    same = marked.join(least, "fp").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    each = nodes.select("key", F.explode("cells").alias("cell"))
+    shared = each.groupBy("cell").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("cell", "least")
+    in_cell = each.join(shared, "cell").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    least = written(nodes.groupBy("fp").agg(F.min("key").alias("least")))
+    same = nodes.select("key", "fp").join(least, "fp").select(F.col("key").alias("a"), F.col("least").alias("b"))
     one, two = (least.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}")) for x in "ab")
     near = links(least.select("fp"), bits).join(one, "a").join(two, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
     return in_cell.unionByName(same).unionByName(near).filter("a != b").distinct()
@@ -108,8 +127,8 @@ def _candidates(rows: DataFrame, nodes: DataFrame, k: int, bits: int) -> DataFra
 def similar(rows: DataFrame, nodes: DataFrame, k: int, threshold: float, bits: int, limit: int) -> DataFrame:
     """a, b: keys of nodes whose sets are similar, enough of them to join all that are."""
     n = partitions(rows.sparkSession)
-    found = components(_candidates(rows, nodes, k, bits))
-    members = written(nodes.join(found, nodes["key"] == found["node"]).select("key", "row", "size", "component"))
+    found = components(_candidates(nodes, bits))
+    members = written(nodes.join(found, nodes["key"] == found["node"]).select("key", "w1", "w2", "size", "component"))
     chunks = members.groupBy("component").agg(F.ceil(F.sum("size") / limit).cast("int").alias("chunks"))
     dealt = members.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
     others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, chunks - 1), i -> i != chunk)"))
@@ -136,8 +155,9 @@ def similar(rows: DataFrame, nodes: DataFrame, k: int, threshold: float, bits: i
                 packed.append(x)
         yield done()
 
-    texts = rows.select("__row", F.col("text").cast("string").alias("text")).join(members.select("row", F.col("key").alias("k")), F.col("__row") == F.col("row"))
-    whole = texts.select(F.col("k").alias("key"), "text").mapInArrow(sets, "key long, packed binary")
+    own = members.select(F.col("w1").alias("__w1"), F.col("w2").alias("__w2"), F.col("key").alias("__key"))
+    texts = rows.select("__w1", "__w2", F.col("text").cast("string").alias("text")).join(own, ["__w1", "__w2"])
+    whole = texts.select(F.col("__key").alias("key"), "text").mapInArrow(sets, "key long, packed binary")
     groups = dealt.join(whole, "key").select("of", "key", "packed").repartition(n, "of").sortWithinPartitions("of")
     return groups.mapInArrow(compare, "a long, b long")
 
@@ -147,14 +167,13 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8, bits: int =
 
     The similarity is the Jaccard index of the sets of k-word shingles, A-Z lower-cased, by 64-bit hashes; texts without
     words, null ones too, are alike.  The row with the smallest doc_id stays, a null one only where no other is there;
-    of rows that share it the one with the smallest hash.  Each row is a document of its own, whatever its doc_id.  A
-    task holds twice `limit` shingles, or two documents.
+    of rows that share it the one with the smallest hash.  Each row is a document of its own, whatever its doc_id; rows
+    that are equal in every column are one.  A task holds twice `limit` shingles, or two documents.
     """
-    rows = keyed(docs)
-    marks = written(_sketches(rows, k))
-    best = marks.groupBy("key").agg(F.min(F.struct("none", "doc", "whole", "row")).alias("best"))
-    nodes = written(marks.join(marks.groupBy("key").agg(F.min("row").alias("row")).select("row"), "row", "left_semi").select("key", "row", "size", "cells"))
-    found = components(written(similar(rows, nodes, k, threshold, bits, limit)))
-    best = best.join(found, best["key"] == found["node"], "left").groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("best").alias("best"))
-    kept = best.select(F.col("best.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    rows = _identified(docs)
+    first = F.first(F.struct("w1", "w2", "size", "fp", "cells")).alias("node")
+    nodes = written(_sketches(rows, k).groupBy("key").agg(F.min(F.struct("none", "doc", "w1", "w2")).alias("best"), first).select("key", "best", "node.*"))
+    found = components(written(similar(rows, nodes.drop("best"), k, threshold, bits, limit)))
+    best = nodes.join(found, nodes["key"] == found["node"], "left").groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("best").alias("best"))
+    kept = written(best.select(F.col("best.w1").alias("__w1"), F.col("best.w2").alias("__w2")))
+    return rows.join(kept, ["__w1", "__w2"], "left_semi").dropDuplicates(["__w1", "__w2"]).select(*docs.columns)
