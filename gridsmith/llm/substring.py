@@ -20,8 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridsmith.llm._scratch import partitions
 from gridsmith.llm._words import U64, mixed, slices, windows
 
 NULL_ID = -(1 << 63)
@@ -138,22 +138,24 @@ def _late_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(ids[first]), _binary(record, np.diff(np.append(first, len(ids)))).cast(pa.binary())], names=["id", "packed"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_removed, kept_sha256; if asked for, the kept text and text_hash.
+def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_removed, kept_sha256; if asked for, kept_text and row, the whole row of docs.
 
     A word goes if a run of `window` words that covers it also starts earlier: in a smaller doc_id, or further up in
     the same document.  Runs are judged on the input.  Rows of one doc_id stand in the order of a hash of their
     texts; rows that agree in both are one document and give equal results.  A null doc_id comes before all others (and is
     held as the least long, which no document may have).  A
-    null text has no words.  An empty table gives none; other columns are left out, whatever their names.  text_hash is
-    Spark's xxhash64 of a text that loses words, null of others.
+    null text has no words.  An empty table gives none; other columns are left out, whatever their names.
 
-    Runs are told apart by 64-bit hashes.  A task holds the windows of 1 / spark.sql.shuffle.partitions of the words,
-    about 20 bytes each.
+    Runs are told apart by 64-bit hashes.  Windows are dealt by hash into buckets for each `bucket_bytes` of text, and
+    a task holds those of a bucket, some 20 bytes a word, whatever the cluster's settings.  A window that all documents
+    share comes once from each slice of 4 MB of text, not once from each document.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
-    half, n = window // 2, partitions(docs.sparkSession)
+    half = window // 2
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).cast("long")).first()[0] or 0
+    n = max(1, -(-size // bucket_bytes))
 
     def keyed(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, object]]:
         batch = batch.take(pa.compute.sort_indices(batch.column(0)))
@@ -247,7 +249,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
             late = _late(whole, keys, place)
             yield from _by_group(keys[late], place[late], n)
 
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text_hash"]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "row"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,14 +270,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
                     pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
                 ]
                 if with_text:
-                    columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
-                    lost = (texts.n_words > np.diff(offsets)).tolist()
-                    columns.append(pa.array(np.array([xxhash.xxh64_intdigest(texts.text(i), 42) if x else 0 for i, x in enumerate(lost)], U64).view(np.int64), mask=~np.array(lost, bool)))
+                    columns += [pa.array(kept, pa.binary()).cast(pa.string()), batch.column(3).slice(at, len(texts))]
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     # dealt once: probing, extending and finishing read the same exchange, as they read the same columns
-    dealt = docs.select(key.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartition(n, "id")
+    row = [F.struct(*docs.columns).alias("row")] if with_text else []
+    names_in = ["row"] if with_text else []
+    dealt = docs.select(key.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row).repartition(n, "id")
 
     def met(packed: DataFrame, then, merge) -> DataFrame:
         """Windows go to the task of their hashes, what is found to that of a group of documents; a row for each document."""
@@ -283,9 +285,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False) -
         return each.repartitionById(n, "bucket").mapInArrow(merge, "id long, packed binary")
 
     hits = met(dealt.mapInArrow(probe, _PACKED), meet, _hits_of_documents)
-    late = met(dealt.join(hits, "id").select("id", "text", "packed").mapInArrow(extend, _PACKED), decide, _late_of_documents)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, text_hash long" * with_text
-    out = dealt.join(late, "id", "left").select("id", "text", "packed").mapInArrow(finish, schema)
+    late = met(dealt.join(hits, "id").select("id", "text", "packed", *names_in).mapInArrow(extend, _PACKED), decide, _late_of_documents)
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    if with_text:
+        schema = schema.add("row", dealt.schema["row"].dataType)
+    out = dealt.join(late, "id", "left").select("id", "text", "packed", *names_in).mapInArrow(finish, schema)
     return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))
 
 
@@ -319,10 +323,8 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     Each row has what is kept of its own text, whatever other rows of its doc_id lose.
     """
-    found = remove_repeats(docs, window, with_text=True).filter("n_removed > 0").select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("kept_text").alias("__kept"))
-    found = found.groupBy("__doc", "__hash").agg(F.min("__kept").alias("__kept"))  # rows that agree in both have equal results
-    same = docs["doc_id"].cast("long").eqNullSafe(found["__doc"]) & (F.xxhash64(docs["text"].cast("string")) == found["__hash"])
-    out = docs.join(found, same, "left")
-    text = F.coalesce(F.col("__kept"), docs["text"])
-    columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.filter("__kept is null or __kept != ''").select(*columns)
+    found = remove_repeats(docs, window, with_text=True)
+    lost = F.col("n_removed") > 0
+    text = F.when(lost, F.col("kept_text")).otherwise(F.col("row.text").cast("string"))
+    columns = [text.alias("text") if c == "text" else F.when(lost, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
+    return found.filter(~lost | (F.col("kept_text") != "")).select(*columns)
