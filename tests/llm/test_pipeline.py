@@ -31,11 +31,13 @@ def test_quality_stage(spark, stages):
 
 
 def test_near_duplicate_stage(stages):
-    from tests.llm.test_operators import fingerprint, grouped
+    """One document of each group that pairs of similarity 0.8 join, by sets of five-word shingles: what stages on shingles take."""
+    from tests.llm.test_operators import grouped
+    from tests.llm.test_shingles import shingle_set, similarity
 
     rows = sorted((r["doc_id"], r["text"]) for r in stages[1].collect())
-    fp = [fingerprint(t, 5) for _, t in rows]
-    root = grouped(len(rows), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 4)
+    sets = [shingle_set(t) for _, t in rows]
+    root = grouped(len(rows), lambda a, b: similarity(sets[a], sets[b]) >= 0.8)
     assert sorted(r["doc_id"] for r in stages[2].collect()) == sorted(rows[i][0] for i in set(root))
 
 
