@@ -139,7 +139,7 @@ def _late_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_removed, kept_sha256; if asked for, kept_text and row, the whole row of docs.
+    """A row for each document: doc_id, n_words, n_removed, kept_sha256; if asked for, kept_text, text and row, the other columns of docs.
 
     A word goes if a run of `window` words that covers it also starts earlier: in a smaller doc_id, or further up in
     the same document.  Runs are judged on the input.  Rows of one doc_id stand in the order of a hash of their
@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
             late = _late(whole, keys, place)
             yield from _by_group(keys[late], place[late], n)
 
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "row"]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text", "row"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,12 +270,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
                     pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
                 ]
                 if with_text:
-                    columns += [pa.array(kept, pa.binary()).cast(pa.string()), batch.column(3).slice(at, len(texts))]
+                    columns += [pa.array(kept, pa.binary()).cast(pa.string()), batch.column(1).slice(at, len(texts)), batch.column(3).slice(at, len(texts))]
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     # dealt once: probing, extending and finishing read the same exchange, as they read the same columns
-    row = [F.struct(*docs.columns).alias("row")] if with_text else []
+    row = [F.struct(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("__no_text")).alias("row")] if with_text else []
     names_in = ["row"] if with_text else []
     dealt = docs.select(key.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row).repartition(n, "id")
 
@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
 
     hits = met(dealt.mapInArrow(probe, _PACKED), meet, _hits_of_documents)
     late = met(dealt.join(hits, "id").select("id", "text", "packed", *names_in).mapInArrow(extend, _PACKED), decide, _late_of_documents)
-    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, text string" * with_text)
     if with_text:
         schema = schema.add("row", dealt.schema["row"].dataType)
     out = dealt.join(late, "id", "left").select("id", "text", "packed", *names_in).mapInArrow(finish, schema)
@@ -325,6 +325,6 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     found = remove_repeats(docs, window, with_text=True)
     lost = F.col("n_removed") > 0
-    text = F.when(lost, F.col("kept_text")).otherwise(F.col("row.text").cast("string"))
+    text = F.when(lost, F.col("kept_text")).when(~F.col("row.__no_text"), F.col("text"))
     columns = [text.alias("text") if c == "text" else F.when(lost, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
     return found.filter(~lost | (F.col("kept_text") != "")).select(*columns)
