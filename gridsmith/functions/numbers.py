@@ -1,7 +1,8 @@
 """Locale-aware numbers.
 
 A parser is a chain of staged projections, each over the columns of the one before it: Catalyst keeps the stages
-apart, so the plan stays small and all of it runs inside one code-generated stage.
+apart, so the plan stays small and all of it runs inside one code-generated stage.  The stages are SQL expressions:
+as Columns, each of their hundreds of calls would be a round trip of its own to the JVM.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsmith.functions.text import trim_all, trim_blanks
+from gridsmith.functions.text import BLANKS, BLANKS_AND_ENDS
 
 #: fixed values
 MINUS_SIGNS = "-−–‒"
@@ -43,8 +44,13 @@ def evidence_grouping(decimal: Column) -> Column:
     return F.when(decimal == ".", POINT_GROUPING).when(decimal == ",", COMMA_GROUPING)
 
 
-def _translate(x: Column, letters: Column, to: Column) -> Column:
-    return F.call_function("translate", x, letters, to)
+def _text(x: str) -> str:
+    """x as a literal of Spark SQL."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+#: what a plain number looks like once its decimal mark is a point: commas in groups of three, no zeros in front
+PLAIN = r"^(?:-?(?:[1-9]\d*|[1-9]\d{0,2}(?:,\d{3})+)(?:\.\d+)?|0(?:\.\d+)?)$"
 
 
 def parse_numbers(df: DataFrame, raw: str, decimal: Column | str, grouping: Column | str, out: str) -> DataFrame:
@@ -53,79 +59,61 @@ def parse_numbers(df: DataFrame, raw: str, decimal: Column | str, grouping: Colu
     A canonical number is a decimal string that keeps its fraction digits.  error is empty, notNumeric,
     multipleDecimalSeparators or invalidGrouping, and null where the text is a number.  A null text gives an
     `empty` error, a null decimal mark a null struct.  Percent signs are noted, not divided out; a minus inside
-    parentheses turns the sign back.
+    parentheses turns the sign back.  Plain numbers are read by one pattern and leave nothing for the stages to do.
     """
-    decimal = F.lit(decimal) if isinstance(decimal, str) else decimal
-    grouping = F.lit(grouping) if isinstance(grouping, str) else grouping
-    p = f"__{out}_"
-    c = lambda name: F.col(p + name)
-    starts = lambda x, s: F.startswith(x, F.lit(s))
-
-    def currency(x: Column, suffix: bool) -> Column:
-        tests = [F.when(starts(x, s) | (F.endswith(x, F.lit(s)) if suffix else F.lit(False)), s) for s in CURRENCIES]
-        return F.coalesce(*tests)
-
-    stages: list[dict[str, Column]] = [
-        {"d": decimal, "g": grouping, "s0": trim_all(F.coalesce(F.col(raw), F.lit("")))},
-        {"paren": starts(c("s0"), "(") & F.endswith(c("s0"), F.lit(")")) & (F.length(c("s0")) > 2)},
-        {"s1": F.when(c("paren"), trim_blanks(F.substring(c("s0"), F.lit(2), F.length(c("s0")) - 2))).otherwise(c("s0"))},
-        {"percent": F.endswith(c("s1"), F.lit("%"))},
-        {"s2": F.when(c("percent"), trim_blanks(F.left(c("s1"), F.length(c("s1")) - 1))).otherwise(c("s1"))},
-        {"cur": currency(c("s2"), True)},
-        {
-            "s3": F.when(c("cur").isNull(), c("s2"))
-            .when(F.startswith(c("s2"), c("cur")), trim_blanks(F.substring(c("s2"), F.length(c("cur")) + 1, F.length(c("s2")))))
-            .otherwise(trim_blanks(F.left(c("s2"), F.length(c("s2")) - F.length(c("cur")))))
-        },
-        {"first": F.left(c("s3"), F.lit(1))},
-        {"minus": (c("first") != "") & F.lit(MINUS_SIGNS).contains(c("first"))},
-        {"s4": F.when(c("minus") | (c("first") == "+"), trim_blanks(F.substring(c("s3"), F.lit(2), F.length(c("s3"))))).otherwise(c("s3"))},
-        {"cur2": F.when(c("cur").isNull(), currency(c("s4"), False))},
-        {"s5": F.when(c("cur2").isNotNull(), trim_blanks(F.substring(c("s4"), F.length(c("cur2")) + 1, F.length(c("s4"))))).otherwise(c("s4"))},
-        {
-            "marks": F.length(c("s5")) - F.length(F.replace(c("s5"), c("d"), F.lit(""))),
-            "illegal": _translate(c("s5"), F.concat(F.lit("0123456789"), c("d"), c("g")), F.lit("")) != "",
-            "digits": c("s5").rlike("[0-9]"),
-        },
-        {
-            "int": F.when(c("marks") == 1, F.split_part(c("s5"), c("d"), F.lit(1))).otherwise(c("s5")),
-            "frac": F.when(c("marks") == 1, F.split_part(c("s5"), c("d"), F.lit(2))).otherwise(""),
-        },
-        {"sep": _translate(c("int"), F.lit("0123456789"), F.lit(""))},
-        {"family": _translate(c("sep"), F.lit(SPACES + APOSTROPHES), F.lit("    ''"))},
-        {
-            "one_family": F.replace(c("family"), F.left(c("family"), F.lit(1)), F.lit("")) == "",
-            "shape": _translate(c("int"), c("g"), F.repeat(F.lit(","), F.length(c("g")))).rlike(r"^\d{1,3}(,\d{3})+$"),
-            "plain": F.regexp_replace(c("int"), "[^0-9]", ""),
-        },
-        {
-            "error": F.when((c("s0") == "") | (c("s5") == ""), "empty")
-            .when(c("illegal"), "notNumeric")
-            .when(~c("digits"), "empty")
-            .when(c("marks") > 1, "multipleDecimalSeparators")
-            .when(c("frac").rlike("[^0-9]"), "invalidGrouping")
-            .when((c("sep") != "") & ~(c("one_family") & c("shape")), "invalidGrouping"),
-            "zeros": (F.length(c("plain")) > 1) & starts(c("plain"), "0"),
-            "stripped": F.regexp_replace(c("plain"), "^0+", ""),
-        },
-        {"abs": F.concat(F.when(c("stripped") == "", "0").otherwise(c("stripped")), F.when(c("frac") != "", F.concat(F.lit("."), c("frac"))).otherwise(""))},
-        {"neg": (c("paren") != c("minus")) & c("abs").rlike("[1-9]")},
-    ]
-    kept = df.columns
+    d, g, x = f"__{out}_d", f"__{out}_g", f"`{raw}`"
+    n = lambda name: f"__{out}_{name}"
+    cut = lambda text, mark: f"btrim(substring({text}, length({mark}) + 1), {_text(BLANKS)})"
+
+    def currency(text: str, suffix: bool) -> str:
+        ends = lambda s: f" or endswith({text}, {s})" if suffix else ""
+        return f"case {' '.join(f'when startswith({text}, {s}){ends(s)} then {s}' for s in map(_text, CURRENCIES))} end"
+
+    s0, s1, s2, s3, s4, s5 = (n(f"s{i}") for i in range(6))
+    cur, cur2, minus, sep, whole, frac = (n(k) for k in ("cur", "cur2", "minus", "sep", "int", "frac"))
+    stages = {
+        n("t"): f"case when {d} = '.' and contains({g}, ',') then {x} when {d} = ',' and contains({g}, '.') then translate({x}, ',.', '.,') end",
+        n("fast"): f"coalesce(rlike({n('t')}, {_text(PLAIN)}), false)",
+        s0: f"if({n('fast')}, '', btrim(coalesce({x}, ''), {_text(BLANKS_AND_ENDS)}))",
+        n("paren"): f"startswith({s0}, '(') and endswith({s0}, ')') and length({s0}) > 2",
+        s1: f"if({n('paren')}, btrim(substring({s0}, 2, length({s0}) - 2), {_text(BLANKS)}), {s0})",
+        n("percent"): f"endswith({s1}, '%')",
+        s2: f"if({n('percent')}, btrim(left({s1}, length({s1}) - 1), {_text(BLANKS)}), {s1})",
+        cur: currency(s2, True),
+        s3: f"case when {cur} is null then {s2} when startswith({s2}, {cur}) then {cut(s2, cur)} else btrim(left({s2}, length({s2}) - length({cur})), {_text(BLANKS)}) end",
+        n("first"): f"left({s3}, 1)",
+        minus: f"{n('first')} != '' and contains({_text(MINUS_SIGNS)}, {n('first')})",
+        s4: f"if({minus} or {n('first')} = '+', {cut(s3, n('first'))}, {s3})",
+        cur2: f"if({cur} is null, {currency(s4, False)}, null)",
+        s5: f"if({cur2} is not null, {cut(s4, cur2)}, {s4})",
+        n("marks"): f"length({s5}) - length(replace({s5}, {d}, ''))",
+        n("illegal"): f"translate({s5}, concat('0123456789', {d}, {g}), '') != ''",
+        n("digits"): f"rlike({s5}, '[0-9]')",
+        whole: f"if({n('marks')} = 1, split_part({s5}, {d}, 1), {s5})",
+        frac: f"if({n('marks')} = 1, split_part({s5}, {d}, 2), '')",
+        sep: f"translate({whole}, '0123456789', '')",
+        n("family"): f"translate({sep}, {_text(SPACES + APOSTROPHES)}, {_text('    ' + chr(39) * 2)})",
+        n("one_family"): f"replace({n('family')}, left({n('family')}, 1), '') = ''",
+        n("shape"): f"rlike(translate({whole}, {g}, repeat(',', length({g}))), {_text(r'^[0-9]{1,3}(,[0-9]{3})+$')})",
+        n("plain"): f"regexp_replace({whole}, '[^0-9]', '')",
+        n("error"): f"""case when {s0} = '' or {s5} = '' then 'empty' when {n('illegal')} then 'notNumeric' when not {n('digits')} then 'empty' when {n('marks')} > 1 then 'multipleDecimalSeparators'
+            when rlike({frac}, '[^0-9]') or ({sep} != '' and not ({n('one_family')} and {n('shape')})) then 'invalidGrouping' end""",
+        n("stripped"): f"ltrim('0', {n('plain')})",
+        n("abs"): f"concat(if({n('stripped')} = '', '0', {n('stripped')}), if({frac} != '', concat('.', {frac}), ''))",
+        n("neg"): f"{n('paren')} != {minus} and rlike({n('abs')}, '[1-9]')",
+    }
+    fields = "'canonical', {}, 'fraction_digits', {}, 'had_leading_zeros', {}, 'used_grouping', {}, 'is_percent', {}, 'currency', {}, 'parentheses', {}, 'error', {}"
+    error, ok = n("error"), f"({n('error')} is null)"
+    read = fields.format(
+        f"if{ok[:-1]}, concat(if({n('neg')}, '-', ''), {n('abs')}), null)", f"if{ok[:-1]}, length({frac}), null)", f"{ok} and length({n('plain')}) > 1 and startswith({n('plain')}, '0')", f"{ok} and {sep} != ''",
+        f"{ok} and {n('percent')}", f"if{ok[:-1]}, coalesce({cur}, {cur2}), null)", f"{ok} and {n('paren')}", error,
+    )
+    plain = fields.format(f"replace({n('t')}, ',', '')", f"length(split_part({n('t')}, '.', 2))", "false", f"contains({n('t')}, ',')", "false", "cast(null as string)", "false", "cast(null as string)")
+    kept = [f"`{c}`" for c in df.columns]
+    marks = [(F.lit(m) if isinstance(m, str) else m).alias(name) for m, name in ((decimal, d), (grouping, g))]
     # one select: later columns name earlier ones, and Spark lays the projections one on another
-    df = df.select("*", *[v.alias(p + k) for stage in stages for k, v in stage.items()])
-    ok = c("error").isNull()
-    whole = F.struct(
-        F.when(ok, F.concat(F.when(c("neg"), "-").otherwise(""), c("abs"))).alias("canonical"),
-        F.when(ok, F.length(c("frac"))).alias("fraction_digits"),
-        (ok & c("zeros")).alias("had_leading_zeros"),
-        (ok & (c("sep") != "")).alias("used_grouping"),
-        (ok & c("percent")).alias("is_percent"),
-        F.when(ok, F.coalesce(c("cur"), c("cur2"))).alias("currency"),
-        (ok & c("paren")).alias("parentheses"),
-        c("error").alias("error"),
-    )
-    return df.select(*kept, F.when(c("d").isNotNull(), whole).alias(out))
+    df = df.select("*", *marks).selectExpr("*", *[f"{v} as {k}" for k, v in stages.items()])
+    return df.selectExpr(*kept, f"case when {n('fast')} then named_struct({plain}) when {d} is not null then named_struct({read}) end as `{out}`")
 
 
 def interpretations(df: DataFrame, raw: str, point: str = "point", comma: str = "comma") -> DataFrame:
@@ -147,10 +135,22 @@ def is_year(x: Column) -> Column:
 
 
 def scaled(canonical: Column, factor: Column) -> Column:
-    """The product of two decimal strings, twelve places at most, without trailing zeros; factor 1 leaves it alone."""
-    product = F.round(canonical.try_cast("decimal(20,6)") * factor.try_cast("decimal(12,6)"), 12).cast("string")
+    """The product of two decimal strings, twelve places at most, without trailing zeros; factor 1 leaves it alone.
+
+    Powers of ten move the point, whatever the number of digits; other factors take 20 digits before the point.
+    """
+    up = F.when(factor.rlike("^10*$"), F.length(factor) - 1).when(factor.rlike(r"^0\.0*1$"), 2 - F.length(factor))
+    whole, part = F.split_part(F.ltrim(canonical, F.lit("-")), F.lit("."), F.lit(1)), F.split_part(canonical, F.lit("."), F.lit(2))
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    digits = F.concat(zeros(-up), whole, part, zeros(up - F.length(part)))
+    place = F.length(whole) + F.greatest(-up, F.lit(0)) + up
+    moved = F.concat(F.left(digits, place), F.lit("."), F.substring(digits, place + 1, F.length(digits)))
+    long = F.length(F.split_part(moved, F.lit("."), F.lit(2))) > 12
+    moved = F.when(long, F.round(moved.try_cast("decimal(38,18)"), 12).cast("string")).otherwise(moved)
+    moved = F.concat(F.when(canonical.startswith("-"), "-").otherwise(""), F.regexp_replace(moved, r"^0+(?=\d)", ""))
+    product = F.when(up.isNotNull(), moved).otherwise(F.round(canonical.try_cast("decimal(32,12)") * factor.try_cast("decimal(12,6)"), 12).cast("string"))
     short = F.regexp_replace(F.when(product.contains("."), F.regexp_replace(product, "0+$", "")).otherwise(product), r"\.$", "")
-    return F.when((factor == "1") | (factor == ""), canonical).otherwise(short)
+    return F.when((factor == "1") | (factor == ""), canonical).otherwise(F.when(short == "-0", "0").otherwise(short))
 
 
 def upper_median(values: Column) -> Column:

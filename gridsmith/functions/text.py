@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: white space and line ends of any script, as a regex class
 SPACE = r"[\t\n\x0B\f\r\x85\p{Z}]"
+#: fixed values: markers of missing values
 MISSING_TOKENS = ["-", "–", "—", "..", "...", "…", "n/a", "N/A", "n.a.", "NA", "x", ":", "*"]
 #: fixed values: what ends a value as a footnote mark
 FOOTNOTE = r"(?:\s*(?:[*†‡§¹²³⁴⁵⁶⁷⁸⁹⁰]+|\((?:[a-zA-Z]|\d{1,2})\)))+$"
@@ -94,9 +95,12 @@ def xml_text(x: Column) -> Column:
 
 
 def formula_guard(x: Column, is_number: Column | None = None) -> Column:
-    """A quote before texts that a spreadsheet would run; a sign alone or before a number is no formula."""
-    signed = x.rlike(r"^[-+]$") | (is_number if is_number is not None else x.rlike(r"^[-+]\d+([.,]\d+)?$"))
-    risky = x.rlike(r"^[=@\t\r]") | (x.rlike(r"^[-+]") & ~signed)
+    """A quote before texts that a spreadsheet would run; a sign alone or before a number is no formula.
+
+    is_number says whether the text reads as a number under either convention; without it plain digits alone count.
+    """
+    is_number = x.rlike(r"^[-+]\d+([.,]\d+)?$") if is_number is None else is_number
+    risky = x.rlike(r"^[=@\t\r]") | (x.rlike("^[-+]") & (F.length(x) > 1) & ~is_number)
     return F.when(risky, F.concat(F.lit("'"), x)).otherwise(x)
 
 

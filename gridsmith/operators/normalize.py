@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.functions.dates import order_evidence, parse_dates
-from gridsmith.functions.numbers import evidence_grouping, format_decimal, format_grouping, interpretations, is_ambiguous, parse_numbers, scaled
+from gridsmith.functions.numbers import COMMA_GROUPING, POINT_GROUPING, evidence_grouping, format_decimal, format_grouping, interpretations, is_ambiguous, parse_numbers, scaled
 from gridsmith.functions.text import is_missing, split_footnote, trim_all
 
 NUMERIC = ["integer", "decimal", "percent", "currency"]
@@ -34,11 +34,19 @@ def dominant(point: Column, comma: Column) -> tuple[Column, Column]:
 
 
 def with_readings(cells: DataFrame, text: str = "text", tokens: Column | None = None, strip: Column | None = None) -> DataFrame:
-    """cells with `value` (trimmed, footnote mark split off), `skip` (empty or missing) and both readings."""
+    """cells with `value` (trimmed, footnote mark split off), `skip` (empty or missing), `blank` and both readings.
+
+    blank is empty or missing as it stands, skip also what is a missing marker once its footnote mark is off.  Where
+    cells carry a type, only those of numeric columns are read as numbers.
+    """
     strip = F.lit(True) if strip is None else strip
     out = cells.withColumn("__trim", trim_all(F.coalesce(F.col(text), F.lit(""))))
     out = out.withColumn("value", F.when(strip, split_footnote(F.col("__trim"))[0]).otherwise(F.col("__trim")))
-    out = out.withColumn("skip", (F.col("__trim") == "") | is_missing(F.col("__trim"), tokens) | is_missing(F.col("value"), tokens))
+    out = out.withColumn("blank", (F.col("__trim") == "") | is_missing(F.col("__trim"), tokens))
+    out = out.withColumn("skip", F.col("blank") | is_missing(F.col("value"), tokens))
+    if "type" in cells.columns:
+        out = out.withColumn("__n", F.when(F.col("type").isin(NUMERIC), F.col("value")))
+        return interpretations(out, "__n").drop("__trim", "__n")
     return interpretations(out.drop("__trim"), "value")
 
 
@@ -103,13 +111,15 @@ def normalize(cells: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("__cut", numeric & F.col("strip") & marker.isNotNull())
     d = d.withColumn("__v", F.when(F.col("__cut"), value).otherwise(F.col("__t")))
     d = d.withColumns({"__number": F.when(numeric, F.col("__v")), "__day": F.when(F.col("type") == "date", F.col("__t"))})
-    d = interpretations(d, "__number", "__point", "__comma")
-    d = parse_numbers(d, "__number", F.col("decimal"), F.col("grouping"), "__own")
+    # with the decimal mark of the column, or else with a point; where the mark is open, with a comma as well
+    open_ = F.col("decimal").isNull()
+    d = parse_numbers(d, "__number", F.coalesce("decimal", F.lit(".")), F.when(open_, POINT_GROUPING).otherwise(F.col("grouping")), "__point")
+    d = parse_numbers(d.withColumn("__other", F.when(open_, F.col("__number"))), "__other", ",", COMMA_GROUPING, "__comma")
     d = parse_dates(d, "__day", F.col("date_order"), "__date")
     point, comma = F.col("__point.canonical"), F.col("__comma.canonical")
     fixed = F.col("decimal").isNotNull()
     d = d.withColumn("__two", numeric & ~fixed & is_ambiguous("__point", "__comma"))
-    d = d.withColumn("__n", F.when(fixed, F.col("__own")).when(point.isNotNull(), F.col("__point")).otherwise(F.col("__comma")))
+    d = d.withColumn("__n", F.when(fixed | point.isNotNull(), F.col("__point")).otherwise(F.col("__comma")))
     canonical = F.col("__n.canonical")
     d = d.withColumns({"__whole": F.regexp_replace(canonical, r"\.0+$", ""), "__bad_int": F.coalesce((F.col("type") == "integer") & canonical.rlike(r"\.\d*[1-9]"), F.lit(False))})
     d = d.withColumn("__base", F.when(F.col("type") == "integer", F.col("__whole")).otherwise(canonical))
@@ -141,7 +151,7 @@ def normalize(cells: DataFrame, text: str = "text") -> DataFrame:
         F.when(of_number & rescaled, step("scale", F.col("__base"), F.col("__scaled"))),
     ))
     zeros = F.when(numeric, F.col("__kind").isin("value", "invalid") & F.coalesce(F.col("__n.had_leading_zeros"), F.lit(False))).otherwise((F.col("type") == "identifier") & t.rlike("^0."))
-    problem = F.when(F.col("__kind") == "ambiguous", "ambiguous").when(F.col("__kind") != "invalid", None).when(is_date, "date").when(F.col("__bad_int"), "fraction").when(canonical.isNotNull(), "scale").otherwise(F.coalesce(F.col("__own.error"), F.lit("notNumeric")))
+    problem = F.when(F.col("__kind") == "ambiguous", "ambiguous").when(F.col("__kind") != "invalid", None).when(is_date, "date").when(F.col("__bad_int"), "fraction").when(canonical.isNotNull(), "scale").otherwise(F.when(fixed, F.coalesce(F.col("__point.error"), F.lit("notNumeric"))).otherwise("notNumeric"))
     norm = F.struct(
         F.col("__kind").alias("kind"), F.col("__canonical").alias("canonical"), F.when(numeric, fraction).alias("fraction_digits"),
         F.when(F.col("__two"), F.array(point, comma)).when(F.col("__kind") == "ambiguous", F.col("__date.candidates")).alias("candidates"),
@@ -162,7 +172,7 @@ def infer_types(readings: DataFrame, headers: DataFrame, number_format: Column |
 
     headers: table_id, col, header.  hints: table_id, hint (a decimal mark); a number format, if given, comes first.
     """
-    d = parse_dates(readings.filter(~F.col("skip")), "value", "auto", "date")
+    d = parse_dates(readings.filter(~F.col("blank")), "value", "auto", "date")
     v = F.col("value")
     any_ = F.coalesce(F.col("point"), F.col("comma"))
     any_ = F.when(F.col("point.canonical").isNotNull(), F.col("point")).otherwise(F.col("comma"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsmith.functions.text import MISSING_TOKENS
@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer parts than there are: for rows that cost far more than their shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cents(x: Column) -> Column:
     return F.round(x * 100).cast("long")
 
@@ -36,33 +42,43 @@ def tokens() -> Column:
     return F.array(*map(F.lit, MISSING_TOKENS))
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_id, row, part, quantity, line, cents, day: the lines of each order, numbered by line number and then by what they say."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    return li.select(
+        F.col("l_orderkey").alias("table_id"), (F.row_number().over(order) - 1).alias("row"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_linenumber").alias("line"),
+        cents(F.col("l_extendedprice")).alias("cents"), F.col("l_shipdate").cast("timestamp").alias("day"),
+    )
+
+
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order as a table: a row for each line and a total; column 0 part number, 1 quantity, 2 price, 3 ship date.
 
     Even orders write decimal commas.  In every tenth order the total is 1.00 too high; every line with part number
-    divisible by 17 has no price, by 19 a footnote mark; every seventh line of quantity above 40 reads badly.
+    divisible by 17 has no price, by 19 a footnote mark; every seventh line of quantity above 40 reads badly.  place is
+    a number below 1000 that follows from table, row and column.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    c = cents(F.col("l_extendedprice"))
-    gone, odd = F.col("l_partkey") % 17 == 0, F.col("l_orderkey") % 2 == 1
-    text = F.when(odd, money(F.col("c"))).otherwise(money(F.col("c"), ".", ","))
-    price = F.when(gone, "..").otherwise(F.concat(text, F.when(F.col("l_partkey") % 19 == 0, "*").otherwise("")))
-    q = F.col("l_quantity").cast("int")
-    quantity = F.when((q > 40) & (F.col("l_linenumber") == 7), F.concat(q.cast("string"), F.lit(" pcs"))).otherwise(q.cast("string"))
-    lines = li.withColumn("c", c).select(
-        F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).alias("row"), F.lit("data").alias("role"),
-        F.array(F.lpad(F.col("l_partkey").cast("string"), 8, "0"), quantity, price, F.date_format(F.col("l_shipdate").cast("timestamp"), "dd/MM/yyyy")).alias("texts"),
-        F.when(gone, 0).otherwise(F.col("c")).alias("c"),
-    )
-    sums = lines.groupBy("table_id").agg(F.max("row").alias("last"), (F.sum("c") + F.when(F.col("table_id") % 10 == 0, 100).otherwise(0)).alias("c"))
-    text = F.when(F.col("table_id") % 2 == 1, money(F.col("c"))).otherwise(money(F.col("c"), ".", ","))
-    totals = sums.select("table_id", (F.col("last") + 1).alias("row"), F.lit("total").alias("role"), F.array(F.lit("Total"), F.lit(""), text, F.lit("")).alias("texts"), "c")
-    rows = lines.drop("c").unionByName(totals.drop("c"))
-    cells = rows.select("table_id", "row", "role", F.posexplode("texts").alias("col", "text"))
+    gone, odd, c = F.col("part") % 17 == 0, F.col("table_id") % 2 == 1, F.col("cents")
+    written = F.when(odd, money(c)).otherwise(money(c, ".", ","))
+    price = F.when(gone, "..").otherwise(F.concat(written, F.when(F.col("part") % 19 == 0, "*").otherwise("")))
+    q = F.col("quantity").cast("string")
+    quantity = F.when((F.col("quantity") > 40) & (F.col("line") == 7), F.concat(q, F.lit(" pcs"))).otherwise(q)
+    lines = order_lines(spark, sf_dir)
+    texts = F.array(F.lpad(F.col("part").cast("string"), 8, "0"), quantity, price, F.date_format("day", "dd/MM/yyyy"))
+    body = lines.select("table_id", "row", F.lit("data").alias("role"), texts.alias("texts"))
+    sums = lines.groupBy("table_id").agg((F.max("row") + 1).alias("row"), (F.sum(F.when(gone, 0).otherwise(c)) + F.when(F.col("table_id") % 10 == 0, 100).otherwise(0)).alias("cents"))
+    totals = sums.select("table_id", "row", F.lit("total").alias("role"), F.array(F.lit("Total"), F.lit(""), written, F.lit("")).alias("texts"))
+    cells = body.unionByName(totals).select("table_id", "row", "role", F.posexplode("texts").alias("col", "text"))
     types = F.element_at(F.array(*map(F.lit, ("identifier", "integer", "decimal", "date"))), F.col("col") + 1)
-    key = F.concat_ws(":", "table_id", "row", "col")
-    number = F.xxhash64("table_id", "row", "col")
-    return cells.withColumns({"cell_id": key, "type": types, "place": F.pmod(number, F.lit(1000))})
+    return cells.withColumns({"cell_id": F.concat_ws(":", "table_id", "row", "col"), "type": types, "place": (F.col("table_id") * 31 + F.col("row") * 17 + F.col("col") * 7) % 1000})
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_id, row, role of every order's table."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("table_id")).agg(F.count("*").cast("int").alias("n"))
+    rows = lines.select("table_id", "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("row"))
+    return rows.select("table_id", "row", F.when(F.col("row") == F.col("n"), "total").otherwise("data").alias("role"))
 
 
 def order_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +88,11 @@ def order_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({"number_format": F.lit("auto"), "scale": F.lit("1")})
 
 
-def normalized_orders(spark: SparkSession, sf_dir: str, *only: int) -> DataFrame:
-    """order_cells(), or those of some columns, with evidence resolved and every cell normalised."""
+def normalized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_cells() with evidence resolved and every cell normalised."""
     from gridsmith.operators.normalize import contexts, normalize, with_readings
 
     cells, columns = order_cells(spark, sf_dir), order_columns(spark, sf_dir)
-    if only:
-        cells, columns = cells.filter(F.col("col").isin(*only)), columns.filter(F.col("col").isin(*only))
-    every = contexts(with_readings(cells.filter("role = 'data'")), columns, settings(columns.filter(F.col("col") == (only[0] if only else 0))))
+    every = contexts(with_readings(cells.filter("role = 'data' and type != 'identifier'")), columns, settings(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id"))))
     d = cells.join(every, ["table_id", "col"]).withColumns({"scale": F.lit("1"), "missing_tokens": tokens(), "strip": F.lit(True)})
     return normalize(d)

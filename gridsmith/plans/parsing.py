@@ -9,18 +9,18 @@ from gridsmith.functions.dates import parse_dates
 from gridsmith.functions.numbers import COMMA_GROUPING, FORMATS, POINT_GROUPING, interpretations, is_ambiguous, parse_numbers, scaled
 from gridsmith.functions.text import is_missing, split_footnote
 from gridsmith.operators.normalize import contexts, decimal_evidence, infer_types, normalize, with_readings
-from gridsmith.plans.fixtures import cents, grouped, money, settings, table, tokens
+from gridsmith.plans.fixtures import cents, grouped, money, settings, spread, table, tokens
 
 _CENTS = "cast(round({0} * 100) as bigint)"
 _TEXT = "concat({0} // 100, '.', lpad(cast({0} % 100 as varchar), 2, '0'))"
 
 
 def _lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cents(F.col("l_extendedprice")).alias("c"))
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cents(F.col("l_extendedprice")).alias("c")))
 
 
 def _orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", cents(F.col("o_totalprice")).alias("c"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", cents(F.col("o_totalprice")).alias("c")))
 
 
 def _parsed(d: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,7 +115,7 @@ def date_parse_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("o_orderdate").cast("timestamp")
     f = lambda p: F.date_format(day, p)
     forms = [f("yyyy-MM-dd"), f("dd.MM.yyyy"), f("MM/yyyy"), f("d MMMM yyyy"), f("yyyy"), F.concat(F.lit("31/02/"), f("yyyy"))]
-    d = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("raw"))
+    d = spread(table(spark, sf_dir, "orders")).select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("raw"))
     d = parse_dates(d, "raw", "dmy", "d")
     return d.select("o_orderkey", F.col("d.kind").alias("kind"), F.col("d.iso").alias("iso"))
 
@@ -134,7 +134,7 @@ def date_order_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def column_decimal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.lit(0).alias("col"), "l_linenumber", cents(F.col("l_extendedprice")).alias("c"))
+    li = spread(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("table_id"), F.lit(0).alias("col"), "l_linenumber", cents(F.col("l_extendedprice")).alias("c")))
     n = F.col("l_linenumber")
     text = F.when(n == 1, money(F.col("c"))).when(n == 7, grouped(F.floor(F.col("c") / 100))).otherwise(money(F.col("c"), ".", ","))
     return decimal_evidence(with_readings(li.withColumn("text", text)), ["table_id", "col"]).drop("col")
@@ -171,7 +171,7 @@ def locale_parse_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridsmith.operators.rules import check_totals
     from gridsmith.plans.fixtures import normalized_orders
 
-    totals = check_totals(normalized_orders(spark, sf_dir, 2))
+    totals = check_totals(normalized_orders(spark, sf_dir))
     money_ = lambda c: F.col(c).cast("double").alias(c)
     return totals.select("table_id", money_("expected"), money_("total"), money_("difference"), "inputs", "status")
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridsmith.functions import geometry as g
-from gridsmith.functions.text import column_letter, csv_field, formula_guard, similarity
+from gridsmith.functions.text import column_letter, csv_field, similarity
+from gridsmith.functions.numbers import POINT_GROUPING
 from gridsmith.operators import evaluate, export, grid, layout, recipes, rules, versions
-from gridsmith.plans.fixtures import cents, money, normalized_orders, order_cells, table
+from gridsmith.operators.normalize import normalize
+from gridsmith.plans.fixtures import cents, money, normalized_orders, order_cells, order_columns, order_rows, table, tokens
 from gridsmith.plans.reviewing_sql import ORACLES  # noqa: F401
 
 
@@ -32,20 +34,31 @@ def type_conversion_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.filter("rule = 'convert'").select("table_id", "row", "col", "severity")
 
 
-def leading_zero_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridsmith.functions.numbers import POINT_GROUPING, parse_numbers
+def _as_cells(d: DataFrame, text: str, kind: str, **own) -> DataFrame:
+    """Rows of another table as one-column tables of data cells, normalised, with what the cell rules read."""
+    none = F.array().cast("array<struct<regions:array<double>>>")
+    base = {
+        "table_id": F.lit(0), "row": F.lit(0), "col": F.lit(0), "cell_id": F.lit(""), "role": F.lit("data"), "text": F.col(text), "extracted_text": F.col(text), "corrected_text": F.lit(None).cast("string"), "type": F.lit(kind), "scale": F.lit("1"),
+        "decimal": F.lit("."), "grouping": F.lit(POINT_GROUPING), "date_order": F.lit("auto"), "missing_tokens": tokens(), "strip": F.lit(True), "engine_score": F.lit(None).cast("double"), "flags": F.array().cast("array<string>"), "sources": none,
+    }
+    return normalize(d.withColumns(base | own))
+
 
-    d = table(spark, sf_dir, "supplier").select("s_suppkey", F.lpad(F.col("s_suppkey").cast("string"), 4, "0").alias("raw"))
-    d = parse_numbers(d, "raw", ".", POINT_GROUPING, "n")
-    return d.select("s_suppkey", F.col("n.had_leading_zeros").alias("leading_zeros"), F.col("n.canonical").alias("canonical"))
+def leading_zero_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier numbers of four digits as an integer column: the rule on zeros in front."""
+    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0").alias("raw"))
+    cells = _as_cells(d, "raw", "integer", table_id=F.col("key"))
+    results, _ = rules.check_cells(cells)
+    return results.filter("rule = 'leading_zeros'").select(F.col("table_id").alias("s_suppkey"), "severity", "message")
 
 
 def missing_source_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as cells, labels as their sources."""
+    """Documents as cells, labels as their sources: the rule on text without a place."""
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    seen = lab.groupBy("doc_id").agg(F.lit(True).alias("has"))
-    cells = d.join(seen, "doc_id", "left").select("doc_id", "text", F.col("has").isNotNull().alias("has"))
-    return cells.filter((F.trim("text") != "") & ~F.col("has")).select("doc_id")
+    seen = lab.filter("doc_id is not null").groupBy("doc_id").agg(F.array(F.struct(F.array(F.lit(1.0)).alias("regions"))).alias("seen"))
+    none = F.array().cast("array<struct<regions:array<double>>>")
+    cells = _as_cells(d.select("doc_id", F.col("text").alias("raw")).join(seen, "doc_id", "left"), "raw", "text", table_id=F.col("doc_id"), sources=F.coalesce("seen", none))
+    return rules.check_cells(cells)[0].filter("rule = 'no_source'").select(F.col("table_id").alias("doc_id"), "severity")
 
 
 def low_score_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,37 +98,36 @@ def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("table_id", "row")
 
 
-def _all_results(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parts = [rules.check_cells(cells), rules.totals_results(rules.check_totals(cells)), rules.check_duplicates(cells)]
-    return reduce(DataFrame.unionByName, [p[0] for p in parts]), reduce(DataFrame.unionByName, [p[1] for p in parts])
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, results, summaries) of all rules on all orders."""
+    cells = _checked(spark, sf_dir)
+    results, summaries, _ = rules.evaluate(cells, order_rows(spark, sf_dir), order_columns(spark, sf_dir))
+    return cells, results, summaries
 
 
 def rule_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over all orders, in one row a rule."""
-    cells = _checked(spark, sf_dir).persist()  # five rules read it
-    results, tested = _all_results(cells)
-    per_table = rules.summaries(results, tested, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("table_id")))
+    per_table = _evaluated(spark, sf_dir)[2]
     return per_table.groupBy("rule").agg(F.sum("tested").alias("tested"), F.sum("failed").alias("failed"), F.count_if(F.col("status") == "failed").alias("tables_failed"))
 
 
 def unresolved_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _checked(spark, sf_dir).persist()
-    results, _ = rules.check_cells(cells)
+    cells, results, _ = _evaluated(spark, sf_dir)
     return rules.unresolved(results, cells).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def next_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = rules.totals_results(rules.check_totals(normalized_orders(spark, sf_dir, 2)))[0].filter("status = 'failed'")
-    tables = results.withColumn("table_id", F.lit(0)).withColumn("row", F.col("cell_ids")[0].substr(1, 12))
-    keyed = tables.withColumn("row", F.split(F.col("cell_ids")[0], ":")[0].cast("int"))
-    return rules.issue_order(keyed).select(F.col("row").alias("order_key"), "place", "next_place", "previous_place")
+    """Failed conversions and totals of each order, in the order in which a reviewer walks through them."""
+    cells = _checked(spark, sf_dir)
+    results = rules.check_cells(cells)[0].filter("rule = 'convert'").unionByName(rules.totals_results(rules.check_totals(cells))[0].filter("status = 'failed'"))
+    return rules.issue_order(results).select("table_id", "row", "col", "rule", "place", "next_place", "previous_place")
 
 
 def review_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as tables, events as cells."""
     e = table(spark, sf_dir, "events").withColumn("k", F.col("event_id") % 6)
     cells = e.select(
-        F.col("user_id").alias("table_id"), F.col("event_type").alias("extracted_text"), F.when(F.col("k") == 1, "fixed").alias("corrected_text"),
+        F.col("user_id").alias("table_id"), F.when(F.col("event_id") % 7 == 0, "header").otherwise("data").alias("role"), F.col("event_type").alias("extracted_text"), F.when(F.col("k") == 1, "fixed").alias("corrected_text"),
         F.when(F.col("k") < 3, "reviewed").when(F.col("k") == 3, "needsReview").otherwise("unreviewed").alias("review"),
         F.array(F.struct(F.when(F.col("k") == 5, F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0))).alias("regions"))).alias("sources"),
     )
@@ -233,19 +245,42 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formula_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts that a spreadsheet runs, before names, whole numbers and numbers with both marks."""
     starts = F.element_at(F.array(*map(F.lit, ("=", "+", "-", "@", "\t", "", "a"))), F.col("p_size") % 7 + 1)
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(starts, F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).otherwise(F.col("p_name"))).alias("raw"))
-    return p.select("p_partkey", formula_guard(F.col("raw")).alias("guarded"))
+    n = F.col("p_partkey")
+    body = F.when(n % 4 == 0, n.cast("string")).when(n % 4 == 2, money(n * 100)).when(n % 4 == 3, money(n * 100, ".", ",")).otherwise(F.col("p_name"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(starts, body).alias("raw"))
+    return export.guarded(p, "raw", "guarded").select("p_partkey", "guarded")
 
 
 def export_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = export.export_values(normalized_orders(spark, sf_dir, 2), missing="NA")
-    return values.filter("role = 'data'").select("table_id", "row", "out", "kind")
+    values = export.export_values(normalized_orders(spark, sf_dir), missing="NA")
+    return values.select("table_id", "row", "col", "out", "kind", "number")
+
+
+def _with_holes(cells: DataFrame) -> DataFrame:
+    """Cells of orders without some in column 1; in some rows column 2 spans column 3."""
+    k = F.col("table_id") + F.col("row")
+    spans = k % 13 == 5
+    cells = cells.filter(~((F.col("col") == 1) & (k % 11 == 3)) & ~((F.col("col") == 3) & spans))
+    return cells.withColumns({"row_span": F.lit(1), "col_span": F.when((F.col("col") == 2) & spans, 2).otherwise(1), "review": F.when((k + F.col("col")) % 4 == 0, "unreviewed").otherwise("reviewed")})
 
 
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = export.export_values(normalized_orders(spark, sf_dir), numbers="canonical")
-    return export.csv_rows(values).filter("role = 'data'").select("table_id", "row", "line")
+    """Every row of every order as a line, positions without a cell and spanned ones included, with the review column."""
+    values = export.export_values(_with_holes(normalized_orders(spark, sf_dir)))
+    return export.csv_rows(values, order_rows(spark, sf_dir), order_columns(spark, sf_dir), review_column=True).select("table_id", "row", "line")
+
+
+def selection_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns 0 to 2 of each order's first three rows as clipboard lines."""
+    return export.selection_tsv(_with_holes(order_cells(spark, sf_dir)), order_rows(spark, sf_dir), 0, 2, 0, 2)
+
+
+def column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, reviews, corrections and problems of each column over all orders."""
+    d = grid.column_statistics(_checked(spark, sf_dir))
+    return d.groupBy("col").agg(*[F.sum(c).alias(c) for c in ("total", "reviewed", "corrected", "problems")])
 
 
 def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,10 +289,12 @@ def column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    d = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    cells = d.select(F.col("r_name").alias("table_id"), F.col("n_nationkey").alias("row"), F.lit(0).alias("col"), F.col("n_name").alias("text"))
-    return export.json_tables(cells)
+    """The sidecar of every order, read back cell by cell."""
+    cells, results, _ = _evaluated(spark, sf_dir)
+    schema = "cells array<struct<address:string,checks:array<string>,kind:string,text:string,value:string>>, schema int"
+    d = export.provenance(export.export_values(cells), results).select("table_id", F.from_json("json", schema).alias("j"))
+    d = d.select("table_id", F.col("j.schema").alias("version"), F.explode("j.cells").alias("c"))
+    return d.select("table_id", "version", "c.address", F.array_join("c.checks", ",").alias("checks"), "c.kind", "c.text", "c.value")
 
 
 def text_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +318,7 @@ def engine_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders against themselves without their second line."""
-    c = order_cells(spark, sf_dir).filter("col < 3").select(F.col("table_id").alias("doc"), "row", "col", "text")
+    c = order_cells(spark, sf_dir).select(F.col("table_id").alias("doc"), "row", "col", "text")
     return evaluate.align_rows(c, c.filter("row != 1")).select("doc", F.col("truth_row").alias("truth_row"), F.col("got_row").alias("got_row"))
 
 
@@ -294,10 +331,10 @@ def multipage_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders drawn as words on pages and read back."""
-    c = order_cells(spark, sf_dir).filter("role = 'data' and col < 3").groupBy("table_id", "row", "col").agg(F.min("text").alias("text"))
+    c = order_cells(spark, sf_dir).filter("role = 'data'").select("table_id", "row", "col", "text")
     x0 = F.col("col") * 200.0
     words = c.select(F.col("table_id").alias("region_id"), "text", x0.alias("x0"), (x0 + F.length("text") * 5.0).alias("x1"), (500 - F.col("row") * 20.0).alias("y0"), (510 - F.col("row") * 20.0).alias("y1"), F.lit(1.0).alias("score"))
-    regions = words.select("region_id").distinct().select("region_id", g.rect(F.lit(-10), F.lit(0), F.lit(700), F.lit(600)).alias("region"))
+    regions = words.select("region_id").distinct().select("region_id", g.rect(F.lit(-10), F.lit(0), F.lit(900), F.lit(600)).alias("region"))
     return layout.read_grid(words, regions).select("region_id", "row", "col", "text")
 
 
@@ -306,6 +343,6 @@ QUERIES = {
     for f in (
         type_conversion_failures, leading_zero_codes, missing_source_evidence, low_score_cells, row_structure_gaps, totals_check, duplicate_rows, rule_summaries, unresolved_issues, next_issue, review_disclosure,
         carry_over, carry_over_summary, correction_history, current_version, import_dedupe, content_cache_key, header_similarity, schema_mapping, schema_mismatch, page_to_display, rect_iou, candidate_anti_filter,
-        best_candidate, point_hit, csv_lines, formula_guards, export_values, csv_export, column_letters, json_provenance, text_recall, engine_summary, row_alignment, multipage_segments, layout_grid,
+        best_candidate, point_hit, csv_lines, formula_guards, export_values, csv_export, selection_copy, column_statistics, column_letters, json_provenance, text_recall, engine_summary, row_alignment, multipage_segments, layout_grid,
     )
 }

@@ -13,14 +13,39 @@ l as (select l_orderkey t, l_linenumber r, {_C('l_extendedprice')} c, l_partkey
 v as (select n.t, n.r, o.t is not null had, o.p % 4 = 0 fixed, o.p % 3 = 0 seen, coalesce(n.p % 5 != 0 and o.c = n.c and o.p = n.p, false) same
   from (from l where r > 1) n left join (from l where r < 7) o on n.t = o.t and n.r = o.r),
 a as (select *, case when not had then 'new' when fixed and same then 'carried' when fixed then 'conflict' when seen and same then 'kept_review' else 'none' end action from v)"""
-_CELLS = f"""
-c as (select l_orderkey t, l_linenumber - 1 n, l_partkey p, cast(l_quantity as int) q, l_linenumber ln, {_C('l_extendedprice')} c from lineitem),
-m as (select *, if(t % 2 = 1, {_MONEY('c')}, translate({_MONEY('c')}, ',.', '.,')) price from c)"""
+#: every cell of every order: t, r, col, role, text, kind, out (as exported), k (place); lines l and orders e
+_ORDERS = f"""
+l as (
+  select l_orderkey t, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1)::int r, l_partkey p,
+    if(l_quantity > 40 and l_linenumber = 7, concat(l_quantity::int, ' pcs'), (l_quantity::int)::varchar) q, {_C('l_extendedprice')} c, l_shipdate d
+  from lineitem),
+e as (select t, bool_or(day(d) > 12) dmy, max(r) + 1 last, sum(if(p % 17 = 0, 0, c)) + if(t % 10 = 0, 100, 0) c, count_if(p % 17 != 0) priced from l group by t),
+dates as (select t, r, strftime(d, '%d/%m/%Y') s, if(dmy or day(d) = month(d), 'value', 'ambiguous') kind, d from l join e using (t)),
+cells as (
+  select t, r, 0 col, 'data' as role, lpad(p::varchar, 8, '0') as text, 'value' kind, lpad(p::varchar, 8, '0') as out from l
+  union all select t, r, 1, 'data', q, if(q like '%pcs', 'invalid', 'value'), q from l
+  union all select t, r, 2, 'data', if(p % 17 = 0, '..', concat(if(t % 2 = 1, {_MONEY('c')}, translate({_MONEY('c')}, ',.', '.,')), if(p % 19 = 0, '*', ''))), if(p % 17 = 0, 'missing', 'value'), if(p % 17 = 0, '', {_PLAIN('c')}) from l
+  union all select t, r, 3, 'data', s, kind, if(kind = 'value', strftime(d, '%Y-%m-%d'), s) from dates
+  union all select t, last, 0, 'total', 'Total', 'value', 'Total' from e
+  union all select t, last, 1, 'total', '', 'empty', '' from e
+  union all select t, last, 2, 'total', if(t % 2 = 1, {_MONEY('c')}, translate({_MONEY('c')}, ',.', '.,')), 'value', {_PLAIN('c')} from e
+  union all select t, last, 3, 'total', '', 'empty', '' from e),
+u as (select *, (t * 31 + r * 17 + col * 7) % 1000 k from cells)"""
+#: cells with a failed result, by rule
+_FAILED = """
+repeated as (select t, r, row_number() over (partition by t, p, q, if(p % 17 = 0, null, c), d order by r) n from l),
+wrong as (select t, last from e where t % 10 = 0 and priced > 0),
+hits as (
+  select t, r, col, 'convert' rule from u where kind = 'invalid' union all select t, r, col, 'ambiguous' from u where kind = 'ambiguous'
+  union all select t, r, col, 'no_source' from u where text != '' and k % 53 = 0 union all select t, r, col, 'low_score' from u where k % 2 = 0 and k < 500
+  union all select t, r, col, 'conflict' from u where k % 97 = 0 union all select t, r, col, 'continuation' from u where k % 89 = 0 and k % 97 != 0
+  union all select t, r, col, 'duplicate_row' from u join repeated using (t, r) where n > 1 and role = 'data'
+  union all select u.t, r, col, 'totals' from u join wrong on u.t = wrong.t where col = 2 and (role = 'total' or kind = 'value'))"""
 
 ORACLES = {
-    "type_conversion_failures": "select l_orderkey table_id, l_linenumber - 1 as row, 1 col, 'error' severity from lineitem where cast(l_quantity as int) > 40 and l_linenumber = 7",
-    "leading_zero_codes": "select s_suppkey, s_suppkey < 1000 leading_zeros, cast(s_suppkey as varchar) canonical from supplier",
-    "missing_source_evidence": "select doc_id from documents where trim(text, ' ') != '' and doc_id not in (select doc_id from labels where doc_id is not null)",
+    "type_conversion_failures": f"with {_ORDERS} select t table_id, r as row, col, 'error' severity from u where kind = 'invalid'",
+    "leading_zero_codes": "select s_suppkey, 'warning' severity, concat('A1: ', chr(39), lpad(s_suppkey::varchar, 4, '0'), chr(39), ' has zeros in front, which a number loses') message from supplier where s_suppkey < 1000",
+    "missing_source_evidence": "select doc_id, 'warning' severity from documents where trim(text, ' ') != '' and doc_id not in (select doc_id from labels where doc_id is not null)",
     "row_structure_gaps": """
 select o.k table_id, 0 as row, min(c.col)::int col from (select distinct l_orderkey k from lineitem) o, (select unnest(range(7)) col) c
 where not exists (from lineitem l where l.l_orderkey = o.k and l.l_linenumber - 1 = c.col) group by 1""",
@@ -31,14 +56,14 @@ select t table_id, (k * 5 + 4)::int as row, s::double / 100::double total, input
 from g where e is not null""",
     "duplicate_rows": "select lang table_id, doc_id as row from (select lang, doc_id, min(doc_id) over (partition by lang, text) f from documents where text != '' and lang != '') where doc_id > f",
     "next_issue": f"""
-with l as (select l_orderkey t, sum(if(l_partkey % 17 = 0, 0, 1)) n from lineitem where l_orderkey % 10 = 0 group by 1),
-f as (select t, row_number() over (order by t) k, count(*) over () n from l where n > 0)
-select t::int order_key, k::int place, k % n + 1 next_place, (k + n - 2) % n + 1 previous_place from f""",
+with {_ORDERS}, i as (select t, r, col, 'convert' rule from u where kind = 'invalid' union all select t, last, 2, 'totals' from e where t % 10 = 0 and priced > 0),
+o as (select *, row_number() over (partition by t order by r, col, rule) k, count(*) over (partition by t) n from i)
+select t table_id, r as row, col, rule, k::int place, k % n + 1 next_place, (k + n - 2) % n + 1 previous_place from o""",
     "review_disclosure": """
 select user_id table_id, count(*) cells, count(*) filter (event_id % 6 < 3) reviewed, count(*) filter (event_id % 6 = 3) needs_review, count(*) filter (event_id % 6 > 3) unreviewed,
-  count(*) filter (event_id % 6 = 1) corrected, count(*) filter (event_id % 6 = 5) without_source, count(*) filter (event_id % 6 >= 4) unresolved,
-  count(*) filter (event_id % 6 < 3) = count(*) and count(*) filter (event_id % 6 >= 4) = 0 complete
-from events group by 1""",
+  count(*) filter (event_id % 6 = 1) corrected, count(*) filter (event_id % 6 = 5) without_source, coalesce(any_value(open), 0) unresolved,
+  count(*) filter (event_id % 6 < 3) = count(*) and coalesce(any_value(open), 0) = 0 complete
+from events left join (select user_id, count(*) open from events where event_id % 6 >= 4 group by 1) using (user_id) where event_id % 7 != 0 group by 1""",
     "carry_over": f"""with {_VERSIONS}
 select t table_id, r as row, if(action in ('carried', 'conflict'), 'corrected', null) corrected_text,
   case when action = 'conflict' then 'needsReview' when action in ('carried', 'kept_review') and seen then 'reviewed' else 'unreviewed' end review, action
@@ -87,12 +112,11 @@ where (o_custkey % 60) between x - 1 and x + w + 1 and (o_orderkey % 60) between
 with p as (select p_partkey, p_brand, if(p_size % 3 = 0, concat(p_name, ', "x"'), p_name) n from part)
 select p_partkey, concat_ws(',', cast(p_partkey as varchar), if(regexp_matches(n, '[",]'), concat('"', replace(n, '"', '""'), '"'), n), if(regexp_matches(p_brand, '[",]'), concat('"', replace(p_brand, '"', '""'), '"'), p_brand)) line
 from p""",
-    "formula_guards": """
-with p as (select p_partkey, p_size % 7 k, concat(['=', '+', '-', '@', chr(9), '', 'a'][p_size % 7 + 1], if(p_partkey % 2 = 0, cast(p_partkey as varchar), p_name)) raw from part)
-select p_partkey, if(k in (0, 3, 4) or (k in (1, 2) and p_partkey % 2 = 1), concat(chr(39), raw), raw) guarded from p""",
-    "export_values": f"""
-with l as (select l_orderkey t, l_linenumber - 1 r, l_partkey % 17 = 0 gone, {_C('l_extendedprice')} c from lineitem)
-select t table_id, r::int as row, if(gone, 'NA', {_PLAIN('c')}) as out, if(gone, 'missing', 'value') kind from l""",
+    "formula_guards": f"""
+with p as (select p_partkey, p_size % 7 k, p_partkey % 4 m, concat(['=', '+', '-', '@', chr(9), '', 'a'][p_size % 7 + 1],
+  case p_partkey % 4 when 0 then p_partkey::varchar when 2 then {_MONEY('(p_partkey * 100)')} when 3 then translate({_MONEY('(p_partkey * 100)')}, ',.', '.,') else p_name end) raw from part)
+select p_partkey, if(k in (0, 3, 4) or (k in (1, 2) and m = 1), concat(chr(39), raw), raw) guarded from p""",
+    "export_values": f"with {_ORDERS} select t table_id, r as row, col, if(kind = 'missing', 'NA', out) as out, kind, if(kind = 'value' and col in (1, 2), out, null) number from u",
     "column_letters": """
 select distinct i, case when i < 26 then chr(65 + i) when i < 702 then concat(chr(65 + (i - 26) // 26), chr(65 + (i - 26) % 26))
   else concat(chr(65 + (i - 702) // 676), chr(65 + ((i - 702) // 26) % 26), chr(65 + (i - 702) % 26)) end letter
@@ -106,15 +130,34 @@ with s as (select event_type engine, event_id k from events)
 select engine, count(*) documents, round(sum(k % 90)::double / sum(k % 90 + 10), 9) cells, round(sum(k % 40)::double / sum(k % 40 + 1), 9) as numeric, round(avg((k % 8) / 8.0::double), 9) source,
   list_sort(list((k % 1000)::double))[count(*) // 2 + 1] latency, max((k % 500)::double) memory, sum(k % 3)::bigint missing_rows, sum(k % 2)::bigint extra_rows
 from s group by 1""",
-    "row_alignment": """
-with r as (select distinct l_orderkey d, l_linenumber - 1 n from lineitem union select distinct l_orderkey, max(l_linenumber) over (partition by l_orderkey) from lineitem)
-select d doc, n::int truth_row, n::int got_row from r where n != 1""",
+    "row_alignment": f"with {_ORDERS} select distinct t doc, r truth_row, r got_row from u where r != 1",
     "multipage_segments": """
 with s as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 k, min(turn) over (partition by conv_id) f from conversations)
 select conv_id table_id, turn::int segment, (2 * k + r)::int as row, r = 0 and turn > f repeated_header from s, (select unnest([0, 1]) r)""",
-    "layout_grid": f"""
-with {_CELLS},
-x as (select t, n, 0 col, lpad(cast(p as varchar), 8, '0') s from m union all select t, n, 1, if(q > 40 and ln = 7, concat(q, ' pcs'), cast(q as varchar)) from m
-  union all select t, n, 2, if(p % 17 = 0, '..', concat(price, if(p % 19 = 0, '*', ''))) from m)
-select t region_id, (dense_rank() over (partition by t order by n) - 1)::int as row, col, min(s) as text from x group by t, n, col""",
+    "csv_export": f"""
+with {_ORDERS},
+h as (select *, (t + r) % 13 = 5 spans, (t + r + col) % 4 != 0 seen from u),
+g as (select t, r, col, if(col = 1 and (t + r) % 11 = 3 or col = 3 and spans, '', out) f, if(col = 1 and (t + r) % 11 = 3 or col = 3 and spans, null, seen) seen from h)
+select t table_id, r as row, concat(string_agg(f, ',' order by col), ',', if(bool_and(coalesce(seen, true)), 'reviewed', 'not reviewed')) line from g group by all""",
+    "selection_copy": f"with {_ORDERS} select t table_id, r as row, string_agg(if(col = 1 and (t + r) % 11 = 3, '', text), chr(9) order by col) line from u where r < 3 and col < 3 group by all",
+    "column_statistics": f"with {_ORDERS} select col, count(*) total, count_if(k % 5 = 0)::bigint reviewed, 0::bigint corrected, count_if(kind in ('invalid', 'ambiguous'))::bigint problems from u group by col",
+    "low_score_cells": f"with {_ORDERS} select col, count(*) n from u where k % 2 = 0 and k < 500 group by col",
+    "rule_summaries": f"""
+with {_ORDERS}, {_FAILED},
+failed as (select rule, count(*) failed, count(distinct t) tables_failed from (select distinct t, r, if(rule in ('totals', 'duplicate_row'), -1, col) col, rule from hits where rule != 'totals'
+  union all select t, last, -1, 'totals' from wrong) group by rule),
+tested as (
+  select 'convert' rule, count(*) n from u union all select 'ambiguous', count(*) from u where col > 0 union all select 'leading_zeros', count(*) from u where col in (1, 2) union all select 'no_source', count(*) from u where text != ''
+  union all select 'low_score', count(*) from u where k % 2 = 0 union all select 'conflict', count(*) from u where k % 97 = 0 union all select 'continuation', count(*) from u where k % 89 = 0 and k % 97 != 0
+  union all select 'row_shape', count(*) from l union all select 'totals', count(*) from e union all select 'duplicate_row', count(*) from l union all select 'recipe_schema', 0)
+select rule, n::bigint tested, coalesce(failed, 0)::bigint failed, coalesce(tables_failed, 0)::bigint tables_failed from tested left join failed using (rule)""",
+    "unresolved_issues": f"""
+with {_ORDERS}, {_FAILED},
+seen as (select rule, t, if(rule = 'totals', -1, r) r, if(rule in ('totals', 'duplicate_row'), -1, col) col, bool_and(k % 5 = 0) done from hits join u using (t, r, col) where rule != 'continuation' group by all)
+select rule, count(*) n from seen where not done group by rule""",
+    "json_provenance": f"""
+with {_ORDERS}, {_FAILED},
+of_cell as (select t, r, col, string_agg(rule, ',' order by rule) checks from (select distinct * from hits) group by all)
+select u.t table_id, 1 as version, concat(chr(65 + u.col), u.r + 1) address, coalesce(checks, '') checks, kind, text, out as value from u left join of_cell using (t, r, col)""",
+    "layout_grid": f"with {_ORDERS} select t region_id, r as row, col, text from u where role = 'data'",
 }

@@ -93,6 +93,15 @@ def test_totals(spark):
     body = [cell(0, 0, "1.5", digits=1), cell(1, 0, "2.5", digits=1), cell(2, 0, "4.1", role="total", digits=1), cell(3, 0, "7"), cell(4, 0, "", kind="empty", canonical=""), cell(5, 0, "9", role="total"), cell(6, 0, "x", kind="invalid"), cell(7, 0, "1", role="total"), cell(0, 1, "1", type_="percent"), cell(2, 1, "1", role="total", type_="percent")]
     got = {r["row"]: (r["status"], str(r["total"]) if r["total"] is not None else None) for r in rules.check_totals(spark.createDataFrame(body, FULL)).collect()}
     assert got == {2: ("passed", "4.000000000000"), 5: ("failed", "7.000000000000"), 7: ("notApplicable", None)}
+    # a total row without a cell in a column still ends what the next total adds up
+    wide = [cell(0, 0, "1"), cell(0, 1, "10"), cell(1, 0, "1", role="total"), cell(2, 0, "2"), cell(2, 1, "20"), cell(3, 0, "2", role="total"), cell(3, 1, "20", role="total")]
+    frame = spark.createDataFrame(wide, FULL)
+    totals = rules.check_totals(frame)
+    assert {(r["row"], r["col"]): (r["status"], r["cell_ids"]) for r in totals.collect()} == {(1, 0): ("passed", ["1:1:0", "1:0:0"]), (3, 0): ("passed", ["1:3:0", "1:2:0"]), (3, 1): ("passed", ["1:3:1", "1:2:1"])}
+    wrong, _ = rules.totals_results(rules.check_totals(spark.createDataFrame([cell(0, 0, "1.5", digits=1), cell(1, 0, "9", role="total")], FULL)))
+    assert wrong.first()["message"] == "A2: the total 9 differs by 7.5 from 1.5, the sum of 1 values" and wrong.first()["tolerance"] == "0.1"
+    only_total = frame.filter("row = 1").withColumn("review", F.lit("reviewed")).unionByName(spark.createDataFrame([cell(0, 0, "5")], FULL))
+    assert rules.unresolved(wrong, only_total).count() == 1 and rules.unresolved(wrong, only_total.withColumn("review", F.lit("reviewed"))).count() == 0
 
 
 def test_rows_summaries_and_open_issues(spark):
@@ -174,16 +183,31 @@ def test_extended_down(spark):
 def test_export(spark):
     rows = [cell(0, 0, "=A1", type_="text"), cell(0, 1, "1,204", canonical="1204"), cell(1, 0, 'say "x", y', type_="text"), cell(1, 1, "..", kind="missing", canonical=""), cell(2, 0, "Total", role="total", type_="text"), cell(2, 1, "1.234", role="total", kind="ambiguous", canonical="")]
     d = spark.createDataFrame(rows, FULL).withColumn("norm", F.col("norm").withField("missing_token", F.when(F.col("norm.kind") == "missing", F.col("text"))))
-    lines = lambda **k: [r["line"] for r in export.csv_rows(export.export_values(d, **k)).orderBy("row").collect()]
-    assert lines() == ["'=A1,1204", '"say ""x"", y",', "Total,1.234"]
-    assert lines(numbers="original", missing="NA", totals=False) == ["'=A1,\"1,204\"", '"say ""x"", y",NA'] and lines(missing="marker")[1].endswith(",..")
+    rows = spark.createDataFrame([(1, 0, "data"), (1, 1, "data"), (1, 2, "total"), (1, 3, "data"), (1, 4, "header")], "table_id int, row int, role string")
+    columns = spark.createDataFrame([(1, 0, "=Name", "text"), (1, 1, "Qty", "decimal"), (1, 2, "Note, more", "text")], "table_id int, col int, name string, type string")
+    lines = lambda totals=True, **k: [r["line"] for r in export.csv_rows(export.export_values(d, **k), rows if totals else rows.filter("role != 'total'"), columns).orderBy("row").collect()]
+    assert lines() == ["'=A1,1204,", '"say ""x"", y",,', "Total,1.234,", ",,"]
+    assert lines(False, numbers="original", missing="NA") == ["'=A1,\"1,204\",", '"say ""x"", y",NA,', ",,"] and lines(missing="marker")[1].endswith(",..,")
+    assert export.csv_header(columns, review_column=True).first()["line"] == "'=Name,Qty,\"Note, more\",row_review"
+    gap = d.filter("not (row = 0 and col = 1)").withColumn("row_span", F.when((F.col("row") == 0) & (F.col("col") == 0), 2).otherwise(1)).filter("not (row = 1 and col = 0)").withColumn("review", F.when(F.col("row") == 0, "unreviewed").otherwise("reviewed"))
+    assert [r["line"] for r in export.csv_rows(export.export_values(gap), rows, columns, review_column=True).orderBy("row").collect()] == ["'=A1,,,not reviewed", ",,,not reviewed", "Total,1.234,,reviewed", ",,,reviewed"]
+    signs = spark.createDataFrame([("-1,234.50",), ("+1 000",), ("-",), ("-abc",), ("@x",), ("=1",), ("-5%",), ("x-1",)], "x string")
+    assert [r["g"] for r in export.guarded(signs, "x", "g").collect()] == ["-1,234.50", "+1 000", "-", "'-abc", "'@x", "'=1", "-5%", "x-1"]
     values = export.export_values(d)
-    book = export.workbooks(export.sheet_cells(values).withColumn("sheet", F.lit("Data"))).first()["xlsx"]
-    sheet = zipfile.ZipFile(io.BytesIO(book)).read("xl/worksheets/sheet1.xml").decode()
-    assert "<v>1204</v>" in sheet and 's="2"' in sheet and "say &quot;x&quot;" in sheet
-    grid_lines = [r["line"] for r in export.text_grid(d).orderBy("row").collect()]
-    assert grid_lines[0].startswith("  1   | =A1") and grid_lines[2].startswith("  3 T |")
-    assert [r["line"] for r in export.selection_tsv(d, 0, 0, 0, 1).collect()] == ["=A1\t1,204"]
+    data = export.data_sheet(values, rows, columns, spark.createDataFrame([("1:2:1",)], "cell_id string")).withColumn("sheet", F.lit("Data")).join(export.sheet_widths(values, columns), "table_id")
+    results = rules.check_cells(d)[0]
+    checks = export.checks_sheet(results, rules.unresolved(results, d)).withColumns({"sheet": F.lit("Checks"), "widths": F.lit(None).cast("array<double>")})
+    z = zipfile.ZipFile(io.BytesIO(export.workbooks(data.unionByName(checks)).first()["xlsx"]))
+    sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    assert "<v>1204</v>" in sheet and '<c r="B4" s="3"' in sheet and '<c r="A1" s="1"' in sheet and "say &quot;x&quot;" in sheet and '<autoFilter ref="A1:C5"/>' in sheet and '<col min="3" max="3" width="13.0"' in sheet
+    assert z.read("xl/workbook.xml").decode().index("Data") < z.read("xl/workbook.xml").decode().index("Checks") and "reads in two ways" in z.read("xl/worksheets/sheet2.xml").decode()
+    grid_lines = [r["line"] for r in export.text_grid(d, rows, columns).orderBy("row").collect()]
+    assert grid_lines[0].startswith("  1   | =A1") and grid_lines[2].startswith("  3 T |") and len(set(map(len, grid_lines))) == 1
+    assert [r["line"] for r in export.selection_tsv(d, rows, 0, 3, 0, 2).orderBy("row").collect()] == ["=A1\t1,204\t", 'say "x", y\t..\t', "Total\t1.234\t", "\t\t"]
+    places = spark.createDataFrame([(1, r, c) for r in range(2) for c in range(2)], "table_id int, row int, col int")
+    pick = lambda *p: places.filter(F.array_contains(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col")) for r, c in p]), F.struct("row", "col")))
+    assert sorted((r["row"], r["col"], r["text"]) for r in export.paste_edits("x", pick((0, 0), (1, 1)), places).collect()) == [(0, 0, "x"), (1, 1, "x")]
+    assert sorted((r["row"], r["col"], r["text"]) for r in export.paste_edits("a\tb\nc\td\n", pick((0, 1)), places).collect()) == [(0, 1, "a"), (1, 1, "c")]
     assert [(x["row"], x["col"], x["text"]) for x in spark.range(1).select(export.pasted(F.lit("a\tb\nc\n"))).first()[0]] == [(0, 0, "a"), (0, 1, "b"), (1, 0, "c")]
     assert json.loads(export.json_tables(d).first()["json"])["cells"][1]["address"] == "B1"
 
