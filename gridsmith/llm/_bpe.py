@@ -9,6 +9,7 @@ normaliser and the pre-tokenizer's pattern.  The tests hold all this against Tok
 
 from __future__ import annotations
 
+import json
 from array import array
 
 import numpy as np
@@ -43,6 +44,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _cuts_alike(file: dict) -> bool:
+    """Whether a tokenizer's file lower-cases, drops white space and cuts by PIECES, as encode() does on its own."""
+    try:
+        first, blank, lower = file["normalizer"]["normalizers"]
+        split, byte_level = file["pre_tokenizer"]["pretokenizers"]
+        return (
+            (first["type"], blank["type"], blank["pattern"], blank["content"], lower["type"]) == ("NFC", "Replace", {"Regex": r"\s+"}, " ", "Lowercase")
+            and (split["type"], split["pattern"], split["behavior"], split["invert"]) == ("Split", {"Regex": PIECES.pattern}, "Removed", True)
+            and (byte_level["type"], byte_level["add_prefix_space"], byte_level["use_regex"]) == ("ByteLevel", False, False)
+        )
+    except (KeyError, TypeError, ValueError):
+        return False
+
+
 class Encoder:
     """encode(Texts) gives all ids and where each text's begin."""
 
@@ -52,6 +67,15 @@ class Encoder:
         self.letters = _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[int, bytes] = {}
+        #: whether the file cuts texts as this module does; others go through the library whole
+        self.by_pieces = _cuts_alike(json.loads(self.tokenizer.to_str()))
+
+    def _whole(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        out = [np.zeros(0, np.uint32)]
+        for i in range(len(texts)):
+            got = self.tokenizer.encode_batch([texts.text(i).decode("utf-8", "replace")], add_special_tokens=False)
+            out.append(np.array(got[0].ids, np.uint32))
+        return np.concatenate(out), np.cumsum([0, *map(len, out[1:])])
 
     def _shown(self, shown: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
@@ -67,6 +91,8 @@ class Encoder:
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """ids (uint32) of all texts, and the offsets of each text's ids among them."""
+        if not self.by_pieces:
+            return self._whole(texts)
         buf, n = texts.buf, len(texts.buf)
         if not len(texts.starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)

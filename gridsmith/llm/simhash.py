@@ -36,10 +36,13 @@ def fingerprint(words: bytes, starts: np.ndarray, ends: np.ndarray, k: int, seed
     n = len(starts)
     if not n:
         return 0
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(words[a:b], seed) for a, b in zip(starts[: max(1, n - k + 1)].tolist(), ends[min(k, n) - 1 :].tolist(), strict=True)], "<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    digest, m = xxhash.xxh64_intdigest, max(1, n - k + 1)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, m, 1 << 16):  # 64 bytes a shingle at once, however long the text
+        to = min(at + (1 << 16), m)
+        hashes = np.array([digest(words[a:b], seed) for a, b in zip(starts[at:to].tolist(), ends[min(k, n) - 1 :][at:to].tolist(), strict=True)], "<u8")
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > m, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
