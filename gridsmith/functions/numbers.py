@@ -159,7 +159,7 @@ def upper_median(values: Column) -> Column:
     return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
 
 
-def merged_positions(values: Column, tolerance: float) -> Column:
+def merged_positions(values: Column, tolerance: Column | float) -> Column:
     """Sorted positions in which one within the tolerance of the last moves it to their midpoint."""
     empty = F.array().cast("array<double>")
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsmith.functions.geometry import contains, inset, mid_x, mid_y, union_all
@@ -115,14 +115,40 @@ def accuracy(part: str, whole: str):
     return F.when(F.col(whole) == 0, 1.0).otherwise(F.col(part) / F.col(whole))
 
 
+def document_scores(truth: DataFrame, got: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc, truth_rows, got_rows, missing_rows, extra_rows, source_coverage, text_recall, header_rows: what a document's score has beside its cells.
+
+    got: doc, row, col, text, regions, header_rows.  Coverage is the share of cells with text that have a region.
+    """
+    t = truth.groupBy("doc").agg(F.count_distinct("row").alias("truth_rows"), F.count_distinct(F.when(F.col("is_header"), F.col("row"))).alias("header_rows_expected"))
+    filled = F.col("text") != ""
+    g = got.groupBy("doc").agg(F.count_distinct("row").alias("got_rows"), F.max("header_rows").alias("header_rows"), F.count_if(filled).alias("__n"), F.count_if(filled & (F.size("regions") > 0)).alias("__r"))
+    p = pairs.groupBy("doc").agg(F.count("*").alias("__p"))
+    recall = text_recall(truth, got, ["doc"])
+    zero = F.lit(0).cast("long")
+    n = lambda c: F.coalesce(c, zero)
+    d = t.join(g, "doc", "left").join(p, "doc", "left").join(recall, "doc", "left")
+    return d.select(
+        "doc", "truth_rows", n("got_rows").alias("got_rows"), (F.col("truth_rows") - n("__p")).alias("missing_rows"), (n("got_rows") - n("__p")).alias("extra_rows"),
+        F.coalesce(F.try_divide("__r", "__n"), F.lit(0.0)).alias("source_coverage"), F.coalesce(F.try_divide("found", "total"), F.lit(0.0)).alias("text_recall"), "header_rows_expected", F.coalesce("header_rows", F.lit(0)).alias("header_rows"),
+    )
+
+
 def engine_summary(scores: DataFrame) -> DataFrame:
-    """engine: cells and numbers over all documents together, sources averaged over documents, the upper median of latency."""
-    upper = F.element_at(F.array_sort(F.collect_list("latency")), (F.floor(F.count("*") / 2) + 1).cast("int"))
-    return scores.groupBy("engine").agg(
+    """engine: cells and numbers over all documents together, sources averaged over documents, the upper median of latency.
+
+    The median is found in counts by engine and latency, so no task holds an engine's documents.
+    """
+    counts = scores.groupBy("engine", "latency").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("engine").orderBy("latency"))
+    counts = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy("engine")))
+    upper = counts.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("engine").agg(F.min("latency").alias("latency"))
+    whole = scores.groupBy("engine").agg(
         F.count("*").alias("documents"), (F.sum("cells_exact") / F.greatest(F.sum("cells_compared"), F.lit(1))).alias("cells"),
         (F.sum("numeric_exact") / F.greatest(F.sum("numeric_cells"), F.lit(1))).alias("numeric"), F.avg("source_correct").alias("source"),
-        upper.alias("latency"), F.max("memory").alias("memory"), F.sum("missing_rows").alias("missing_rows"), F.sum("extra_rows").alias("extra_rows"),
+        F.max("memory").alias("memory"), F.sum("missing_rows").alias("missing_rows"), F.sum("extra_rows").alias("extra_rows"),
     )
+    return whole.join(upper, "engine").select("engine", "documents", "cells", "numeric", "source", "latency", "memory", "missing_rows", "extra_rows")
 
 
 def known_failures(scores: DataFrame) -> DataFrame:

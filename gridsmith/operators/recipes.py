@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsmith.functions.geometry import area, contains, inset, intersection_area, iou
+from gridsmith.functions.geometry import area, contains, inset, intersection_area, iou, max_x, max_y, rect, union_all
 from gridsmith.functions.text import similarity
+from gridsmith.operators.layout import word_lines
 
 
 def header_scores(headers: DataFrame, recipe: DataFrame) -> DataFrame:
@@ -38,7 +41,7 @@ def map_columns(scores: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def apply_columns(columns: DataFrame, mapping: DataFrame, recipe: DataFrame) -> DataFrame:
-    """columns with the mapped recipe columns' name, type, unit and scale, confirmed; `matched` tells them.
+    """columns with the mapped recipe columns' name, type, unit, scale and number format, confirmed; `matched` tells them.
 
     Where the numbers of columns agree, a column without a source header takes the recipe's at its place.
     """
@@ -46,10 +49,10 @@ def apply_columns(columns: DataFrame, mapping: DataFrame, recipe: DataFrame) ->
     d = columns.join(n, "table_id", "left").join(mapping.select("table_id", "col", F.col("target").alias("__t")), ["table_id", "col"], "left")
     by_place = (F.col("__n") == F.col("__m")) & (F.coalesce("source_header", F.lit("")) == "")
     d = d.withColumn("__target", F.coalesce("__t", F.when(by_place, F.col("col"))))
-    r = recipe.select("table_id", F.col("target").alias("__target"), *[F.col(f).alias(f"r_{f}") for f in ("name", "type", "unit", "scale")])
+    r = recipe.select("table_id", F.col("target").alias("__target"), *[F.col(f).alias(f"r_{f}") for f in ("name", "type", "unit", "scale", "number_format")])
     d = d.join(r, ["table_id", "__target"], "left")
     hit = F.col("r_name").isNotNull()
-    return d.select("table_id", "col", *[F.when(hit, F.col(f"r_{f}")).otherwise(F.col(f)).alias(f) for f in ("name", "type", "unit", "scale")], "source_header", (F.col("type_confirmed") | hit).alias("type_confirmed"), hit.alias("matched"))
+    return d.select("table_id", "col", *[F.when(hit, F.col(f"r_{f}")).otherwise(F.col(f)).alias(f) for f in ("name", "type", "unit", "scale", "number_format")], "source_header", (F.col("type_confirmed") | hit).alias("type_confirmed"), hit.alias("matched"))
 
 
 def best_candidates(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -68,6 +71,13 @@ def new_candidates(candidates: DataFrame, existing: DataFrame, most: float = 0.5
     return candidates.join(e, (F.col("document_id") == F.col("__d")) & (F.col("page") == F.col("__p")) & (iou(F.col("box"), F.col("__r")) > most), "left_anti")
 
 
+def first_hits(points: DataFrame, *layers: DataFrame) -> DataFrame:
+    """point_id, layer, cell_id: the hit of the first of layers (candidates, cells, other tables) that has one."""
+    found = [hit_cells(points, d).withColumn("layer", F.lit(i)) for i, d in enumerate(layers)]
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("point_id").agg(F.min(F.struct("layer", "cell_id")).alias("x")).select("point_id", "x.layer", "x.cell_id")
+
+
 def hit_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     """point_id, cell_id: the first cell of the page with a region, one point wider, that holds the point.
 
@@ -109,6 +119,76 @@ def extended_down(lines: DataFrame) -> DataFrame:
     return d.groupBy("id").agg((F.min("min_y") - 1).alias("bottom"))
 
 
+def found_anchors(lines: DataFrame, recipes: DataFrame) -> DataFrame:
+    """id, page, occurrence, page_hint, box: places where a recipe's anchor text stands in a line, in any case.
+
+    lines: document_id, page, line, words (array<struct<x0, text, x1, y0, y1>> from left to right).  recipes: id,
+    document_id, anchor_text, page_hint.  A line's first match counts; the box is that of the words it touches.
+    """
+    text = F.array_join(F.transform("words", lambda w: w["text"]), " ")
+    d = lines.join(recipes.filter("anchor_text != ''"), "document_id").withColumn("__at", F.instr(F.lower(text), F.lower("anchor_text"))).filter("__at > 0")
+    upto = lambda i: F.aggregate(F.slice("words", F.lit(1), i), F.lit(1), lambda a, w: a + F.length(w["text"]) + 1)
+    placed = d.withColumn("__w", F.transform("words", lambda w, i: F.struct(upto(i).alias("a"), w.alias("w"))))
+    end = F.col("__at") + F.length("anchor_text")
+    hit = placed.withColumn("__w", F.filter("__w", lambda e: (e["a"] < end) & (e["a"] + F.length(e["w"]["text"]) > F.col("__at"))))
+    boxes = F.transform("__w", lambda e: rect(e["w"]["x0"], e["w"]["y0"], e["w"]["x1"] - e["w"]["x0"], e["w"]["y1"] - e["w"]["y0"]))
+    return hit.select("id", "document_id", "page", F.col("line").alias("occurrence"), "page_hint", union_all(boxes).alias("box"))
+
+
+def within(region: Column, width: Column, height: Column) -> Column:
+    """region without what lies outside a display of that size."""
+    x, y = F.greatest(region["x"], F.lit(0.0)), F.greatest(region["y"], F.lit(0.0))
+    return rect(x, y, F.least(max_x(region), width) - x, F.least(max_y(region), height) - y)
+
+
+def located_tables(recipes: DataFrame, words: DataFrame, pages: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """id, document_id, page, region, method: where a recipe's table is in other documents, on the display of the page.
+
+    recipes: id, document_id, anchor_text, offset and hint (rectangles), page_hint.  words: document_id, page, text, x0,
+    x1, y0, y1.  pages: document_id, page, width, height.  The anchor nearest to the hinted page moves the region by the
+    offset; without one the hint is scaled to its page, or the last there is.  A candidate (candidate_id, document_id,
+    page, box) that covers most of it takes its place, and the region grows down over the lines that follow.
+    """
+    lines = word_lines(words.select(F.struct("document_id", "page").alias("region_id"), "text", "x0", "x1", "y0", "y1"))
+    listed = lines.groupBy("region_id", "line").agg(F.array_sort(F.collect_list(F.struct("x0", "text", "x1", "y0", "y1"))).alias("words"))
+    listed = listed.select("region_id.document_id", "region_id.page", "line", "words")
+    found = nearest_anchors(found_anchors(listed, recipes)).select("id", F.col("page").alias("__page"), "box")
+    last = pages.groupBy("document_id").agg(F.max("page").alias("__last"))
+    d = recipes.join(found, "id", "left").join(last, "document_id")
+    d = d.withColumn("page", F.coalesce("__page", F.least("page_hint", "__last"))).join(pages, ["document_id", "page"])
+    anchors = d.select("id", "document_id", "page", F.col("page").alias("hint_page"), "box", "offset", "hint", F.col("width").alias("page_width"), F.col("height").alias("page_height"))
+    at = located(anchors).join(anchors.select("id", "document_id", "box", "page_width", "page_height"), "id")
+    at = at.withColumn("region", within(F.col("region"), F.col("page_width"), F.col("page_height")))
+    at = at.select("id", "document_id", "page", "region", F.when(F.col("box").isNotNull(), "anchor").otherwise("saved position").alias("method"))
+    if candidates is not None:
+        best = best_candidates(at, candidates).join(candidates.select("candidate_id", "document_id", "page", F.col("box").alias("__box")), "candidate_id").select("id", "document_id", "page", "__box")
+        at = at.join(best, ["id", "document_id", "page"], "left")
+        at = at.select("id", "document_id", "page", F.coalesce("__box", "region").alias("region"), F.when(F.col("__box").isNotNull(), F.concat("method", F.lit(", fitted to a candidate"))).otherwise(F.col("method")).alias("method"))
+    middle = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    near = at.join(words, ["document_id", "page"]).filter(middle[0].between(F.col("region.x"), max_x(F.col("region"))) & (middle[1] <= max_y(F.col("region"))))
+    rows = word_lines(near.select(F.col("id").alias("region_id"), "text", "x0", "x1", "y0", "y1", F.col("region.y").alias("low")))
+    rows = rows.groupBy(F.col("region_id").alias("id"), "line").agg(F.min("y0").alias("min_y"), ((F.min("y0") + F.max("y1")) / 2).alias("y"), F.count("*").alias("n_tokens"), F.first("low").alias("low"))
+    down = extended_down(rows.select("id", "y", "min_y", "n_tokens", (F.col("y") >= F.col("low")).alias("inside")))
+    out = at.join(down, "id", "left").withColumn("bottom", F.least(F.col("region.y"), F.coalesce("bottom", F.col("region.y"))))
+    region = rect(F.col("region.x"), F.col("bottom"), F.col("region.width"), max_y(F.col("region")) - F.col("bottom"))
+    return out.select("id", "document_id", "page", region.alias("region"), "method")
+
+
+def built_recipes(columns: DataFrame, anchors: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(recipe columns, recipes) of reviewed tables: names with their aliases, and where the table stands.
+
+    columns: table_id, col, name, source_header, type, unit, scale, number_format.  anchors: recipe_anchor(), on the
+    display.  segments: table_id, page, region, width, height (the first segment, on its page's display).
+    """
+    names = F.array_sort(F.array_distinct(F.filter(F.array("source_header", "name"), lambda x: x != "")))
+    cols = columns.select("table_id", F.col("col").alias("target"), "name", names.alias("names"), "type", "unit", "scale", "number_format")
+    d = segments.join(anchors, "table_id", "left")
+    r, a = F.col("region"), F.col("anchor_box")
+    offset = F.when(a.isNotNull(), rect(r["x"] - a["x"], r["y"] - a["y"], r["width"], r["height"]))
+    hint = rect(r["x"] / F.col("width"), r["y"] / F.col("height"), r["width"] / F.col("width"), r["height"] / F.col("height"))
+    return cols, d.select("table_id", F.coalesce("anchor_text", F.lit("")).alias("anchor_text"), offset.alias("offset"), hint.alias("hint"), F.col("page").alias("page_hint"))
+
+
 def recipe_anchor(header_cells: DataFrame) -> DataFrame:
     """table_id, anchor_text, anchor_box: the longest header cell of the first header row with three letters and a region."""
     d = header_cells.filter((F.length("text") >= 3) & (F.size("regions") > 0))

@@ -9,14 +9,16 @@ from gridsmith.functions.text import normalized
 
 
 def carry_over(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
-    """new cells (table_id, row, col, extracted_text) with what users did to the old ones at the same place.
+    """new cells (table_id, row, col, extracted_text, and flags if there are) with what users did to the old ones at the same place.
 
-    old: table_id, row, col, extracted_text, corrected_text, review.  Adds corrected_text, review and action: carried
-    (corrected, source unchanged), conflict (corrected, source changed: kept for review), kept_review, new, none.
-    The source is unchanged where normalized texts agree, or where the texts do if strict.
+    old: table_id, row, col, extracted_text, corrected_text, review.  Adds corrected_text, review, flags, old_text and
+    action: carried (corrected, source unchanged), conflict (corrected, source changed: kept for review), kept_review,
+    new, none.  Carried cells have the flag carriedOver, conflicts reextractionConflict.  The source is unchanged where
+    normalized texts agree, or where the texts do if strict.
     """
     o = old.select("table_id", "row", "col", F.col("extracted_text").alias("__old"), F.col("corrected_text").alias("__fix"), F.col("review").alias("__review"), F.lit(True).alias("__had"))
-    d = new.select("table_id", "row", "col", "extracted_text").join(o, ["table_id", "row", "col"], "left")
+    own = F.col("flags") if "flags" in new.columns else F.array().cast("array<string>")
+    d = new.select("table_id", "row", "col", "extracted_text", own.alias("__flags")).join(o, ["table_id", "row", "col"], "left")
     same = F.col("extracted_text") == F.col("__old") if strict else normalized(F.col("extracted_text")) == normalized(F.col("__old"))
     same = F.coalesce(same, F.lit(False))
     fixed = F.col("__fix").isNotNull() & (F.col("__fix") != F.col("__old"))
@@ -24,7 +26,29 @@ def carry_over(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFram
     action = F.when(F.col("__had").isNull(), "new").when(fixed & same, "carried").when(fixed, "conflict").when(reviewed & same, "kept_review").otherwise("none")
     d = d.withColumn("action", action)
     review = F.when(F.col("action") == "conflict", "needsReview").when(F.col("action").isin("carried", "kept_review"), F.col("__review")).otherwise("unreviewed")
-    return d.select("table_id", "row", "col", "extracted_text", F.when(F.col("action").isin("carried", "conflict"), F.col("__fix")).alias("corrected_text"), review.alias("review"), "action")
+    flag = F.when(F.col("action") == "carried", "carriedOver").when(F.col("action") == "conflict", "reextractionConflict")
+    flags = F.when(flag.isNotNull(), F.array_append("__flags", flag)).otherwise(F.col("__flags"))
+    fix = F.when(F.col("action").isin("carried", "conflict"), F.col("__fix"))
+    return d.select("table_id", "row", "col", "extracted_text", fix.alias("corrected_text"), review.alias("review"), flags.alias("flags"), F.col("__old").alias("old_text"), "action")
+
+
+def carry_over_log(carried: DataFrame) -> DataFrame:
+    """table_id, row, col, kind, before, after: a row for each correction that was carried or is in conflict."""
+    d = carried.filter(F.col("action").isin("carried", "conflict"))
+    conflict = F.col("action") == "conflict"
+    return d.select(
+        "table_id", "row", "col", F.when(conflict, "conflict").otherwise("carriedOver").alias("kind"),
+        F.when(conflict, F.col("old_text")).otherwise(F.col("extracted_text")).alias("before"), F.when(conflict, F.col("extracted_text")).otherwise(F.col("corrected_text")).alias("after"),
+    )
+
+
+def carried_roles(old_rows: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """new_rows (table_id, row, role) with the roles of the old version where both have as many rows."""
+    size = lambda d, name: d.groupBy("table_id").agg(F.count("*").alias(name))
+    same = size(old_rows, "a").join(size(new_rows, "b"), "table_id").filter("a = b").select("table_id")
+    old = old_rows.join(same, "table_id", "left_semi").select("table_id", "row", F.col("role").alias("__role"))
+    d = new_rows.join(old, ["table_id", "row"], "left")
+    return d.withColumn("role", F.coalesce("__role", "role")).select(*new_rows.columns)
 
 
 def carry_over_summary(carried: DataFrame, old: DataFrame) -> DataFrame:
@@ -47,6 +71,12 @@ def current_runs(runs: DataFrame) -> DataFrame:
     return latest(runs.filter("status = 'completed'"), ["table_id"], F.col("started_at"), F.col("run_id"))
 
 
+def shown_runs(runs: DataFrame) -> DataFrame:
+    """table_id, run_id, status: the current run, or the last failed one of a table that has none completed."""
+    order = F.struct((F.col("status") == "completed").alias("c"), "started_at", "run_id")
+    return runs.filter(F.col("status").isin("completed", "failed", "cancelled")).groupBy("table_id").agg(F.max_by(F.struct("run_id", "status"), order).alias("r")).select("table_id", "r.*")
+
+
 def correction_history(log: DataFrame) -> DataFrame:
     """log (cell_id, created_at, id, before, after) with place from the latest back, the value before, whether it follows on."""
     up = Window.partitionBy("cell_id").orderBy("created_at", "id")
@@ -113,6 +143,15 @@ def cache_key(document_sha: Column, engine: Column, segments: Column) -> Column:
     return F.sha2(F.concat_ws("|", document_sha, engine, segments), 256)
 
 
+def cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits with the cached payload, requests without one).  requests: key and more; cache: key, payload, stored_at.
+
+    The last payload of a key counts; putting is an append of rows to the cache, clearing a new, empty cache.
+    """
+    last = latest(cache, ["key"], F.col("stored_at")).select("key", "payload")
+    return requests.join(last, "key"), requests.join(last, "key", "left_anti")
+
+
 def snapshots(tables: DataFrame, documents: DataFrame, runs: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells of each table's current run with table and document; tables without a current run have none."""
     t = tables.filter("current_run_id is not null").select("table_id", "document_id", F.col("name").alias("table_name"), F.col("current_run_id").alias("run_id"))
