@@ -1,74 +1,10 @@
-"""Layout on small pages: lines, rulings, headers apart from their values, spans, hyphens."""
+"""Ruling lines of rasters, recognised tables, characters of regions, stored rows."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from gridsmith.operators import layout
 from gridsmith.sources import readers
 
-WORDS = "region_id int, text string, x0 double, x1 double, y0 double, y1 double, score double"
-REGIONS = "region_id int, region struct<x:double,y:double,width:double,height:double>"
-RULES = "region_id int, vertical array<double>, horizontal array<double>"
-
-
-def page(spark, lines, region=(-5.0, 0.0, 260.0, 130.0), number=1):
-    words = [(number, t, float(x), x + 5.0 * len(t), float(y), y + 8.0, 0.9) for y, ws in lines for x, t in ws]
-    return spark.createDataFrame(words, WORDS), spark.createDataFrame([(number, region)], REGIONS)
-
-
-def grid(cells):
-    return {(r["row"], r["col"]): r["text"] for r in cells.collect()}
-
-
-def test_a_word_joins_the_line_it_shares_most_with(spark):
-    words = [(1, "a", 0.0, 5.0, 100.0, 110.0, None), (1, "b", 10.0, 15.0, 93.0, 103.0, None), (1, "c", 20.0, 25.0, 90.0, 100.0, None), (1, "big", 30.0, 50.0, 88.0, 112.0, None)]
-    got = {r["text"]: r["line"] for r in layout.word_lines(spark.createDataFrame(words, WORDS)).collect()}
-    assert got["a"] == got["big"] == 0 and got["b"] == got["c"] == 1
-
-
-def test_vertical_rulings_are_columns(spark):
-    lines = [(100, [(0, "Code"), (30, "Name")]), (88, [(0, "01"), (26, "x"), (60, "yy")]), (76, [(0, "02"), (26, "z"), (60, "ww")])]
-    words, regions = page(spark, lines)
-    rules = spark.createDataFrame([(1, [24.0, 24.5, 55.0, -4.0], [])], RULES)
-    got = grid(layout.read_grid(words, regions, rules))
-    assert got[1, 0] == "01" and got[1, 1] == "x" and got[1, 2] == "yy" and max(c for _, c in got) == 2
-
-
-def test_horizontal_rulings_are_rows_and_confirm_headers(spark):
-    lines = [(100, [(0, "A"), (60, "B")]), (88, [(0, "one"), (60, "1")]), (80, [(0, "more"), (60, "2")]), (60, [(0, "two"), (60, "3")])]
-    words, regions = page(spark, lines)
-    rows = spark.createDataFrame([(1, [], [97.0, 75.0])], RULES)
-    cells = layout.read_grid(words, regions, rows)
-    got = grid(cells)
-    assert got == {(0, 0): "A", (0, 1): "B", (1, 0): "one more", (1, 1): "1 2", (2, 0): "two", (2, 1): "3"} and cells.filter(F.size("flags") > 0).count() == 0
-    many = [(124 - 8 * i, [(0, f"t{i}"), (60, "x" if i < 2 else str(i))]) for i in range(12)]
-    words, regions = page(spark, many)
-    one = spark.createDataFrame([(1, [], [115.0])], RULES)
-    assert layout.read_grid(words, regions, one).first()["header_rows"] == 2
-
-
-def test_a_header_beside_its_values_joins_them(spark):
-    lines = [(100, [(0, "Name"), (100, "Count")]), *[(88 - 12 * i, [(0, f"row{i}"), (160, str(i + 10))]) for i in range(5)]]
-    words, regions = page(spark, lines)
-    got = grid(layout.read_grid(words, regions))
-    assert got[0, 1] == "Count" and got[1, 1] == "10" and max(c for _, c in got) == 1
-
-
-def test_flags_hyphens_and_boxes(spark):
-    lines = [(100, [(0, "Wide heading over both columns")]), *[(88 - 12 * i, [(0, f"r{i}"), (90, str(i))]) for i in range(5)], (30, [(0, "semi-"), (25, "colon"), (90, "7")]), (22, [(90, "kg")])]
-    words, regions = page(spark, lines)
-    cells = {(r["row"], r["col"]): r for r in layout.read_grid(words, regions).collect()}
-    assert cells[6, 0]["text"] == "semi-colon" and len(cells[6, 0]["boxes"]) == 1 and cells[6, 0]["boxes"][0]["width"] == 50.0
-    assert cells[6, 1]["text"] == "7 kg" and cells[6, 1]["flags"] == ["continuationMerged"] and len(cells[6, 1]["boxes"]) == 2
-    assert cells[0, 0]["col_span"] == 2 and cells[0, 0]["flags"] == ["spansColumns"] and cells[0, 0]["header_rows"] == 1
-
-
-def test_empty_columns_go(spark):
-    lines = [(100 - 12 * i, [(0, "a"), (100, str(i))]) for i in range(4)]
-    words, regions = page(spark, lines)
-    rules = spark.createDataFrame([(1, [40.0, 60.0], [])], RULES)
-    assert max(c for _, c in grid(layout.read_grid(words, regions, rules))) == 1
-
 
 def test_ruling_lines(spark):
     image = np.full((60, 100), 255, np.uint8)
@@ -82,9 +18,8 @@ def test_ruling_lines(spark):
     assert got["horizontal"] == [3.0 + 59.5 - 10.5] and got["vertical"] == [77.5]
 
 
-def test_engines_and_recognised_tables(spark):
-    words, regions = page(spark, [(100, [(0, "a"), (60, "1")]), (88, [(0, "b"), (60, "2")])])
-    assert grid(readers.extracted("layout", words, regions)) == {(0, 0): "a", (0, 1): "1", (1, 0): "b", (1, 1): "2"}
+def test_recognised_tables(spark):
+    assert readers.ENGINES["layout"] is layout.read_grid
     box = "struct<x:double,y:double,width:double,height:double>"
     schema = f"region_id int, table_no int, box {box}, cells array<struct<row:int,col:int,row_span:int,col_span:int,text:string,box:{box},lines:array<struct<box:{box},confidence:double>>>>"
     b = lambda w: (0.0, 0.0, float(w), 1.0)
