@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm import embedding_dedup, html_text, importance, mixing, packing, quality_rules, sharding, simhash, substring, token_files
+from gridsmith.llm import embedding_dedup, html_text, importance, mixing, packing, periodic_runs, quality_rules, sharding, simhash, substring, token_files
 from gridsmith.llm.sql import SQL
 
 
@@ -53,11 +56,45 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """docs, the texts of a tenth of the doc_ids made periodic from one word on; no doc_id: as it is."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    @F.pandas_udf("string")
+    def repeat(text: pd.Series, g: pd.Series) -> pd.Series:
+        def one(t: str | None, g: int) -> str | None:
+            if t is None or not (words := word.findall(t)):
+                return None
+            n = len(words)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            return " ".join(words[:a] + [words[a + (i - a) % p] for i in range(a, n)])
+
+        return pd.Series([one(t, int(x)) for t, x in zip(text, g, strict=True)], dtype=object)
+
+    h = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
+    text, g = F.when(h % 10 == 0, F.col("text")), F.coalesce(F.floor(h / 10), F.lit(0))
+    return docs.select("doc_id", F.coalesce(repeat(text, g), F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse_runs(_repeating(_table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    found = found.withColumn("best", F.aggregate("runs", none, lambda best, r: F.when(more(best, r), r).otherwise(best)))
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_best_fit_packing, op3_html_extraction, op4_simhash, op5_token_files, op6_substring_dedup,
         op7_importance_resampling, op8_jump_sharding, op9_source_mixing, op10_embedding_dedup,
+        op12_periodic_runs,
     )
 }
 ORACLES = SQL
