@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm import embedding_dedup, html_text, importance, mixing, packing, periodic_runs, quality_rules, sharding, simhash, substring, token_files
+from gridsmith.llm import embedding_dedup, html_text, importance, language_id, mixing, packing, periodic_runs, quality_rules, sharding, simhash, substring, token_files
 from gridsmith.llm.sql import SQL
 
 
@@ -56,6 +56,13 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = language_id.held_out()
+    profiles = language_id.learn_profiles(docs.filter(~held & F.col("doc_id").isNotNull()))
+    return language_id.identify(docs, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def _repeating(docs: DataFrame) -> DataFrame:
     """docs, the texts of a tenth of the doc_ids made periodic from one word on; no doc_id: as it is."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,7 +101,7 @@ QUERIES = {
     for f in (
         op1_quality_rules, op2_best_fit_packing, op3_html_extraction, op4_simhash, op5_token_files, op6_substring_dedup,
         op7_importance_resampling, op8_jump_sharding, op9_source_mixing, op10_embedding_dedup,
-        op12_periodic_runs,
+        op11_language_id, op12_periodic_runs,
     )
 }
 ORACLES = SQL
