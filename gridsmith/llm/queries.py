@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsmith.llm import embedding_dedup, html_text, importance, language_id, mixing, packing, periodic_runs, quality_rules, sharding, simhash, substring, token_files
+from gridsmith.llm import embedding_dedup, html_text, importance, kmeans, language_id, mixing, packing, periodic_runs, quality_rules, sharding, simhash, substring, token_files
 from gridsmith.llm.sql import SQL
 
 
@@ -96,12 +96,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kmeans.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("centroid_sha256", kmeans.centroid_sha256()).drop("centroid")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_best_fit_packing, op3_html_extraction, op4_simhash, op5_token_files, op6_substring_dedup,
         op7_importance_resampling, op8_jump_sharding, op9_source_mixing, op10_embedding_dedup,
-        op11_language_id, op12_periodic_runs,
+        op11_language_id, op12_periodic_runs, op13_centroid_clustering,
     )
 }
 ORACLES = SQL

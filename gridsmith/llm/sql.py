@@ -105,4 +105,26 @@ listed as (
 select doc_id, source, size, source_size, target, quota, taken, shard_words from tape join listed using (row_no)"""
 
 
-SQL = {"op1_quality_rules": _quality_rules(), "op6_substring_dedup": _SUBSTRING_DEDUP, "op9_source_mixing": _source_mixing(), "op10_embedding_dedup": _EMBEDDING_DEDUP}
+def _centroid_clustering(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Plain rounds: every vector against every centroid, in integers."""
+    nearest = "select row_no, x, arg_min(no, (d, no)) no, min(d) d from (select row_no, x, no, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint d from v, c{i}) group by row_no, x"
+    steps = ""
+    for i in range(rounds):
+        steps += f"""
+a{i} as materialized ({nearest.format(i=i)}),
+m{i} as (
+  select no, list((s - (s % n + n) % n) // n order by j) c
+  from (select no, j, sum(x[j])::bigint s, count(*) n from a{i}, (select unnest(range(1, {dims + 1})) j) group by no, j) group by no),
+c{i + 1} as materialized (select no, coalesce(m{i}.c, c{i}.c) c from c{i} left join m{i} using (no)),"""
+    return f"""
+with v as materialized (
+  select row_number() over () row_no, vec_id, list_transform(embedding, lambda e: floor({scale} * e::double)::bigint) x from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = {dims}),
+c0 as materialized (
+  select (row_number() over (order by h nulls last, x) - 1)::int no, x c from (select sha256('{seed}:' || vec_id) h, x from v) order by h nulls last, x limit {k}),{steps}
+last as ({nearest.format(i=rounds)})
+select vec_id, no as cluster, d as distance, sum(d) over (partition by no)::bigint cluster_inertia, sum(d) over ()::bigint inertia, sha256(array_to_string(c, ',')) centroid_sha256
+from last join v using (row_no) join c{rounds} using (no)"""
+
+
+SQL = {"op1_quality_rules": _quality_rules(), "op6_substring_dedup": _SUBSTRING_DEDUP, "op9_source_mixing": _source_mixing(), "op10_embedding_dedup": _EMBEDDING_DEDUP, "op13_centroid_clustering": _centroid_clustering()}
