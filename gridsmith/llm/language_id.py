@@ -102,17 +102,20 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn_profiles(docs: DataFrame, size: int = 1000, per_language: int = 20_000, seed: int = 3) -> DataFrame:
+def learn_profiles(docs: DataFrame, size: int = 1000, per_language: int = 20_000, seed: int = 3, most_languages: int = 1000) -> DataFrame:
     """lang, gram, rank (from 0): the `size` most frequent n-grams of each lang over docs with text and lang.
 
     Of a lang with more than per_language documents about that many are learned from, whole, chosen by a seeded hash of
     doc_id.  Of equal counts the smaller n-gram goes first.  Rows without lang or text are left out; rows that share a
-    doc_id are chosen together.
+    doc_id are chosen together.  More than most_languages languages are a ValueError: their sizes are sent to all tasks.
     """
     docs = docs.filter("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    sizes = docs.sparkSession.createDataFrame([tuple(r) for r in sizes], "lang string, n long")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / (1 << 40)
-    chosen = docs.join(sizes, "lang").filter(draw * F.col("n") < per_language).select("lang", "text")
+    chosen = docs.join(F.broadcast(sizes), "lang").filter(draw * F.col("n") < per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}

@@ -110,6 +110,8 @@ def test_too_many_languages_are_refused(spark):
     docs = spark.createDataFrame([(i, "abc", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
         language_id.identify(docs, language_id.learn_profiles(docs, 5), 5, most_languages=20)
+    with pytest.raises(ValueError):
+        language_id.learn_profiles(docs, 5, most_languages=20)
 
 
 def test_query_on_documents_that_were_not_learned_from(spark):
