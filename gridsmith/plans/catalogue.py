@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridsmith.plans import parsing, reviewing
+from gridsmith.plans import pages, parsing, reviewing
 
-QUERIES = parsing.QUERIES | reviewing.QUERIES
-ORACLES = parsing.ORACLES | reviewing.ORACLES
+QUERIES = parsing.QUERIES | reviewing.QUERIES | pages.QUERIES
+ORACLES = parsing.ORACLES | reviewing.ORACLES | pages.ORACLES
 FLAGSHIP = "locale_parse_totals"

@@ -14,6 +14,7 @@ from gridsmith.operators import evaluate, export, grid, layout, recipes, rules,
 from gridsmith.operators.normalize import normalize
 from gridsmith.plans.fixtures import cents, money, normalized_orders, order_cells, order_columns, order_rows, table, tokens
 from gridsmith.plans.reviewing_sql import ORACLES  # noqa: F401
+from gridsmith.sources.scratch import written
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
