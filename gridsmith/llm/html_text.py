@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ RAW_END = {
 }
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NOT_SHOWN = set("head script style template noscript title datalist noembed noframes iframe audio video canvas object param col colgroup rp".split())
+NOT_SHOWN = set("head script style template noscript title datalist noembed noframes iframe audio video canvas object param col colgroup rp progress meter".split())
 IN_HEAD = set("head html title meta link base script style noscript template".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p plaintext pre search section summary table ul caption tr td th thead tbody tfoot listing xmp optgroup option".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure menu dir hr listing plaintext xmp".split())
@@ -71,6 +72,7 @@ NOT_DRAWN = {
 BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SCOPE = {"caption", "button", "object", "html"} | TABLE | CELLS
 LEVELS, TABLES = 20, 20
+GAP = 1000  # the most columns that one cell can span, and the most separators in a row without a cell between
 #: kept spaces and tabs of preformatted text, as signs that no text can hold; \x0b is a line's end
 _KEEP = {0x20: "\ud800", 0x0B: "\ud800", 0x09: "\ud801", 0x0A: "\x0b"}
 _BACK = {0xD800: " ", 0xD801: "\t"}
@@ -319,6 +321,11 @@ class _Page:
                 top.flow.boundary(True)
             elif not top.gone and tag in ("img", "area") and "alt" in low:
                 top.flow.run.append(" ")
+            elif tag == "input" and "value" in low and not (top.gone or top.unseen):
+                a = _attributes(raw)
+                style = _style(a)
+                if a.get("type", "").strip().lower() in ("submit", "reset", "button") and "hidden" not in a and style.get("display") != "none" and style.get("visibility") not in ("hidden", "collapse"):
+                    top.flow.run.append(a.get("value", "").replace("\x0b", " "))
             return None
         node = self.push(tag)
         style = _style(a)
@@ -346,8 +353,8 @@ class _Page:
         if not foreign:
             node.block = tag in BLOCK and tag not in ("tr", *GROUPS)
             if tag not in IN_TABLE and tag not in ("li", "dd", "blockquote"):
-                node.block = (node.block or display in ("block", "flex", "grid", "flow-root", "list-item", "table")) and display != "inline"
-            node.spaced = tag in SPACED and not (tag in LISTS and self.nearest({"li"}).serial > self.nearest(CELLS).serial)
+                node.block = (node.block or display in ("block", "flex", "grid", "flow-root", "list-item", "table")) and display not in ("inline", "contents")
+            node.spaced = tag in SPACED and display != "contents" and not (tag in LISTS and self.nearest({"li"}).serial > self.nearest(CELLS).serial)
         if tag == "details" and "open" not in a:
             node.kind = "closed"
         elif tag in CELLS and a:
@@ -407,29 +414,81 @@ class _Page:
             self.splice(node)
 
 
+class _Held:
+    """The columns that cells of rows above hold: disjoint spans, of which neighbours are one block for who passes them."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int, int]] = []  # from, to, the row until which it is held
+        self.ends: list[tuple[int, int, int]] = []  # a heap of (until, from, to)
+        self.first: list[int] = []  # where each block begins,
+        self.last: list[int] = []  # and where it ends
+
+    def free(self, at: int) -> int:
+        """The first column from at on that is not held."""
+        k = bisect_right(self.first, at) - 1
+        return max(at, self.last[k]) if k >= 0 else at
+
+    def hold(self, a: int, b: int, until: int) -> None:
+        lo = bisect_right(self.spans, (a, a, 0))
+        lo -= lo > 0 and self.spans[lo - 1][1] > a
+        hi = bisect_left(self.spans, (b, b, 0))
+        pieces, at = [], a
+        for x, y, u in self.spans[lo:hi]:  # what overlaps is held by the longer of both
+            if x < a:
+                pieces.append((x, a, u))
+            if at < x:
+                pieces.append((at, x, until))
+            pieces.append((max(x, a), min(y, b), max(u, until)))
+            if y > b:
+                pieces.append((b, y, u))
+            at = min(y, b)
+        if at < b:
+            pieces.append((at, b, until))
+        self.spans[lo:hi] = pieces
+        for x, y, u in pieces:
+            heappush(self.ends, (u, x, y))
+        lo, hi = bisect_left(self.last, a), bisect_right(self.first, b)
+        if lo < hi:
+            a, b = min(a, self.first[lo]), max(b, self.last[hi - 1])
+        self.first[lo:hi], self.last[lo:hi] = [a], [b]
+
+    def release(self, row: int) -> None:
+        """Frees what is held until this row."""
+        while self.ends and self.ends[0][0] <= row:
+            u, a, b = heappop(self.ends)
+            k = bisect_left(self.spans, (a, b, u))
+            if k == len(self.spans) or self.spans[k] != (a, b, u):
+                continue  # it has been parted since
+            del self.spans[k]
+            k = bisect_right(self.first, a) - 1
+            parts = [(x, y) for x, y in ((self.first[k], a), (b, self.last[k])) if x < y]
+            self.first[k : k + 1], self.last[k : k + 1] = [x for x, _ in parts], [y for _, y in parts]
+
+
 def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Rows of (lines, columns, rows that a cell spans; 0 rows: all below) in common columns.
 
-    The blanks that align cells stay below four times the text and 64 a cell: a column with cells far longer than
-    the others is aligned to a shorter width, over which they run.
+    Every column that a row skips has its separator, so that its next cell stands in its own column; more than GAP
+    skipped columns in a row stand as their number, |xN|.  The blanks that align cells stay below four times the text
+    and 64 a cell: where they are used up, columns get narrower, and a column with cells far longer than the others is
+    aligned to a shorter width, over which they run.
     """
     n_cells = sum(map(len, rows))
     size = sum(len(x) for row in rows for lines, _, _ in row for x in lines)
-    left, steps = 4 * size + 64 * n_cells, 50 * n_cells + 10_000
+    left = 4 * size + 64 * n_cells
     placed: list[list[tuple[int, int, list[str]]]] = []
-    busy: list[tuple[int, int, int]] = []  # columns that cells above hold, until a row
+    held = _Held()
     for r, row in enumerate(rows):
-        busy = [b for b in busy if b[2] > r] if busy and steps > 0 else []
-        steps -= len(busy)
-        at, k, line, more = 0, 0, [], []
+        held.release(r)
+        at, line, more = 0, [], []
         for lines, wide, deep in row:
-            while k < len(busy) and busy[k][0] <= at:
-                at, k = max(at, busy[k][1]), k + 1
+            at = held.free(at)
             line.append((at, at + wide, lines))
             if deep != 1:
                 more.append((at, at + wide, r + deep if deep else len(rows)))
             at += wide
-        busy = sorted(busy + more) if more else busy
+        for span in more:
+            held.hold(*span)
         placed.append(line)
     starts = sorted({a for line in placed for a, _, _ in line})  # columns in which no cell starts are none
     placed = [[(bisect_left(starts, a), bisect_left(starts, b), lines) for a, b, lines in line] for line in placed]
@@ -465,9 +524,13 @@ def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
             if any(k < len(lines) and lines[k] for _, _, lines in active):
                 parts, at = [], 0
                 for i, (a, b, lines) in enumerate(active):
-                    if a > at and (gap := place[a] - place[at]) <= left:
+                    if a - at > GAP:
+                        parts.append(f" |x{a - at}| ")
+                    elif a > at and (gap := place[a] - place[at]) <= left:
                         left -= gap
                         parts += [" " * w + " | " for w in widths[at:a]]
+                    else:
+                        parts.append(" | " * (a - at))
                     text = lines[k] if k < len(lines) else ""
                     parts.append(text)
                     if i < len(active) - 1:
@@ -536,7 +599,8 @@ def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     text is what a reader sees, laid out line by line; a null or empty page, or one without visible text, has the
     empty text and 0 lines.  Rows that share a page_id are pages of their own.  Broken markup is read as far as it
-    goes and never fails; a formatting element that is left open ends with its block.  Style sheets are not read:
+    goes and never fails; a formatting element that is left open ends with its block.  Of form controls the labels of
+    buttons are shown, given as text or as value, and not what fields, progress bars and meters hold.  Style sheets are not read:
     what hides is the hidden attribute, an element's own style, and elements that browsers do not show.  An empty
     table gives none; other columns are left out, whatever their names.
     """

@@ -1,6 +1,7 @@
 """Page text against a second, plain implementation on trees, and on markup that is broken, deep or hostile."""
 
 import random
+import re
 import time
 
 import pytest
@@ -31,6 +32,9 @@ from gridsmith.llm import html_text
     ("<span style='display:block'>a</span>b", "a\nb"), ("a\r\nb<pre>\r\n c\r\n  d</pre>", "a b\n\n c\n  d"),
     ("<svg><text><![CDATA[a<b]]></text></svg>", "a<b"), ("<a", "<a"), ("1 <2 </b", "1 <2 </b"), ("<plaintext>a</b>", "a</b>"),
     ("<blockquote><p>a<p>b</blockquote>c", "  a\n\n  b\n\nc"),
+    ("<div>x<div style='display:contents'>y</div></div>", "xy"), ("a <progress>50%</progress><meter>3</meter> b", "a b"),
+    ("<input type=submit value='Go &amp; see'><input value=no><div hidden><input type=button value=no></div>", "Go & see"),
+    ("<table><tr><td rowspan=3>a<td colspan=2>b<td>c<tr><td>d<td rowspan=2>e<tr><td>f<td>g</table>", "a | b     | c\n  | d | e\n  | f |   | g"),
 ])
 def test_broken_and_rare_markup(page, want):
     assert html_text.page_text(page) == want
@@ -64,6 +68,37 @@ def test_hostile_pages_take_linear_time_and_space(name, page, want):
         assert got.count(letter) >= 1 or f"{letter}<" not in page
 
 
+@pytest.mark.parametrize("spanned, below", [(120, 280), (300, 200), (20, 40), (50, 30), (20, 200), (1000, 50)])
+def test_cells_below_row_spans_stand_in_their_column(spanned, below):
+    page = "<table><tr>" + "<td rowspan=9999>a" * spanned + "<tr><td>b" * below + "</table>"
+    lines = html_text.page_text(page).split("\n")
+    assert len(lines) == below + 1 and all(x.count("|") == spanned and x.endswith("| b") for x in lines[1:])
+
+
+def test_a_long_gap_is_a_number():
+    page = "<table><tr>" + "<td rowspan=9>a" * 1001 + "<tr><td>b<tr><td>c</table>"
+    assert html_text.page_text(page).split("\n")[1:] == [" |x1001| b", " |x1001| c"]
+
+
+def test_columns_that_are_held():
+    """Spans that begin, end and overlap, against one mark for each column."""
+    r = random.Random(1)
+    for _ in range(500):
+        n, until, held = r.randint(1, 9), {}, html_text._Held()
+        for row in range(n):
+            held.release(row)
+            at, new = 0, []
+            for _ in range(r.randint(0, 4)):
+                want = next(c for c in range(at, 999) if until.get(c, 0) <= row)
+                assert held.free(at) == want
+                wide, deep = r.choice([1, 1, 2, 4]), r.choice([1, 2, 3, 9])
+                new += [(want, want + wide, row + deep)] if deep > 1 else []
+                at = want + wide
+            for a, b, u in new:
+                held.hold(a, b, u)
+                until.update({c: max(until.get(c, 0), u) for c in range(a, b)})
+
+
 WORDS = "alpha beta gamma delta epsilon zeta eta theta".split()
 
 
@@ -77,7 +112,8 @@ def tree(r, depth, inside):
         return tag, attributes, [("li", "", [tree(r, depth - 2, "block") for _ in range(r.randint(1, 3))]) for _ in range(r.randint(1, 4))] if depth > 1 else []
     if tag == "table":
         n = r.randint(1, 3)
-        return tag, attributes, [("tr", "", [("td", "", [tree(r, max(0, depth - 3), "block") for _ in range(r.randint(0, 2))]) for _ in range(n)]) for _ in range(r.randint(1, 3))]
+        span = lambda: r.choice(["", "", "", " colspan=2", " rowspan=2", " rowspan=3 colspan=2", " rowspan=0"])
+        return tag, attributes, [("tr", "", [("td", span(), [tree(r, max(0, depth - 3), "block") for _ in range(r.randint(0, 2))]) for _ in range(n)]) for _ in range(r.randint(1, 4))]
     inner = "block" if tag in ("div", "blockquote") else "inline"
     return tag, attributes, [tree(r, depth - 1, inner) for _ in range(r.randint(0, 4))]
 
@@ -104,7 +140,8 @@ def laid_out(node):
         if tag in ("span", "b", "i"):
             return [p for c in children for p in pieces(c, seen, in_list)]
         if tag == "table":
-            rows = [[lines_of([p for c in td[2] for p in pieces(c, seen, False)]) for td in tr[2]] for tr in children]
+            spans = lambda td: [int((re.search(rf"{x}=(\d)", td[1]) or [0, 1])[1]) for x in ("colspan", "rowspan")]
+            rows = [[(lines_of([p for c in td[2] for p in pieces(c, seen, False)]), *spans(td)) for td in tr[2]] for tr in children]
             return [("edge", True), ("lines", grid(rows)), ("edge", True)]
         spaced = tag in ("p", "ul", "ol", "blockquote", "h2") and not (tag in ("ul", "ol") and in_list)
         if tag in ("ul", "ol"):
@@ -135,15 +172,39 @@ def laid_out(node):
         return out
 
     def grid(rows):
-        n = max(map(len, rows), default=0)
-        widths = [max((len(x) for row in rows if c < len(row) for x in row[c]), default=0) for c in range(n)]
+        held, cells = {}, []  # (row, column) that a cell has; (row, from, to, lines)
+        for r, row in enumerate(rows):
+            at = 0
+            for lines, wide, deep in row:
+                while (r, at) in held:
+                    at += 1
+                cells.append((r, at, at + wide, lines))
+                for y in range(r + 1, r + deep if deep else len(rows)):
+                    held.update({(y, x): True for x in range(at, at + wide)})
+                at += wide
+        starts = sorted({a for _, a, _, _ in cells})  # columns in which no cell starts are none
+        cells = [(r, sum(x < a for x in starts), sum(x < b for x in starts), lines) for r, a, b, lines in cells]
+        longest = lambda lines: max(map(len, lines), default=0)
+        widths = [max((longest(lines) for _, a, b, lines in cells if (a, b) == (c, c + 1)), default=0) for c in range(len(starts))]
+        wide = lambda a, b: sum(widths[a:b]) + 3 * (b - a - 1)
+        more = {}
+        for _, a, b, lines in cells:
+            if b - a > 1 and lines:
+                more[b - 1] = max(more.get(b - 1, 0), longest(lines) - wide(a, b))
+        widths = [w + max(0, more.get(c, 0)) for c, w in enumerate(widths)]
         out = []
-        for row in rows:
-            for k in range(max(map(len, row), default=0)):
-                cells = [cell[k] if k < len(cell) else "" for cell in row]
-                if any(cells):
-                    last = len(cells) if k == 0 else max(i for i, cell in enumerate(row) if k < len(cell)) + 1
-                    out.append(" | ".join(x if i == last - 1 else x.ljust(w) for i, (x, w) in enumerate(zip(cells[:last], widths[:last], strict=True))).rstrip(" "))
+        for r in range(len(rows)):
+            mine = [x[1:] for x in cells if x[0] == r]
+            for k in range(max((len(lines) for _, _, lines in mine), default=0)):
+                shown = [x for x in mine if k == 0 or k < len(x[2])]
+                text, at = "", 0
+                for i, (a, b, lines) in enumerate(shown):
+                    text += "".join(" " * w + " | " for w in widths[at:a])
+                    own = lines[k] if k < len(lines) else ""
+                    text += own.ljust(wide(a, b)) + " | " if i < len(shown) - 1 else own
+                    at = b
+                if any(k < len(lines) and lines[k] for _, _, lines in mine):
+                    out.append(text.rstrip(" "))
         return out
 
     return "\n".join(lines_of(pieces(node, True, False)))
