@@ -5,14 +5,17 @@ words of every document probes the index of blocks.  A repeat of 20 words holds
 each place has a hit; around the hits the repeat is extended to whole runs of 20 words, which are compared
 themselves.  What is left is the union of those that also start earlier: the maximal exact repeats.
 
-Index and probes meet packed: a task sends, for each range of hashes, one row of arrays, so billions of windows cost a
-few bytes each and a passage that many documents share costs one window a slice.
+Index and probes meet packed: a slice of text sends, for each range of hashes, one row of arrays.  A bucket is a range
+that fits into a task's memory.  Where there are more than FAN buckets, rows go in two steps: to wide ranges first, where
+each task parts its share into the buckets, so that a row always holds some hundred windows and no task writes to all
+buckets.  A passage that many documents share costs one window a slice, and then one window a task of the first step.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,9 @@ from pyspark.sql.types import StructType
 
 from gridsmith.llm._words import U64, mixed, slices, windows
 
-NULL_ID = -(1 << 63)
+NULL_ID, LEAST_ID = -(1 << 63), -(1 << 62)
+FAN = 2048  # buckets that one slice writes to directly
+MOST_PARTITIONS = 10_000  # of a shuffle; beyond, a task takes its buckets one after the other
 _PACKED = "bucket int, hits boolean, payload binary"
 
 
@@ -73,6 +78,64 @@ def _rows(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(hits, pa.bool_()), pa.array(payload, pa.binary())], names=["bucket", "hits", "payload"])
 
 
+class _Deal:
+    """n buckets, and the wide ranges of them that rows go to first where there are many."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.partitions = n, min(n, MOST_PARTITIONS)
+        self.wide = math.isqrt(n - 1) + 1 if n > FAN else 0
+        self.tasks = max(1, -(-self.partitions // self.wide)) if self.wide else 0  # for each wide range
+
+    def first(self, bucket: np.ndarray, salt: int) -> np.ndarray:
+        """Where windows of these buckets go from a slice or task; salt tells its rows of a range from others'."""
+        if not self.wide:
+            return bucket.astype(np.int32)
+        return (bucket * self.wide // self.n * self.tasks + salt % self.tasks).astype(np.int32)
+
+    def exchange(self, packed: DataFrame, part: Callable) -> DataFrame:
+        """packed rows (bucket, hits, payload) in one task for each bucket, or its buckets in order."""
+        if self.wide:
+            packed = packed.repartitionById(self.wide * self.tasks, "bucket").mapInArrow(part, _PACKED)
+        if self.partitions == self.n:
+            return packed.repartitionById(self.n, "bucket")
+        at = (F.col("bucket").cast("long") * self.partitions / self.n).cast("int")
+        return packed.repartitionById(self.partitions, at).sortWithinPartitions("bucket")
+
+
+def _each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bool, bytes]]]:
+    """The rows of one bucket after the other."""
+    held, now = [], None
+    for batch in batches:
+        for bucket, hits, payload in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if bucket != now and held:
+                yield held
+                held = []
+            now = bucket
+            held.append((hits, payload))
+    if held:
+        yield held
+
+
+def _some(batches: Iterator[pa.RecordBatch], limit: int = 64 << 20) -> Iterator[list[tuple[bool, bytes]]]:
+    """Rows of at most so many bytes together, or one."""
+    held, size = [], 0
+    for batch in batches:
+        for hits, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            held.append((hits, payload))
+            size += len(payload)
+            if size > limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _hit_rows(rows: list[tuple[bool, bytes]], width: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(keys, places) of the rows that are hits already."""
+    got = [_unpack(x, width)[:2] for hits, x in rows if hits]
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True)) if got else None
+
+
 def _by_bucket(bucket: np.ndarray, docs: np.ndarray, place: np.ndarray, hashes: np.ndarray, width: int) -> list[tuple[int, bool, bytes]]:
     order = np.argsort(bucket, kind="stable")
     bucket, docs, place, hashes = bucket[order], docs[order], place[order], hashes[order]
@@ -80,10 +143,10 @@ def _by_bucket(bucket: np.ndarray, docs: np.ndarray, place: np.ndarray, hashes:
     return [(int(bucket[a]), False, _pack(docs[a:b], place[a:b], hashes[a:b], width)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _by_group(docs: np.ndarray, place: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """Windows packed for each group of documents, of n, by the first key column."""
+def _by_group(docs: np.ndarray, place: np.ndarray, deal: _Deal) -> Iterator[pa.RecordBatch]:
+    """Windows packed for each group of documents, by the first key column."""
     if len(place):
-        group = (mixed(docs[:, 0].view(U64)) % U64(n)).astype(np.int32)
+        group = deal.first((mixed(np.ascontiguousarray(docs[:, 0]).view(U64)) % U64(deal.n)).astype(np.int64), int(place[0]))
         order = np.lexsort([place, *docs.T[::-1], group])
         docs, place, group = docs[order], place[order], group[order]
         edge = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
@@ -106,21 +169,19 @@ def _of_documents(column: pa.Array, kind: type, width: int) -> tuple[np.ndarray,
     return np.repeat(np.arange(len(column)), np.diff(offsets) // (width * np.dtype(kind).itemsize)), records
 
 
-def _collected(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
-    """All windows of a group of documents, each once, by document and place."""
-    got = [_unpack(x, 0)[:2] for batch in batches for x in batch.column(2).to_pylist()]
-    if not got:
-        return None
-    docs, place = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort([place, *docs.T[::-1]])
-    docs, place = docs[order], place[order]
-    new = np.concatenate([[True], (docs[1:] != docs[:-1]).any(1) | (place[1:] != place[:-1])])
-    return docs[new], place[new]
+def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of one group of documents after the other, each once, by document and place."""
+    for rows in _each_bucket(batches):
+        docs, place = _hit_rows(rows, 0)
+        order = np.lexsort([place, *docs.T[::-1]])
+        docs, place = docs[order], place[order]
+        new = np.concatenate([[True], (docs[1:] != docs[:-1]).any(1) | (place[1:] != place[:-1])])
+        yield docs[new], place[new]
 
 
 def _hits_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, packed: a row for each document with the places of its hits (int32)."""
-    if found := _collected(batches):
+    for found in _collected(batches):
         ids, place = found[0][:, 0], found[1].astype("<i4")
         first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
         yield pa.RecordBatch.from_arrays([pa.array(ids[first]), _binary(place[:, None], np.diff(np.append(first, len(ids)))).cast(pa.binary())], names=["id", "packed"])
@@ -128,8 +189,7 @@ def _hits_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _late_of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, packed: a row for each document with runs of late windows (text hash, first and last place, int64)."""
-    if found := _collected(batches):
-        docs, place = found
+    for docs, place in _collected(batches):
         new = np.concatenate([[True], (docs[1:] != docs[:-1]).any(1) | (place[1:] != place[:-1] + 1)])
         at = np.flatnonzero(new)
         last = np.append(at[1:], len(place)) - 1
@@ -144,18 +204,21 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
     A word goes if a run of `window` words that covers it also starts earlier: in a smaller doc_id, or further up in
     the same document.  Runs are judged on the input.  Rows of one doc_id stand in the order of a hash of their
     texts; rows that agree in both are one document and give equal results.  A null doc_id comes before all others (and is
-    held as the least long, which no document may have).  A
+    held as a long below -2^62, which no document may have, by its text: such rows are dealt to all tasks).  A
     null text has no words.  An empty table gives none; other columns are left out, whatever their names.
 
     Runs are told apart by 64-bit hashes.  Windows are dealt by hash into buckets for each `bucket_bytes` of text, and
     a task holds those of a bucket, some 20 bytes a word, whatever the cluster's settings.  A window that all documents
-    share comes once from each slice of 4 MB of text, not once from each document.
+    share comes once from each slice of 4 MB of text, not once from each document, and where there are over 2048 buckets
+    once from each task of the first step.  All rows of one doc_id that is not null are in one task.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     half = window // 2
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).cast("long")).first()[0] or 0
     n = max(1, -(-size // bucket_bytes))
+    deal = _Deal(n)
+    low = U64((1 << 31) - 1)
 
     def keyed(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, object]]:
         batch = batch.take(pa.compute.sort_indices(batch.column(0)))
@@ -178,30 +241,63 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
                 sent = ~anchored
                 sent[anchored] = ~pd.Index(h[anchored]).duplicated()
                 block |= anchored
-                own = [(int(at % n), True, _pack(ids[anchored, None], place[anchored], None, 0))] if anchored.any() else []
-                bucket = ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
-                short = ((h & U64((1 << 39) - 1)) << U64(1)) | block.astype(U64)
-                yield _rows(own + _by_bucket(bucket[sent], ids[sent, None], place[sent], short[sent], 5))
+                bucket, salt = bucket_of(h), int(h[0] & low)
+                own = [(int(deal.first(bucket[:1], salt)[0]), True, _pack(ids[anchored, None], place[anchored], None, 0))] if anchored.any() else []
+                marked = (h << U64(1)) | block.astype(U64)
+                if not deal.wide:
+                    marked &= U64((1 << 40) - 1)  # windows of a bucket are told apart by less
+                yield _rows(own + _by_bucket(deal.first(bucket, salt)[sent], ids[sent, None], place[sent], marked[sent], 8 if deal.wide else 5))
+
+    def bucket_of(h: np.ndarray) -> np.ndarray:
+        return ((h >> U64(32) & low) * U64(n) >> U64(31)).astype(np.int64)
+
+    def part_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of windows that this task sees more than once, one goes on to its bucket; the others have their hit if a block is among them."""
+        for rows in _some(batches):
+            out = []
+            if found := _hit_rows(rows, 0):
+                out.append((int(mixed(found[0][:1, 0].view(U64))[0] % U64(n)), True, _pack(*found, None, 0)))
+            got = [_unpack(x, 8) for hits, x in rows if not hits]
+            if got:
+                docs, place, marked = (np.concatenate(x) for x in zip(*got, strict=True))
+                order = np.argsort(marked)
+                key = marked[order] >> U64(1)
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                size = np.diff(np.append(first, len(key)))
+                has = (marked[order[first + size - 1]] & U64(1)).astype(bool)  # blocks come last in their run
+                told = order[np.repeat((size > 1) & has, size)]
+                if len(told):
+                    out.append((int(bucket_of(marked[told[:1]] >> U64(1))[0]), True, _pack(docs[told], place[told], None, 0)))
+                # one of each run with a block goes on, and all others, which may still meet one
+                go = np.concatenate([order[np.repeat(~has, size)], order[first[has] + size[has] - 1]])
+                h = marked[go] >> U64(1)
+                out += _by_bucket(bucket_of(h), docs[go], place[go], marked[go] & U64((1 << 40) - 1), 5)
+            yield _rows(out)
+
+    def part_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _some(batches):
+            docs, place = _hit_rows(rows, 0)
+            group = (mixed(np.ascontiguousarray(docs[:, 0]).view(U64)) % U64(n)).astype(np.int64)
+            order = np.lexsort([place, *docs.T[::-1], group])
+            docs, place, group = docs[order], place[order], group[order]
+            edge = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
+            yield _rows([(int(group[a]), True, _pack(docs[a:b], place[a:b], None, 0)) for a, b in zip(edge[:-1], edge[1:], strict=True)])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
-        for batch in batches:
-            for hits, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                docs, place, short = _unpack(payload, 5)
-                if hits:
-                    yield from _by_group(docs, place, n)
-                else:
-                    got.append((short, docs[:, 0], place.astype(np.int32)))
-        if not got:
-            return
-        short = np.concatenate([x[0] for x in got])
-        order = np.argsort(short)
-        key = short[order] >> U64(1)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        has = (short[order[first + size - 1]] & U64(1)).astype(bool)  # blocks come last in their run
-        at = order[np.repeat((size > 1) & has, size)]
-        yield from _by_group(np.concatenate([x[1] for x in got])[at, None], np.concatenate([x[2] for x in got])[at].astype(np.int64), n)
+        for rows in _each_bucket(batches):
+            if found := _hit_rows(rows, 0):
+                yield from _by_group(*found, deal)
+            got = [_unpack(x, 5) for hits, x in rows if not hits]
+            if not got:
+                continue
+            docs, place, short = (np.concatenate(x) for x in zip(*got, strict=True))
+            order = np.argsort(short)
+            key = short[order] >> U64(1)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            has = (short[order[first + size - 1]] & U64(1)).astype(bool)  # blocks come last in their run
+            at = order[np.repeat((size > 1) & has, size)]
+            yield from _by_group(docs[at], place[at], deal)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,25 +325,35 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
 
     def first_of(whole: np.ndarray, keys: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Of equal windows the earliest goes on to the others' bucket; the rest repeat it."""
+        yield _rows(earliest(whole, keys, place, deal.first))
+
+    def earliest(whole: np.ndarray, keys: np.ndarray, place: np.ndarray, to: Callable) -> list[tuple[int, bool, bytes]]:
         late = _late(whole, keys, place)
-        bucket = ((whole >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
+        bucket = to(((whole >> U64(32)) * U64(n) >> U64(32)).astype(np.int64), int(whole[0] & low))
         own = [(int(bucket[0]), True, _pack(keys[late], place[late], None, 0))] if late.any() else []
         first = ~late
-        yield _rows(own + _by_bucket(bucket[first], keys[first], place[first], whole[first], 8))
+        return own + _by_bucket(bucket[first], keys[first], place[first], whole[first], 8)
+
+    def part_wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _some(batches):
+            out = []
+            if found := _hit_rows(rows, 8):
+                out.append((int(mixed(found[0][:1, 0].view(U64))[0] % U64(n)), True, _pack(*found, None, 0)))
+            got = [_unpack(x, 8) for hits, x in rows if not hits]
+            if got:
+                keys, place, whole = (np.concatenate(x) for x in zip(*got, strict=True))
+                out += earliest(whole, keys, place, lambda bucket, salt: bucket)
+            yield _rows(out)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
-        for batch in batches:
-            for hits, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                keys, place, whole = _unpack(payload, 8)
-                if hits:
-                    yield from _by_group(keys, place, n)
-                else:
-                    got.append((whole, keys, place))
-        if got:
-            whole, keys, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            late = _late(whole, keys, place)
-            yield from _by_group(keys[late], place[late], n)
+        for rows in _each_bucket(batches):
+            if found := _hit_rows(rows, 8):
+                yield from _by_group(*found, deal)
+            got = [_unpack(x, 8) for hits, x in rows if not hits]
+            if got:
+                keys, place, whole = (np.concatenate(x) for x in zip(*got, strict=True))
+                late = _late(whole, keys, place)
+                yield from _by_group(keys[late], place[late], deal)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text", "row"]
 
@@ -273,24 +379,32 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
                     columns += [pa.array(kept, pa.binary()).cast(pa.string()), batch.column(1).slice(at, len(texts)), batch.column(3).slice(at, len(texts))]
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    @F.pandas_udf("long")
+    def by_text(texts: pd.Series) -> pd.Series:
+        """Ids for texts without one, in the order of their hashes."""
+        at = lambda t: NULL_ID + (xxhash.xxh64_intdigest(t.encode()) + (1 << 63)) % (1 << 64) // 4
+        return pd.Series([None if t is None else at(t) for t in texts], dtype="Int64")
+
+    own_id = F.col("doc_id").cast("long")
+    without = by_text(F.when(own_id.isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    key = F.coalesce(own_id, without)
     # dealt once: probing, extending and finishing read the same exchange, as they read the same columns
     row = [F.struct(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("__no_text")).alias("row")] if with_text else []
     names_in = ["row"] if with_text else []
-    dealt = docs.select(key.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row).repartition(n, "id")
+    dealt = docs.select(key.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row).repartition(deal.partitions, "id")
 
-    def met(packed: DataFrame, then, merge) -> DataFrame:
+    def met(packed: DataFrame, part: Callable, then: Callable, merge: Callable) -> DataFrame:
         """Windows go to the task of their hashes, what is found to that of a group of documents; a row for each document."""
-        each = packed.repartitionById(n, "bucket").mapInArrow(then, _PACKED)
-        return each.repartitionById(n, "bucket").mapInArrow(merge, "id long, packed binary")
+        each = deal.exchange(packed, part).mapInArrow(then, _PACKED)
+        return deal.exchange(each, part_groups).mapInArrow(merge, "id long, packed binary")
 
-    hits = met(dealt.mapInArrow(probe, _PACKED), meet, _hits_of_documents)
-    late = met(dealt.join(hits, "id").select("id", "text", "packed", *names_in).mapInArrow(extend, _PACKED), decide, _late_of_documents)
+    hits = met(dealt.mapInArrow(probe, _PACKED), part_probes, meet, _hits_of_documents)
+    late = met(dealt.join(hits, "id").select("id", "text", "packed", *names_in).mapInArrow(extend, _PACKED), part_wholes, decide, _late_of_documents)
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, text string" * with_text)
     if with_text:
         schema = schema.add("row", dealt.schema["row"].dataType)
     out = dealt.join(late, "id", "left").select("id", "text", "packed", *names_in).mapInArrow(finish, schema)
-    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") >= LEAST_ID, F.col("doc_id")))
 
 
 def _late(whole: np.ndarray, keys: np.ndarray, place: np.ndarray) -> np.ndarray:
