@@ -1,7 +1,8 @@
 """The life of a table: creation, extraction into a new version, roles, settings, recipes over many documents.
 
-Each step takes and gives DataFrames of all tables at once; nothing is updated in place.  sinks.append() writes a
-step's rows as a batch, and the pointer to a table's current run is the last thing that is written.
+Each step takes and gives DataFrames of all tables at once; nothing is updated in place.  The steps that keep what they
+did (commit_extraction, choose_run, edit_texts, mark_reviews, take_back) write to a store: rows, log and the pointer to a table's current run
+are one commit of it, which is there as a whole or not at all.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from gridsmith.functions.text import column_letter, next_table_name
 from gridsmith.operators import grid, recipes, versions
 from gridsmith.operators.normalize import decimal_evidence, infer_types, with_readings
+from gridsmith.sources.store import Store
 
 
 def created_tables(segments: DataFrame, existing: DataFrame, recipe: DataFrame | None = None) -> DataFrame:
@@ -158,3 +160,107 @@ def persisted_checks(results: DataFrame, summaries: DataFrame, runs: DataFrame)
     """What the store keeps of an evaluation: table_id, run_id, kind (result or summary) and json, to be appended by sinks.append()."""
     keep = lambda d, kind: d.join(runs.select("table_id", "run_id"), "table_id").select("table_id", "run_id", F.lit(kind).alias("kind"), F.to_json(F.struct(*sorted(c for c in d.columns if c != "table_id"))).alias("json"))
     return reduce(DataFrame.unionByName, [keep(results, "result"), keep(summaries, "summary")])
+
+
+_OLD_CELLS = "table_id long, run_id string, row int, col int, extracted_text string, corrected_text string, review string"
+_OLD_COLUMNS = "table_id long, col int, name string, type string, source_header string, type_confirmed boolean"
+
+
+def _pointers(store: Store) -> DataFrame:
+    """table_id, run_id: the current run of each table that has one."""
+    return store.current("tables", schema="table_id long, current_run_id string").filter("current_run_id is not null").select("table_id", F.col("current_run_id").alias("run_id"))
+
+
+def current_cells(store: Store) -> DataFrame:
+    """Cells of every table's current run."""
+    return store.current("cells", schema=_OLD_CELLS).drop("table_id").join(_pointers(store), "run_id")
+
+
+def _logged(log: DataFrame, version: int) -> DataFrame:
+    """Log rows with an id of their own: of the commit, the place and the kind."""
+    at = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("table_id", "row", "col", "kind")]
+    return log.withColumns({"correction_id": F.sha2(F.concat_ws("|", F.lit(version), *at), 256), "in_version": F.lit(version)})
+
+
+def commit_extraction(store: Store, extracted: DataFrame, sizes: DataFrame, tables: DataFrame, failed: DataFrame | None = None, recipe: DataFrame | None = None) -> int:
+    """The new versions of committed() in the store, made current; its version.
+
+    tables: table_id, number_format, run_id.  failed: table_id, run_id, error, cancelled, of extractions that came to
+    nothing: they are runs with their error, and their tables keep the version they have, as all do where the commit
+    does not come to its end.  The state that corrections carry over from is that of the version before this one; if
+    another commit comes between, store.Conflict is raised and nothing has changed.
+    """
+    base = store.version()
+    pointers = _pointers(store)
+    old = store.current("cells", base, _OLD_CELLS).drop("table_id").join(pointers, "run_id")
+    old_rows = store.current("rows", base, "run_id string, row int, role string").join(pointers, "run_id").select("table_id", "row", "role")
+    if failed is not None:
+        sizes = sizes.join(failed.select("table_id"), "table_id", "left_anti")
+        extracted = extracted.join(failed.select("table_id"), "table_id", "left_anti")
+    out = committed(extracted, sizes, tables, old, old_rows, store.current("columns", base, _OLD_COLUMNS), recipe)
+    runs = out["runs"].select("table_id", "run_id", "status", "n_cols", F.lit(None).cast("string").alias("error"))
+    pointed = runs.select("table_id", F.col("run_id").alias("current_run_id"))
+    if failed is not None:
+        runs = runs.unionByName(failed.select("table_id", "run_id", F.when(F.col("cancelled"), "cancelled").otherwise("failed").alias("status"), F.lit(None).cast("int").alias("n_cols"), "error"))
+    of_run = lambda d: d.join(tables.select("table_id", "run_id"), "table_id")
+    cells = of_run(out["cells"]).select("run_id", "row", "col", "row_span", "col_span", "extracted_text", "corrected_text", "review", "flags")
+    rows = of_run(out["rows"]).select("run_id", "row", "role")
+    return store.commit({"cells": cells, "rows": rows, "columns": out["columns"], "runs": runs, "tables": pointed, "corrections": _logged(out["log"], base + 1)}, base=base)
+
+
+def choose_run(store: Store, chosen: DataFrame) -> int:
+    """Makes runs (table_id, run_id) current; those that are not completed, or of another table, change nothing."""
+    base = store.version()
+    runs = store.current("runs", base).join(chosen.select("table_id", "run_id"), ["table_id", "run_id"]).filter("status = 'completed'")
+    columns = store.current("columns", base, _OLD_COLUMNS)
+    own = columns.join(runs.select("table_id"), "table_id", "left_semi")
+    fresh = set_current(own, runs.select("table_id", "status", "n_cols"))
+    return store.commit({"tables": runs.select("table_id", F.col("run_id").alias("current_run_id")), "columns": fresh}, deleted={"columns": own}, base=base)
+
+
+def _with_ids(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("cell_id", F.concat_ws(":", "run_id", "row", "col"))
+
+
+def _edited(store: Store, change: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> int:
+    """One commit of what a change does to the cells' corrected_text and review, and of its log."""
+    base = store.version()
+    cells = _with_ids(current_cells(store))
+    after, log = change(cells)
+    places = cells.select("cell_id", "run_id", "row", "col")
+    touched = after.join(log.select("cell_id").distinct(), "cell_id", "left_semi").select("run_id", "row", "col", "corrected_text", "review")
+    return store.commit({"cells": touched, "corrections": _logged(log.join(places, "cell_id"), base + 1)}, base=base)
+
+
+def edit_texts(store: Store, edits: DataFrame) -> int:
+    """Stores edits (cell_id, text) of current cells, in bulk, with their log; the extracted text takes a correction back."""
+    return _edited(store, lambda cells: versions.set_texts(cells, edits))
+
+
+def mark_reviews(store: Store, marks: DataFrame) -> int:
+    """Stores review states (cell_id, review) of current cells with their log."""
+    return _edited(store, lambda cells: versions.set_reviews(cells, marks))
+
+
+def cleared(cells: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Edits (cell_id, text) that empty the chosen cells."""
+    return cells.join(chosen.select("cell_id"), "cell_id", "left_semi").select("cell_id", F.lit("").alias("text"))
+
+
+def restored(cells: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Edits (cell_id, text) that give the chosen cells the text that was extracted."""
+    return cells.join(chosen.select("cell_id"), "cell_id", "left_semi").filter("corrected_text is not null").select("cell_id", F.col("extracted_text").alias("text"))
+
+
+def take_back(store: Store, version: int) -> int:
+    """Undoes the edits that a version logged, where the cells still have what it gave them; a commit of its own."""
+    log = store.current("corrections").filter((F.col("in_version") == version) & F.col("kind").isin("edit", "undo", "redo"))
+    edits = log.select("cell_id", F.col("before").alias("text"), F.col("after").alias("__after"))
+
+    def change(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        same = cells.select("cell_id", F.coalesce("corrected_text", "extracted_text").alias("__now"))
+        still = edits.join(same, "cell_id").filter(F.col("__now") == F.col("__after"))
+        after, done = versions.set_texts(cells, still.select("cell_id", "text"))
+        return after, done.withColumn("kind", F.lit("undo"))
+
+    return _edited(store, change)
