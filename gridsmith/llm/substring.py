@@ -203,9 +203,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
 
     A word goes if a run of `window` words that covers it also starts earlier: in a smaller doc_id, or further up in
     the same document.  Runs are judged on the input.  Rows of one doc_id stand in the order of a hash of their
-    texts; rows that agree in both are one document and give equal results.  A null doc_id comes before all others (and is
-    held as a long below -2^62, which no document may have, by its text: such rows are dealt to all tasks).  A
-    null text has no words.  An empty table gives none; other columns are left out, whatever their names.
+    texts; rows that agree in both are one document and give equal results.  A null doc_id comes before all others; such
+    rows stand in the order of another hash of their texts, by which they are dealt to all tasks (each is held as a long
+    below -2^62, which no document may have).  A null text has no words.  An empty table gives none; other columns are left out, whatever their names.
 
     Runs are told apart by 64-bit hashes.  Windows are dealt by hash into buckets for each `bucket_bytes` of text, and
     a task holds those of a bucket, some 20 bytes a word, whatever the cluster's settings.  A window that all documents
@@ -379,15 +379,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, with_text: bool = False, b
                     columns += [pa.array(kept, pa.binary()).cast(pa.string()), batch.column(1).slice(at, len(texts)), batch.column(3).slice(at, len(texts))]
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
-    @F.pandas_udf("long")
-    def by_text(texts: pd.Series) -> pd.Series:
-        """Ids for texts without one, in the order of their hashes."""
-        at = lambda t: NULL_ID + (xxhash.xxh64_intdigest(t.encode()) + (1 << 63)) % (1 << 64) // 4
-        return pd.Series([None if t is None else at(t) for t in texts], dtype="Int64")
-
-    own_id = F.col("doc_id").cast("long")
-    without = by_text(F.when(own_id.isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    key = F.coalesce(own_id, without)
+    # a native expression: with a UDF in it Spark would not see that the three readers of `dealt` share one exchange
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 2))
     # dealt once: probing, extending and finishing read the same exchange, as they read the same columns
     row = [F.struct(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias("__no_text")).alias("row")] if with_text else []
     names_in = ["row"] if with_text else []

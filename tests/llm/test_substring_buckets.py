@@ -35,7 +35,8 @@ def brute(rows, window=20):
 
     import xxhash
 
-    at = lambda r: (-(1 << 63) if r[0] is None else r[0], np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode()))), r[1] or "")
+    own = lambda r: -(1 << 63) + (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) >> 2) if r[0] is None else r[0]
+    at = lambda r: (own(r), np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode()))), r[1] or "")
     seen, out = set(), {}
     for key in sorted({at(r) for r in rows}):
         u = key[2].split()
