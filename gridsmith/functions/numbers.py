@@ -50,6 +50,8 @@ def _text(x: str) -> str:
 
 
 #: what a plain number looks like once its decimal mark is a point: commas in groups of three, no zeros in front
+#: and what such digits and marks must look like to be a number at all
+WHOLE = r"^(?:\d*|\d{1,3}(?:,\d{3})+)(?:\.\d*)?$"
 PLAIN = r"^(?:-?(?:[1-9]\d*|[1-9]\d{0,2}(?:,\d{3})+)(?:\.\d+)?|0(?:\.\d+)?)$"
 
 
@@ -59,7 +61,8 @@ def parse_numbers(df: DataFrame, raw: str, decimal: Column | str, grouping: Colu
     A canonical number is a decimal string that keeps its fraction digits.  error is empty, notNumeric,
     multipleDecimalSeparators or invalidGrouping, and null where the text is a number.  A null text gives an
     `empty` error, a null decimal mark a null struct.  Percent signs are noted, not divided out; a minus inside
-    parentheses turns the sign back.  Plain numbers are read by one pattern and leave nothing for the stages to do.
+    parentheses turns the sign back.  Plain numbers are read by one pattern, and digits and marks that are none under
+    this decimal mark are told by two; both leave nothing for the stages to do.
     """
     d, g, x = f"__{out}_d", f"__{out}_g", f"`{raw}`"
     n = lambda name: f"__{out}_{name}"
@@ -74,7 +77,8 @@ def parse_numbers(df: DataFrame, raw: str, decimal: Column | str, grouping: Colu
     stages = {
         n("t"): f"case when {d} = '.' and contains({g}, ',') then {x} when {d} = ',' and contains({g}, '.') then translate({x}, ',.', '.,') end",
         n("fast"): f"coalesce(rlike({n('t')}, {_text(PLAIN)}), false)",
-        s0: f"if({n('fast')}, '', btrim(coalesce({x}, ''), {_text(BLANKS_AND_ENDS)}))",
+        n("wrong"): f"not {n('fast')} and coalesce(rlike({n('t')}, '^[0-9.,]*[0-9][0-9.,]*$') and not rlike({n('t')}, {_text(WHOLE)}), false)",
+        s0: f"if({n('fast')} or {n('wrong')}, '', btrim(coalesce({x}, ''), {_text(BLANKS_AND_ENDS)}))",
         n("paren"): f"startswith({s0}, '(') and endswith({s0}, ')') and length({s0}) > 2",
         s1: f"if({n('paren')}, btrim(substring({s0}, 2, length({s0}) - 2), {_text(BLANKS)}), {s0})",
         n("percent"): f"endswith({s1}, '%')",
@@ -109,11 +113,13 @@ def parse_numbers(df: DataFrame, raw: str, decimal: Column | str, grouping: Colu
         f"{ok} and {n('percent')}", f"if{ok[:-1]}, coalesce({cur}, {cur2}), null)", f"{ok} and {n('paren')}", error,
     )
     plain = fields.format(f"replace({n('t')}, ',', '')", f"length(split_part({n('t')}, '.', 2))", "false", f"contains({n('t')}, ',')", "false", "cast(null as string)", "false", "cast(null as string)")
+    several = f"if(length({n('t')}) - length(replace({n('t')}, '.', '')) > 1, 'multipleDecimalSeparators', 'invalidGrouping')"
+    wrong = fields.format("cast(null as string)", "cast(null as int)", "false", "false", "false", "cast(null as string)", "false", several)
     kept = [f"`{c}`" for c in df.columns]
     marks = [(F.lit(m) if isinstance(m, str) else m).alias(name) for m, name in ((decimal, d), (grouping, g))]
     # one select: later columns name earlier ones, and Spark lays the projections one on another
     df = df.select("*", *marks).selectExpr("*", *[f"{v} as {k}" for k, v in stages.items()])
-    return df.selectExpr(*kept, f"case when {n('fast')} then named_struct({plain}) when {d} is not null then named_struct({read}) end as `{out}`")
+    return df.selectExpr(*kept, f"case when {n('fast')} then named_struct({plain}) when {n('wrong')} then named_struct({wrong}) when {d} is not null then named_struct({read}) end as `{out}`")
 
 
 def interpretations(df: DataFrame, raw: str, point: str = "point", comma: str = "comma") -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridsmith.plans import pages, parsing, reviewing
+from gridsmith.plans import library, pages, parsing, reviewing
 
-QUERIES = parsing.QUERIES | reviewing.QUERIES | pages.QUERIES
-ORACLES = parsing.ORACLES | reviewing.ORACLES | pages.ORACLES
+QUERIES = parsing.QUERIES | reviewing.QUERIES | pages.QUERIES | library.QUERIES
+ORACLES = parsing.ORACLES | reviewing.ORACLES | pages.ORACLES | library.ORACLES
 FLAGSHIP = "locale_parse_totals"

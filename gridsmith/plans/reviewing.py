@@ -101,8 +101,8 @@ def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, results, summaries) of all rules on all orders."""
-    cells = _checked(spark, sf_dir)
-    results, summaries, _ = rules.evaluate(cells, order_rows(spark, sf_dir), order_columns(spark, sf_dir))
+    cells = written(_checked(spark, sf_dir))
+    results, summaries, _ = rules.evaluate_written(cells, order_rows(spark, sf_dir), order_columns(spark, sf_dir))
     return cells, results, summaries
 
 
@@ -119,7 +119,7 @@ def unresolved_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def next_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed conversions and totals of each order, in the order in which a reviewer walks through them."""
-    cells = _checked(spark, sf_dir)
+    cells = written(_checked(spark, sf_dir))
     results = rules.check_cells(cells)[0].filter("rule = 'convert'").unionByName(rules.totals_results(rules.check_totals(cells))[0].filter("status = 'failed'"))
     return rules.issue_order(results).select("table_id", "row", "col", "rule", "place", "next_place", "previous_place")
 
