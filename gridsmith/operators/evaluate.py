@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,16 +15,25 @@ from gridsmith.functions.text import clean, split_footnote
 from gridsmith.operators.normalize import NUMERIC
 
 
-def row_similarity(truth: DataFrame, got: DataFrame) -> DataFrame:
-    """doc, truth_row, got_row, s: the share of a truth row's filled cells that an extracted row has in place.
+def row_similarity(truth: DataFrame, got: DataFrame, least: float = 0.0) -> DataFrame:
+    """doc, truth_row, got_row, s: the share of a truth row's n filled cells that an extracted row has in place, above `least`.
 
-    Rows meet on equal cells, never all with all.
+    Such rows share more than least * n cells, so at least one of the n - floor(least * n) of the truth row that are
+    rarest in their column: rows meet on these alone, and are compared whole then.  A value that all rows of a column
+    have brings no rows together unless it alone is enough.
     """
     t = truth.select("doc", F.col("row").alias("truth_row"), "col", clean(F.coalesce("text", F.lit(""))).alias("t")).filter("t != ''")
-    g = got.select("doc", F.col("row").alias("got_row"), "col", clean(F.coalesce("text", F.lit(""))).alias("t"))
-    filled = t.groupBy("doc", "truth_row").agg(F.count("*").alias("n"))
-    same = t.join(g, ["doc", "col", "t"]).groupBy("doc", "truth_row", "got_row").agg(F.count("*").alias("k"))
-    return same.join(filled, ["doc", "truth_row"]).select("doc", "truth_row", "got_row", (F.col("k") / F.col("n")).alias("s"))
+    g = got.select("doc", F.col("row").alias("got_row"), "col", clean(F.coalesce("text", F.lit(""))).alias("t")).filter("t != ''")
+    often = g.groupBy("doc", "col", "t").agg(F.count("*").alias("often"))
+    rare = F.row_number().over(Window.partitionBy("doc", "truth_row").orderBy("often", "col"))
+    n = F.count("*").over(Window.partitionBy("doc", "truth_row"))
+    d = t.join(often, ["doc", "col", "t"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    d = d.withColumns({"rare": rare, "n": n}).filter((F.col("rare") <= F.col("n") - F.floor(F.lit(least) * F.col("n"))) & (F.col("often") > 0))
+    pairs = d.select("doc", "col", "t", "truth_row").join(g, ["doc", "col", "t"]).select("doc", "truth_row", "got_row").distinct()
+    cells = lambda x, row, name: x.groupBy("doc", row).agg(F.collect_set(F.struct("col", "t")).alias(name))
+    both = pairs.join(cells(t, "truth_row", "a"), ["doc", "truth_row"]).join(cells(g, "got_row", "b"), ["doc", "got_row"])
+    s = F.size(F.array_intersect("a", "b")) / F.size("a")
+    return both.select("doc", "truth_row", "got_row", s.alias("s")).filter(F.col("s") > least)
 
 
 def align_rows(truth: DataFrame, got: DataFrame, least: float = 0.2) -> DataFrame:
@@ -38,25 +47,33 @@ def align_rows(truth: DataFrame, got: DataFrame, least: float = 0.2) -> DataFram
         pdf = pdf.sort_values(["truth_row", "got_row"], ascending=False)
         rows = sorted(set(pdf["got_row"]))
         place = {r: i for i, r in enumerate(rows)}
-        best = np.zeros(len(rows) + 1)  # best[i]: the most that later truth rows reach with got rows from i on
+        # the most that later truth rows reach with got rows from k on falls as k grows: steps that end at `ends`, with the
+        # first pair of the chain that reaches it
+        ends: list[int] = []
+        most: list[float] = []
+        heads: list[tuple[int, int]] = []
         after: dict[tuple[int, int], tuple[int, int] | None] = {}
-        head: list[tuple[int, int] | None] = [None] * (len(rows) + 1)
         for t, of_row in pdf.groupby("truth_row", sort=False):
-            new = [(place[g], s + best[place[g] + 1], g) for g, s in zip(of_row["got_row"], of_row["s"], strict=True)]
-            for _, _, g in new:
-                after[t, g] = head[place[g] + 1]
+            new = []
+            for g, s in zip(of_row["got_row"], of_row["s"], strict=True):
+                k = bisect_left(ends, place[g] + 1)
+                reached, after[t, g] = (most[k], heads[k]) if k < len(ends) else (0.0, None)
+                new.append((place[g], s + reached, g))
             for i, total, g in new:
-                for k in range(i, -1, -1):
-                    if total < best[k]:
-                        break
-                    best[k], head[k] = total, (t, g)
-        out, at = [], head[0]
+                k = bisect_left(ends, i)
+                if k < len(ends) and total < most[k]:
+                    continue
+                to = k + (k < len(ends) and ends[k] == i)
+                while k and most[k - 1] <= total:
+                    k -= 1
+                ends[k:to], most[k:to], heads[k:to] = [i], [total], [(t, g)]
+        out, at = [], heads[0] if heads else None
         while at:
             out.append(at)
             at = after[at]
         return pd.DataFrame({"doc": pdf["doc"].iloc[0], "truth_row": [t for t, _ in out], "got_row": [g for _, g in out]})
 
-    pairs = row_similarity(truth, got).filter(F.col("s") > least)
+    pairs = row_similarity(truth, got, least)
     schema = f"doc {dict(pairs.dtypes)['doc']}, truth_row int, got_row int"
     return pairs.groupBy("doc").applyInPandas(chain, schema)
 

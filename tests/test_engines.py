@@ -1,0 +1,49 @@
+"""Engines, the choice between them, their fallback, and what workers say."""
+
+import json
+
+from gridsmith.sources import engines
+
+BOX = "struct<x:double,y:double,width:double,height:double>"
+RECOGNISED = f"region_id int, table_no int, box {BOX}, cells array<struct<row:int,col:int,row_span:int,col_span:int,text:string,box:{BOX},lines:array<struct<box:{BOX},confidence:double>>>>"
+WORDS = "region_id int, text string, x0 double, x1 double, y0 double, y1 double, score double"
+
+
+def page(i):
+    return [(i, t, float(x), x + 20.0, float(y), y + 8.0, 0.9) for y, row in ((50, ("Code", "Qty")), (30, ("a1", "5")), (10, ("b2", "7"))) for x, t in zip((0, 60), row, strict=True)]
+
+
+def test_choice_and_fallback(spark):
+    b = lambda w: (0.0, 0.0, float(w), 1.0)
+    found = [(r, 0, b(9), [(k, c, 1, 1, t, b(3), []) for k, row in enumerate((("H", "N"), ("x", "1"), ("y", "2"))) for c, t in enumerate(row)]) for r in (2, 6)]
+    regions = [(1, "auto", 30), (2, "auto", 3), (3, "auto", 0), (4, "auto", 0), (5, "document", 30), (6, "document", 0), (7, "strange", 0), (8, "worker", 0), (9, "text_layer", 0)]
+    d = spark.createDataFrame([(i, (-5.0, 0.0, 100.0, 70.0), k, n) for i, k, n in regions], f"region_id int, region {BOX}, requested string, region_chars int")
+    message = {"protocol": 1, "type": "result", "job": "8", "tables": [{"bbox": {"l": 0, "b": 0, "r": 9, "t": 9}, "cells": [{"row": 0, "column": 0, "rowSpan": 1, "colSpan": 2, "text": " w ", "header": True, "bbox": {"l": 1, "b": 1, "r": 3, "t": 2}}]}]}
+    lines = spark.createDataFrame([(json.dumps(message),), ("not json",)], "value string")
+    there = {
+        "text_layer": engines.words_engine(spark.createDataFrame(page(1) + page(5), WORDS)), "document": engines.recognised_engine(spark.createDataFrame(found, RECOGNISED)),
+        "recognised_text": engines.words_engine(spark.createDataFrame(page(3) + page(5), WORDS)), "worker": engines.worker_engine(lines),
+    }
+    cells, state = engines.extracted(d, there)
+    got = {r.region_id: (r.used_engine, r.error) for r in state.collect()}
+    assert got == {
+        1: ("text_layer", None), 2: ("document", None), 3: ("recognised_text", None), 4: (None, "no table found"), 5: (None, "no table found"), 6: ("document", None),
+        7: (None, "no engine strange"), 8: ("worker", None), 9: (None, "no table found"),
+    }
+    texts = {}
+    for r in cells.collect():
+        texts.setdefault(r.region_id, {})[r.row, r.col] = (r.text, r.is_header)
+    assert texts[1] == texts[3] == {(0, 0): ("Code", True), (0, 1): ("Qty", True), (1, 0): ("a1", False), (1, 1): ("5", False), (2, 0): ("b2", False), (2, 1): ("7", False)}
+    assert texts[2][0, 1] == ("N", True) and texts[2][2, 1] == ("2", False) and texts[8] == {(0, 0): ("w", True)}
+
+
+def test_what_workers_say(spark):
+    m = lambda **x: json.dumps({"protocol": 1, **x})
+    said = [
+        ("w1", m(type="hello", worker="1.2", python="3.12")), ("w1", m(type="progress", job="a", fraction=0.2, message="loading")), ("w1", m(type="progress", job="a", fraction=0.6, message="reading")),
+        ("w1", m(type="progress", job="b", fraction=0.5)), ("w1", m(type="result", job="b", tables=[])), ("w1", m(type="error", job="c", error="no page")), ("w1", "{broken"), ("w1", m(type="shutdown")),
+        ("w2", json.dumps({"protocol": 2, "type": "hello"})), ("w2", json.dumps({"protocol": 2, "type": "result", "job": "d"})), ("w3", "noise"),
+    ]
+    lines = spark.createDataFrame([(s, v, i) for i, (s, v) in enumerate(said)], "source string, value string, place int")
+    assert {r.job: tuple(r)[1:] for r in engines.worker_jobs(lines).collect()} == {"a": ("working", 0.6, "reading", None), "b": ("done", 1.0, None, None), "c": ("error", None, None, "no page"), "d": ("error", None, None, "unknown protocol 2")}
+    assert {r.source: tuple(r)[1:] for r in engines.workers(lines).collect()} == {"w1": (1, "1.2", "3.12", True, True, 1), "w2": (2, "?", "?", False, False, 0), "w3": (None, None, None, False, False, 1)}

@@ -241,6 +241,29 @@ def test_scores(spark):
     assert tuple(evaluate.text_recall(t, g, ["doc"]).first()) == ("d", 4, 8)
 
 
+def test_rows_meet_on_rare_cells(spark):
+    import random
+
+    r = random.Random(3)
+    rows = lambda: [("d", i, c, r.choice(["", "same", f"v{r.randint(0, 12)}", f"v{r.randint(0, 3)}"])) for i in range(30) for c in range(r.randint(3, 9))]
+    truth, got = rows(), rows()
+    kind = "doc string, row int, col int, text string"
+    pairs = evaluate.row_similarity(spark.createDataFrame(truth, kind), spark.createDataFrame(got, kind), 0.2)
+    of = lambda cells: {i: {(c, t) for _, k, c, t in cells if k == i and t} for i in range(30)}
+    a, b = of(truth), of(got)
+    want = {(i, j): round(len(a[i] & b[j]) / len(a[i]), 9) for i in a for j in b if a[i] and len(a[i] & b[j]) / len(a[i]) > 0.2}
+    assert {(x.truth_row, x.got_row): round(x.s, 9) for x in pairs.collect()} == want and len(want) > 100
+
+
+def test_a_column_of_one_value_brings_no_rows_together(spark):
+    """Six columns, one the same in all 100,000 rows: rows meet on the others alone."""
+    columns = [F.lit("EUR"), *[F.concat(F.lit(f"c{c}-"), F.col("id").cast("string")) for c in range(5)]]
+    cells = spark.range(100_000).select(F.lit("d").alias("doc"), F.col("id").cast("int").alias("row"), F.posexplode(F.array(*columns)).alias("col", "text"))
+    pairs = evaluate.align_rows(cells, cells.filter("row % 10 != 3").withColumn("row", F.col("row") - F.floor((F.col("row") + 6) / 10)))
+    got = pairs.agg(F.count("*"), F.count_if(F.col("got_row") == F.col("truth_row") - F.floor((F.col("truth_row") + 6) / 10))).first()
+    assert tuple(got) == (90_000, 90_000)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from gridsmith.streaming import corrections
 
