@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_OPEN: list[list[DataFrame]] = []  # tables written since each alone() that is running
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,25 +29,6 @@ def written(df: DataFrame, path: str | None = None, **options: str) -> DataFrame
     df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    if _OPEN:
-        _OPEN[-1].append(out)
-    return out
-
-
-def alone(make: Callable[[], DataFrame]) -> DataFrame:
-    """make() as a written table; the tables that were written on the way to it are deleted."""
-    _OPEN.append([])
-    try:
-        whole = make()
-        on_the_way = _OPEN[-1]
-        _OPEN[-1] = []
-        out = written(whole)
-    finally:
-        _OPEN.pop()
-    for df in on_the_way:
-        dropped(df)
-    if _OPEN:
-        _OPEN[-1].append(out)
     return out
 
 

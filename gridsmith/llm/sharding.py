@@ -70,6 +70,12 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:
-    """The documents themselves, all columns, in folders shard=0, 1, ... of a Parquet table at path."""
-    docs.withColumn("shard", shard_of(F.col(key), shards)).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id", name: str = "shard") -> None:
+    """The documents themselves, all columns, in folders `name`=0, 1, ... of a Parquet table at path.
+
+    Rows of a null key go to the shard of key 0, rows that share a key to one shard; an empty table writes no folder.  A
+    column of docs called like the folders, in any case of letters, is a ValueError: choose another name.
+    """
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"the documents have a column {name}")
+    docs.withColumn(name, shard_of(F.col(key), shards)).write.partitionBy(name).parquet(path)
