@@ -147,7 +147,8 @@ def located_tables(recipes: DataFrame, words: DataFrame, pages: DataFrame, candi
     recipes: id, document_id, anchor_text, offset and hint (rectangles), page_hint.  words: document_id, page, text, x0,
     x1, y0, y1.  pages: document_id, page, width, height.  The anchor nearest to the hinted page moves the region by the
     offset; without one the hint is scaled to its page, or the last there is.  A candidate (candidate_id, document_id,
-    page, box) that covers most of it takes its place, and the region grows down over the lines that follow.
+    page, box) that covers most of it takes its place.  The region grows down over the lines that follow, before
+    candidates are chosen, and that of a candidate again.
     """
     lines = word_lines(words.select(F.struct("document_id", "page").alias("region_id"), "text", "x0", "x1", "y0", "y1"))
     listed = lines.groupBy("region_id", "line").agg(F.array_sort(F.collect_list(F.struct("x0", "text", "x1", "y0", "y1"))).alias("words"))
@@ -160,10 +161,16 @@ def located_tables(recipes: DataFrame, words: DataFrame, pages: DataFrame, candi
     at = located(anchors).join(anchors.select("id", "document_id", "box", "page_width", "page_height"), "id")
     at = at.withColumn("region", within(F.col("region"), F.col("page_width"), F.col("page_height")))
     at = at.select("id", "document_id", "page", "region", F.when(F.col("box").isNotNull(), "anchor").otherwise("saved position").alias("method"))
-    if candidates is not None:
-        best = best_candidates(at, candidates).join(candidates.select("candidate_id", "document_id", "page", F.col("box").alias("__box")), "candidate_id").select("id", "document_id", "page", "__box")
-        at = at.join(best, ["id", "document_id", "page"], "left")
-        at = at.select("id", "document_id", "page", F.coalesce("__box", "region").alias("region"), F.when(F.col("__box").isNotNull(), F.concat("method", F.lit(", fitted to a candidate"))).otherwise(F.col("method")).alias("method"))
+    at = grown_down(at, words)
+    if candidates is None:
+        return at
+    best = best_candidates(at, candidates).join(candidates.select("candidate_id", "document_id", "page", F.col("box").alias("__box")), "candidate_id").select("id", "document_id", "page", "__box")
+    fitted = at.join(best, ["id", "document_id", "page"]).select("id", "document_id", "page", F.col("__box").alias("region"), F.concat("method", F.lit(", fitted to a candidate")).alias("method"))
+    return at.join(best, ["id", "document_id", "page"], "left_anti").unionByName(grown_down(fitted, words))
+
+
+def grown_down(at: DataFrame, words: DataFrame) -> DataFrame:
+    """at (id, document_id, page, region, method) with regions that go on over the lines below that follow closely."""
     middle = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     near = at.join(words, ["document_id", "page"]).filter(middle[0].between(F.col("region.x"), max_x(F.col("region"))) & (middle[1] <= max_y(F.col("region"))))
     rows = word_lines(near.select(F.col("id").alias("region_id"), "text", "x0", "x1", "y0", "y1", F.col("region.y").alias("low")))
