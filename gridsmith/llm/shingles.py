@@ -2,8 +2,8 @@
 
 Candidates are linked by their SimHash fingerprints, which at 4 bits brings together half of the pairs of similarity 0.95 and
 a thirtieth of those of 0.8, or share a cell of five min-hashes, of twenty; a pair of similarity 0.8 shares none with
-a chance of 0.0004.  Documents that candidates join are compared by whole sets of shingles: a group
-of more shingles than a task should hold is cut into chunks, and each two chunks are compared in a task of their own.
+a chance of 0.0004.  Candidates are compared by whole sets of shingles, and only what these join is a group: where
+candidates join more shingles than a task should hold, cells are compared one by one.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsmith.llm._components import components
-from gridsmith.llm._scratch import partitions, written
+from gridsmith.llm._scratch import dropped, partitions, written
 from gridsmith.llm._words import U64, Texts, mixed, slices, windows
 from gridsmith.llm.simhash import links
 
@@ -124,15 +124,8 @@ def _candidates(nodes: DataFrame, bits: int) -> DataFrame:
     return in_cell.unionByName(same).unionByName(near).filter("a != b").distinct()
 
 
-def similar(rows: DataFrame, nodes: DataFrame, k: int, threshold: float, bits: int, limit: int) -> DataFrame:
-    """a, b: keys of nodes whose sets are similar, enough of them to join all that are."""
-    n = partitions(rows.sparkSession)
-    found = components(_candidates(nodes, bits))
-    members = written(nodes.join(found, nodes["key"] == found["node"]).select("key", "w1", "w2", "size", "component"))
-    chunks = members.groupBy("component").agg(F.ceil(F.sum("size") / limit).cast("int").alias("chunks"))
-    dealt = members.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("int"))
-    others = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.expr("filter(sequence(0, chunks - 1), i -> i != chunk)"))
-    dealt = dealt.withColumn("other", F.explode(others)).select("key", F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("of"))
+def _sets(rows: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """key, packed: the set of shingles of each member, from the row that stands for it."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +133,14 @@ def similar(rows: DataFrame, nodes: DataFrame, k: int, threshold: float, bits: i
                 packed = pa.array([x.tobytes() for x in shingle_sets(texts, k)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), packed], names=["key", "packed"])
 
+    own = members.select(F.col("w1").alias("__w1"), F.col("w2").alias("__w2"), F.col("key").alias("__key"))
+    texts = rows.select("__w1", "__w2", F.col("text").cast("string").alias("text")).join(own, ["__w1", "__w2"])
+    return texts.select(F.col("__key").alias("key"), "text").mapInArrow(sets, "key long, packed binary")
+
+
+def _compared(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """dealt (key, of) -> a, b: similar keys of one `of`, enough of them to join all such."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
             a, b = linked([np.frombuffer(x, U64) for x in packed], threshold) if len(keys) > 1 else ([], [])
@@ -155,13 +156,77 @@ def similar(rows: DataFrame, nodes: DataFrame, k: int, threshold: float, bits: i
                 packed.append(x)
         yield done()
 
-    own = members.select(F.col("w1").alias("__w1"), F.col("w2").alias("__w2"), F.col("key").alias("__key"))
-    texts = rows.select("__w1", "__w2", F.col("text").cast("string").alias("text")).join(own, ["__w1", "__w2"])
-    whole = texts.select(F.col("__key").alias("key"), "text").mapInArrow(sets, "key long, packed binary")
-    groups = dealt.join(whole, "key").select("of", "key", "packed").repartition(n, "of").sortWithinPartitions("of")
+    groups = dealt.join(sets, "key").select("of", "key", "packed").repartition(partitions(dealt.sparkSession), "of").sortWithinPartitions("of")
     return groups.mapInArrow(compare, "a long, b long")
 
 
+def _chunks(size: Column, limit: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(size / limit)).cast("int")
+
+
+def _chunk(chunks: Column) -> Column:
+    return F.pmod(F.xxhash64("key"), chunks).cast("int")
+
+
+def with_smallest(pairs: DataFrame, limit: int) -> DataFrame:
+    """pairs (key, size, b) -> key, of: each key with its b, and a b once for every `limit` shingles of its keys."""
+    chunks = pairs.groupBy("b").agg(_chunks(F.sum("size"), limit).alias("chunks"))
+    dealt = pairs.join(chunks, "b").select("key", F.xxhash64("b", _chunk(F.col("chunks"))).alias("of"))
+    own = chunks.select(F.col("b").alias("key"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    return dealt.unionByName(own.select("key", F.xxhash64("key", "chunk").alias("of")))
+
+
+def by_cell(nodes: DataFrame, limit: int) -> DataFrame:
+    """nodes (key, size, fp, cells, label) -> key, of: any two of one cell or fingerprint and of different labels meet.
+
+    A cell whose nodes have one label is done.  In others the label with most shingles need not meet itself: the rest
+    is dealt to chunks of `limit` shingles, each of which meets all chunks of the rest and all of that label.
+    """
+    each = nodes.select("key", "size", "label", F.explode(F.concat("cells", F.array("fp"))).alias("cell"))
+    labels = each.groupBy("cell", "label").agg(F.sum("size").alias("size")).groupBy("cell")
+    top = labels.agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("all"), F.count("*").alias("n")).filter("n > 1")
+    most = F.col("top.size")
+    top = top.select("cell", F.col("top.label").alias("main"), _chunks(most, limit).alias("mains"), _chunks(F.col("all") - most, limit).alias("rests"))
+    every = each.join(top, "cell").withColumn("in_main", F.expr("label = main"))
+    every = every.withColumn("chunk", _chunk(F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))))
+    rests, mains = (F.sequence(F.lit(0), F.col(x) - 1) for x in ("rests", "mains"))
+    unit = lambda rest, other: F.xxhash64("cell", rest, other)  # noqa: E731  (chunks of the main label count -1, -2, ...)
+    of_main = F.transform(rests, lambda i: unit(i, -1 - F.col("chunk")))
+    others = F.filter(rests, lambda i: i != F.col("chunk"))
+    of_rest = F.concat(F.transform(mains, lambda j: unit(F.col("chunk"), -1 - j)), F.transform(others, lambda i: unit(F.least(i, "chunk"), F.greatest(i, "chunk"))))
+    return every.select("key", F.explode(F.when(F.col("in_main"), of_main).otherwise(of_rest)).alias("of"))
+
+
+def similar(rows: DataFrame, nodes: DataFrame, k: int, threshold: float, bits: int, limit: int) -> DataFrame:
+    """a, b: keys of nodes whose sets are similar, enough of them to join all that are; a written table.
+
+    What candidates join is compared as a whole where it has at most `limit` shingles.  Larger groups, which false
+    candidates may have chained, are compared by candidates: first each node with the smallest one of each of its cells,
+    then, cell by cell, nodes that are not joined yet.
+    """
+    candidates = written(_candidates(nodes, bits))
+    found = components(candidates)
+    joined = written(nodes.join(found, nodes["key"] == found["node"]).drop("node"))
+    fits = joined.groupBy("component").agg((F.sum("size") <= limit).alias("fits"))
+    members = written(joined.join(fits, "component"))
+    whole, large = members.filter("fits"), members.filter("not fits")
+    out = _compared(whole.select("key", F.col("component").alias("of")), _sets(rows, whole, k), threshold)
+    done = [candidates, joined, members]
+    if not large.isEmpty():
+        sets = written(_sets(rows, large, k))
+        pairs = candidates.withColumnRenamed("a", "key").join(large.select("key", "size"), "key")
+        first = written(_compared(with_smallest(pairs, limit), sets, threshold))
+        labels = components(first)
+        named = large.join(labels.withColumnRenamed("component", "label"), large["key"] == labels["node"], "left")
+        named = written(named.select("key", "size", "fp", "cells", F.coalesce("label", "key").alias("label")))
+        out = out.unionByName(first).unionByName(_compared(by_cell(named, limit), sets, threshold))
+        done += [sets, first, named]
+    out = written(out)
+    for table in done:
+        dropped(table)
+    return out
+
+
 def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8, bits: int = 4, limit: int = 500_000) -> DataFrame:
     """One row of docs, all columns, of each group that pairs of similarity `threshold` or more join.
 
@@ -173,7 +238,7 @@ def one_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8, bits: int =
     rows = _identified(docs)
     first = F.first(F.struct("w1", "w2", "size", "fp", "cells")).alias("node")
     nodes = written(_sketches(rows, k).groupBy("key").agg(F.min(F.struct("none", "doc", "w1", "w2")).alias("best"), first).select("key", "best", "node.*"))
-    found = components(written(similar(rows, nodes.drop("best"), k, threshold, bits, limit)))
+    found = components(similar(rows, nodes.drop("best"), k, threshold, bits, limit))
     best = nodes.join(found, nodes["key"] == found["node"], "left").groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("best").alias("best"))
     kept = written(best.select(F.col("best.w1").alias("__w1"), F.col("best.w2").alias("__w2")))
     return rows.join(kept, ["__w1", "__w2"], "left_semi").dropDuplicates(["__w1", "__w2"]).select(*docs.columns)
