@@ -126,7 +126,8 @@ def unpack(payload: bytes, block_starts: np.ndarray) -> np.ndarray:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, segment_ids: int = 1 << 18, percentile: float = 95.0) -> None:
     """Encodes each whole text, appends end_id, and writes segments at path in ascending doc_id order, null first.
 
-    A null text counts as empty: it has the end id alone.  Rows that share a doc_id all stay, ordered by text.  An
+    A null text counts as empty: it has the end id alone.  Rows that share a doc_id all stay, in the order of a hash
+    of their texts, and may lie in several parts; only equal rows stay together.  An
     empty table writes an empty table.  A segment closes after segment_ids ids, or holds one longer document.
     Columns other than doc_id and text are left out, whatever their names.
     """
@@ -155,7 +156,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = bare.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that share a doc_id, null ones above all, need not be one range; a key of 8 bytes, as ranges are told by a sample
+    keyed = bare.withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     ordered.mapInArrow(segments, SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 

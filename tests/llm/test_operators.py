@@ -128,6 +128,21 @@ def test_token_files_round_trip(spark, docs, rows):
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((r[0], len(x), crc(x)) for r, x in zip(rows, ids, strict=True))
 
 
+def test_rows_without_ids_are_many_parts(spark, tmp_path):
+    texts = [f"text {i}" for i in range(400)]
+    rows = [(None, t) for t in texts] + [(1, "one"), (2, None)]
+    path = f"file://{tmp_path}/t"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would make one part of so few rows
+    try:
+        token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(path).filter("exists(doc_ids, x -> x is null)").select("part").distinct().count() > 1
+    got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [r[0] for r in rows]
+    assert Counter(r["ids_crc32"] for r in got) == Counter(crc(x) for x in reference_ids([r[1] for r in rows], 2))
+
+
 def test_token_files_give_the_ids(spark, docs, tmp_path):
     path = f"file://{tmp_path}/t"
     token_files.write_token_files(docs, path, segment_ids=100)
