@@ -106,11 +106,14 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     out, whatever their names.
 
     Word counts before a document come in two steps, so that no task holds a source: hash ranges of each source are
-    summed, and only rows of one range are put in order together.
+    summed, and only rows of one range are put in order together; rows without doc_id have a range for each size.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = written(sized.withColumn("h", h).withColumn("range", F.left("h", F.lit(3))))
+    none = F.md5(F.lit(f"{seed}:null").cast("binary"))  # rows without doc_id share this place, in the order of their sizes
+    side = F.when(F.col("doc_id").isNull(), F.concat(F.lit("1"), F.lpad(F.col("size").cast("string"), 19, "0"))).when(F.col("h") < none, "0").otherwise("2")
+    shared = F.when(F.left("h", F.lit(3)) == F.left(none, F.lit(3)), side).otherwise("")
+    sized = written(sized.withColumn("h", h).withColumn("range", F.concat(F.left("h", F.lit(3)), shared)))
     sums = written(sized.groupBy("source", "range").agg(F.sum("size").alias("size")))
     sources = sums.groupBy("source").agg(F.sum("size").alias("source_size"))
     quotas = written(shard_quotas(apportioned(targets(sources, weights, share, cap), block), shards))

@@ -52,3 +52,11 @@ def test_sql_gives_the_same_rows(docs):
     columns = [d[0] for d in want.description]
     got = mixing.mix_documents(docs, block=16).withColumn("shard_words", F.array_join("shard_words", ","))
     assert Counter(map(tuple, got.select(*columns).collect())) == Counter(map(tuple, want.fetchall()))
+
+
+def test_rows_without_ids_are_many_ranges(spark):
+    """A third of the rows share no doc_id: the same words as brute force, and no range holds those of different sizes."""
+    rows = [(None if i % 3 == 0 else i, "w " * (i * 7 % 50), "en", ["s1", "s2", None][i % 2 + i % 5 // 4]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix_documents(docs, block=16).collect()
+    assert Counter((x["doc_id"], x["source"], x["size"], tuple(x["shard_words"])) for x in got) == brute(rows, 16, 16)
