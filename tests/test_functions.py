@@ -99,3 +99,18 @@ def test_rectangles(spark):
     a, b = g.rect(F.lit(0), F.lit(0), F.lit(4), F.lit(4)), g.rect(F.lit(2), F.lit(2), F.lit(4), F.lit(4))
     r = one(spark, g.intersection_area(a, b), g.iou(a, b), g.union(a, b), g.union_all(F.array(a, b)), g.contains(a, F.lit(4), F.lit(4)), g.inset(a, 1.0))
     assert r[0] == 4 and abs(r[1] - 4 / 28) < 1e-12 and r[2] == r[3] and r[2]["width"] == 6 and r[4] and r[5]["width"] == 2
+
+
+def test_readers_stay_out_of_generated_code(spark):
+    """Expressions of a number's reading made methods that the JVM does not compile; a filter on a reading does not read again."""
+    d = interpretations(spark.createDataFrame([("1,234.50",), ("x",)], "raw string"), "raw").filter("point.canonical is not null")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("read(raw") == 1 and "translate" not in plan
+    assert d.select("point.canonical", "comma.error").collect() == [("1234.50", "invalidGrouping")]
+
+
+def test_numbers_with_marks_of_their_own_and_line_ends(spark):
+    rows = [("1.234,5", ",", "."), ("1,234.5", ".", ","), ("1.234,5", None, None), (None, ".", ","), ("12\n", ".", ","), ("1'234", ".", "'"), ("1.2.3", ".", ",")]
+    d = parse_numbers(spark.createDataFrame(rows, "raw string, d string, g string"), "raw", F.col("d"), F.col("g"), "n")
+    got = [r["n"] and (r["n"]["canonical"], r["n"]["error"]) for r in d.collect()]
+    assert got == [("1234.5", None), ("1234.5", None), None, (None, "empty"), ("12", None), ("1234", None), (None, "multipleDecimalSeparators")]

@@ -295,3 +295,13 @@ def test_sources_and_sinks(spark, tmp_path):
     for batch, value in ((1, "x"), (2, "y"), (2, "z")):
         sinks.append(spark.createDataFrame([("k", value)], "key string, value string"), f"file://{tmp_path}/store", "t", batch)
     assert sinks.current(spark, f"file://{tmp_path}/store", "t", ["key"]).first()["value"] == "z"
+
+
+def test_contexts_read_cells_once(spark):
+    """Evidence of the table follows from that of its columns without reading the cells again."""
+    cells = spark.createDataFrame([(1, 0, 0, "1,5"), (1, 0, 1, "7")], "table_id int, row int, col int, text string")
+    columns = spark.createDataFrame([(1, 0, "decimal", "auto"), (1, 1, "decimal", "auto")], "table_id int, col int, type string, number_format string")
+    settings = spark.createDataFrame([(1, "auto", "auto")], "table_id int, number_format string, date_order string")
+    d = contexts(with_readings(cells), columns, settings)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("read(text") == 1
+    assert {r["col"]: (r["decimal"], r["resolution"]) for r in d.collect()} == {0: (",", "columnEvidence"), 1: (",", "tableEvidence")}
