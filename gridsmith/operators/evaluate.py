@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsmith.functions.geometry import contains, inset, mid_x, mid_y, union_all
 from gridsmith.functions.numbers import parse_numbers
 from gridsmith.functions.text import clean, split_footnote
+from gridsmith.operators.layout import _whole_regions
 from gridsmith.operators.normalize import NUMERIC
+from gridsmith.sources.scratch import written
 
 
 def row_similarity(truth: DataFrame, got: DataFrame, least: float = 0.0) -> DataFrame:
@@ -20,10 +25,10 @@ def row_similarity(truth: DataFrame, got: DataFrame, least: float = 0.0) -> Data
 
     Such rows share more than least * n cells, so at least one of the n - floor(least * n) of the truth row that are
     rarest in their column: rows meet on these alone, and are compared whole then.  A value that all rows of a column
-    have brings no rows together unless it alone is enough.
+    have brings no rows together unless it alone is enough.  Both sides are written once, as several steps read them.
     """
-    t = truth.select("doc", F.col("row").alias("truth_row"), "col", clean(F.coalesce("text", F.lit(""))).alias("t")).filter("t != ''")
-    g = got.select("doc", F.col("row").alias("got_row"), "col", clean(F.coalesce("text", F.lit(""))).alias("t")).filter("t != ''")
+    filled = lambda cells, row: written(cells.select("doc", F.col("row").alias(row), "col", clean(F.coalesce("text", F.lit(""))).alias("t")).filter("doc is not null and t != ''"))
+    t, g = filled(truth, "truth_row"), filled(got, "got_row")
     often = g.groupBy("doc", "col", "t").agg(F.count("*").alias("often"))
     rare = F.row_number().over(Window.partitionBy("doc", "truth_row").orderBy("often", "col"))
     n = F.count("*").over(Window.partitionBy("doc", "truth_row"))
@@ -36,46 +41,57 @@ def row_similarity(truth: DataFrame, got: DataFrame, least: float = 0.0) -> Data
     return both.select("doc", "truth_row", "got_row", s.alias("s")).filter(F.col("s") > least)
 
 
+def heaviest_chain(pairs: Iterable[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """(truth_row, got_row) of the order-keeping pairs with the largest sum of s, the earliest pair of equals first.
+
+    pairs: truth_row, got_row, s, by falling truth_row and got_row.
+    """
+    # the most that later truth rows reach with got rows from k on falls as k grows: steps that end at `ends`, with the
+    # first pair of the chain that reaches it
+    ends: list[int] = []
+    most: list[float] = []
+    heads: list[tuple[int, int]] = []
+    after: dict[tuple[int, int], tuple[int, int] | None] = {}
+    for t, of_row in groupby(pairs, itemgetter(0)):
+        new = []
+        for _, g, s in of_row:
+            k = bisect_left(ends, g + 1)
+            reached, after[t, g] = (most[k], heads[k]) if k < len(ends) else (0.0, None)
+            new.append((s + reached, g))
+        for total, g in new:
+            k = bisect_left(ends, g)
+            if k < len(ends) and total < most[k]:
+                continue
+            to = k + (k < len(ends) and ends[k] == g)
+            while k and most[k - 1] <= total:
+                k -= 1
+            ends[k:to], most[k:to], heads[k:to] = [g], [total], [(t, g)]
+    out, at = [], heads[0] if heads else None
+    while at:
+        out.append(at)
+        at = after[at]
+    return out
+
+
 def align_rows(truth: DataFrame, got: DataFrame, least: float = 0.2) -> DataFrame:
     """doc, truth_row, got_row: the order-keeping pairing of rows with the largest sum of similarities above `least`.
 
     Cells become row similarities as joins; what is left for Python is one table's pairs of similar rows, of which a
-    heaviest chain is taken, the earliest pair of equals first.
+    heaviest chain is taken, the earliest pair of equals first.  Tables follow one another in the batches of a task, so
+    that a small one costs no call of its own.
     """
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["truth_row", "got_row"], ascending=False)
-        rows = sorted(set(pdf["got_row"]))
-        place = {r: i for i, r in enumerate(rows)}
-        # the most that later truth rows reach with got rows from k on falls as k grows: steps that end at `ends`, with the
-        # first pair of the chain that reaches it
-        ends: list[int] = []
-        most: list[float] = []
-        heads: list[tuple[int, int]] = []
-        after: dict[tuple[int, int], tuple[int, int] | None] = {}
-        for t, of_row in pdf.groupby("truth_row", sort=False):
-            new = []
-            for g, s in zip(of_row["got_row"], of_row["s"], strict=True):
-                k = bisect_left(ends, place[g] + 1)
-                reached, after[t, g] = (most[k], heads[k]) if k < len(ends) else (0.0, None)
-                new.append((place[g], s + reached, g))
-            for i, total, g in new:
-                k = bisect_left(ends, i)
-                if k < len(ends) and total < most[k]:
-                    continue
-                to = k + (k < len(ends) and ends[k] == i)
-                while k and most[k - 1] <= total:
-                    k -= 1
-                ends[k:to], most[k:to], heads[k:to] = [i], [total], [(t, g)]
-        out, at = [], heads[0] if heads else None
-        while at:
-            out.append(at)
-            at = after[at]
-        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "truth_row": [t for t, _ in out], "got_row": [g for _, g in out]})
+    def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, doc in _whole_regions(batches):
+            rows = zip(doc.tolist(), *[table.column(c).to_pylist() for c in ("truth_row", "got_row", "s")], strict=True)
+            found = [(d, t, g) for d, own in groupby(rows, itemgetter(0)) for t, g in heaviest_chain(x[1:] for x in own)]
+            of, t, g = zip(*found, strict=True)
+            ids = table.column("doc").take(pa.array(np.searchsorted(doc, of)))
+            yield from pa.table([ids, pa.array(t, pa.int32()), pa.array(g, pa.int32())], names=["doc", "truth_row", "got_row"]).to_batches()
 
     pairs = row_similarity(truth, got, least)
     schema = f"doc {dict(pairs.dtypes)['doc']}, truth_row int, got_row int"
-    return pairs.groupBy("doc").applyInPandas(chain, schema)
+    return pairs.repartition("doc").sortWithinPartitions("doc", F.desc("truth_row"), F.desc("got_row")).mapInArrow(chains, schema)
 
 
 def cell_scores(truth: DataFrame, got: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -264,6 +264,30 @@ def test_a_column_of_one_value_brings_no_rows_together(spark):
     assert tuple(got) == (90_000, 90_000)
 
 
+def test_many_small_tables_are_aligned_in_batches(spark):
+    """20,000 tables of three rows, each without its second: one call for each would take minutes."""
+    cells = spark.range(60_000).select(F.floor(F.col("id") / 3).alias("doc"), (F.col("id") % 3).cast("int").alias("row"), F.posexplode(F.array(F.concat(F.lit("v"), F.col("id").cast("string")), F.lit("same"))).alias("col", "text"))
+    pairs = evaluate.align_rows(cells, cells.filter("row != 1"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    got = pairs.agg(F.count("*"), F.count_distinct("doc"), F.count_if(F.col("truth_row") == F.col("got_row"))).first()
+    assert tuple(got) == (40_000, 20_000, 40_000)
+
+
+def test_heaviest_chain_is_the_heaviest():
+    import random
+    from itertools import combinations
+
+    r = random.Random(5)
+    for _ in range(200):
+        pairs = sorted({(r.randint(0, 4), r.randint(0, 4)): r.randint(1, 4) / 4 for _ in range(r.randint(1, 8))}.items(), reverse=True)
+        chain = evaluate.heaviest_chain([(t, g, s) for (t, g), s in pairs])
+        weight = dict(pairs)
+        rising = lambda c: all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:], strict=False))
+        best = max(sum(weight[p] for p in c) for n in range(1, len(weight) + 1) for c in combinations(sorted(weight), n) if rising(c))
+        assert rising(chain) and sum(weight[p] for p in chain) == best
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from gridsmith.streaming import corrections
 
