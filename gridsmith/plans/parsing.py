@@ -141,7 +141,7 @@ def column_decimal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_context_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), cents(F.col("l_extendedprice")).alias("c"), "l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), cents(F.col("l_extendedprice")).alias("c"), "l_linenumber").repartition("table_id")  # a scan may have few parts
     price = F.when(F.col("table_id") % 3 == 0, money(F.col("c"))).when(F.col("table_id") % 3 == 1, money(F.col("c"), ".", ",")).otherwise(grouped(F.floor(F.col("c") / 100)))
     d = li.select("table_id", F.posexplode(F.array(price, grouped(F.floor(F.col("c") / 100)))).alias("col", "text"))
     cols = d.select("table_id", "col").distinct().withColumns({"type": F.lit("decimal"), "number_format": F.lit("auto")})

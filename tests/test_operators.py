@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import zipfile
 from datetime import datetime
 
@@ -288,6 +289,40 @@ def test_heaviest_chain_is_the_heaviest():
         assert rising(chain) and sum(weight[p] for p in chain) == best
 
 
+def test_typed_cells_are_read_by_one_python_step(spark):
+    """Numbers and shown date orders of typed cells come from one function; without types both still agree."""
+    from gridsmith.operators.normalize import contexts, with_readings
+
+    cells = spark.createDataFrame([(1, r, c, t, k) for r, row in enumerate([("1,5", "13/02/2020"), ("2,25", "01/02/2020")]) for c, (t, k) in enumerate(zip(row, ("decimal", "date"), strict=True))], "table_id int, row int, col int, text string, type string")
+    columns = spark.createDataFrame([(1, 0, "decimal", "auto"), (1, 1, "date", "auto")], "table_id int, col int, type string, number_format string")
+    settings = spark.createDataFrame([(1, "auto", "auto")], "table_id int, number_format string, date_order string")
+    typed, plain = (contexts(with_readings(d), columns, settings) for d in (cells, cells.drop("type")))
+    assert typed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, typed.collect())) == sorted(map(tuple, plain.collect()))
+    assert {r["col"]: (r["decimal"], r["date_order"]) for r in typed.collect()} == {0: (",", "auto"), 1: (None, "dmy")}
+
+
+def test_cells_of_orders_are_not_shuffled_for_their_contexts(spark):
+    from gridsmith.plans.fixtures import normalized_orders
+
+    plan = normalized_orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.splitlines() if "Join" in x)
+    assert re.search(r"table_id#\d+L = table_id#", join) and not re.search(r"col#\d+ = col#", join)
+
+
+def test_texts_of_lines_are_read_after_a_shuffle(spark):
+    """A scan of one row group is one task: evidence that needs no row numbers must not be read in it."""
+    from gridsmith.operators.normalize import with_readings
+    from gridsmith.plans import parsing
+    from gridsmith.plans.fixtures import order_cells
+
+    sf = "/root/testdata/sf0.001"
+    readings = with_readings(order_cells(spark, sf).filter("role = 'data'")).groupBy("table_id", "col").agg(F.count_if("skip"))
+    for d in (readings, parsing.table_context_resolution(spark, sf)):
+        plan = d._jdf.queryExecution().optimizedPlan().toString().split("ArrowEvalPython", 1)[1]
+        assert "RepartitionByExpression" in plan.split("Relation", 1)[0]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from gridsmith.streaming import corrections
 
