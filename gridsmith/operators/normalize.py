@@ -194,10 +194,11 @@ def identifier_header(header: Column) -> Column:
     return F.arrays_overlap(words, F.array(*[F.lit(k) for k in IDENTIFIER_WORDS if len(k) <= 3])) | F.exists(F.array(*[F.lit(k) for k in IDENTIFIER_WORDS if len(k) > 3]), lambda k: F.contains(low, k))
 
 
-def infer_types(readings: DataFrame, headers: DataFrame, number_format: Column | None = None, hints: DataFrame | None = None) -> DataFrame:
+def infer_types(readings: DataFrame, headers: DataFrame, number_format: Column | None = None, hints: DataFrame | None = None, by_data: bool = False) -> DataFrame:
     """table_id, col, type: one aggregation over the readings of all cells, then rules on its counts.
 
     headers: table_id, col, header.  hints: table_id, hint (a decimal mark); a number format, if given, comes first.
+    by_data: where a table's hint is null, it is the mark that its data show, told by the same aggregation.
     """
     d = parse_dates(readings.filter(~F.col("blank")), "value", "auto", "date")
     v = F.col("value")
@@ -213,9 +214,17 @@ def infer_types(readings: DataFrame, headers: DataFrame, number_format: Column |
         F.count_if(reads & whole("point") & whole("comma")).alias("fractions"), F.count_if(is_ambiguous()).alias("doubtful"),
         F.bool_or(fraction("point")).alias("point_fraction"), F.bool_or(fraction("comma")).alias("comma_fraction"),
         F.count_if(F.col("date.kind") != "invalid").alias("dates"), F.bool_and(v.rlike("^[0-9]{4}$")).alias("years"),
+        *([F.count_if(x).alias(f"__only_{name}") for x, name in zip(only_reading(), ("point", "comma"), strict=True)] if by_data else []),
     )
+    if by_data:
+        of_table = [F.sum(f"__only_{name}").over(Window.partitionBy("table_id")) for name in ("point", "comma")]
+        counted = counted.withColumns({"__p": of_table[0], "__q": of_table[1]})
+        counted = counted.withColumn("__shown", dominant(F.col("__p"), F.col("__q"))[0])
     c = headers.join(counted, ["table_id", "col"], "left").withColumn("__id", identifier_header(F.col("header")))
-    c = c.join(hints.select("table_id", "hint"), "table_id", "left") if hints is not None else c.withColumn("hint", F.lit(None).cast("string"))
+    if by_data:
+        c = c.join(hints.select("table_id", F.col("hint").alias("__hint"), F.lit(True).alias("__known")), "table_id", "left").withColumn("hint", F.coalesce("__hint", F.when(F.col("__known"), F.col("__shown"))))
+    else:
+        c = c.join(hints.select("table_id", "hint"), "table_id", "left") if hints is not None else c.withColumn("hint", F.lit(None).cast("string"))
     mark = F.coalesce(format_decimal(number_format), F.col("hint")) if number_format is not None else F.col("hint")
     settled = F.when(mark.isNull(), "decimal").when(F.when(mark == ".", F.col("point_fraction")).otherwise(F.col("comma_fraction")), "decimal").otherwise("integer")
     numbers = F.when(F.col("percents") * 2 >= F.col("numbers"), "percent").when(F.col("currencies") * 2 >= F.col("numbers"), "currency").when(F.col("fractions") > 0, "decimal").when(F.col("doubtful") > 0, settled).otherwise("integer")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridsmith.functions.text import column_letter, next_table_name
 from gridsmith.operators import grid, recipes, versions
-from gridsmith.operators.normalize import decimal_evidence, infer_types, with_readings
+from gridsmith.operators.normalize import infer_types, with_readings
 from gridsmith.sources.store import Store
 
 
@@ -37,18 +37,16 @@ def created_tables(segments: DataFrame, existing: DataFrame, recipe: DataFrame |
     return d.select("table_id", "document_id", "name", F.coalesce("__f", "number_format").alias("number_format"), F.coalesce("__o", "date_order").alias("date_order"), "recipe_id", "recipe_version")
 
 
-def _hints(readings: DataFrame, settings: DataFrame) -> DataFrame:
-    """table_id, hint: the decimal mark of a table's format, or else of its data."""
-    found = decimal_evidence(readings, ["table_id"]).select("table_id", F.col("decimal").alias("__d"))
+def _hints(settings: DataFrame) -> DataFrame:
+    """table_id, hint: the decimal mark of a table's format, null where its data tell."""
     fixed = F.when(F.col("number_format").isin("pointDecimal", "apostrophePointDecimal"), ".").when(F.col("number_format").isin("commaDecimal", "spaceCommaDecimal"), ",")
-    return settings.join(found, "table_id", "left").select("table_id", F.coalesce(fixed, "__d").alias("hint"))
+    return settings.select("table_id", fixed.alias("hint"))
 
 
 def suggested_types(cells: DataFrame, rows: DataFrame, headers: DataFrame, settings: DataFrame) -> DataFrame:
     """table_id, col, type: what the texts of data rows suggest, under the table's number format."""
     data = cells.join(rows.filter("role = 'data'").select("table_id", "row"), ["table_id", "row"], "left_semi").select("table_id", "row", "col", "text")
-    readings = with_readings(data)
-    return infer_types(readings, headers, hints=_hints(readings, settings))
+    return infer_types(with_readings(data), headers, hints=_hints(settings), by_data=True)
 
 
 def built_version(extracted: DataFrame, sizes: DataFrame, settings: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

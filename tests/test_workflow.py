@@ -101,3 +101,17 @@ def test_a_queue_keeps_failures_apart(spark):
     status, done = workflow.run_queue(jobs, lambda j: cells.join(j.select("job_id"), "job_id"), F.col("job_id") == 3)
     assert {r["job_id"]: (r["status"], r["error"]) for r in status.collect()} == {0: ("completed", None), 1: ("failed", "unreadable"), 2: ("failed", "no table found"), 3: ("failed", "cancelled")}
     assert [r["text"] for r in done.collect()] == ["x"]
+
+
+def test_types_are_suggested_in_one_reading(spark):
+    """The mark that a table's data show is told by the aggregation that tells types; a table that has no settings has no hint."""
+    from gridsmith.operators import workflow
+
+    texts = {1: ["1.5", "2.5", "1,234"], 2: ["1,234"], 3: ["1.5", "2.5", "1,234"]}
+    cells = spark.createDataFrame([(t, r, int(x == "1,234"), x) for t, xs in texts.items() for r, x in enumerate(xs)], "table_id int, row int, col int, text string")
+    rows = cells.selectExpr("table_id", "row", "'data' role")
+    headers = cells.selectExpr("table_id", "col", "'' header").distinct()
+    settings = spark.createDataFrame([(1, "auto"), (2, "commaDecimal")], "table_id int, number_format string")
+    d = workflow.suggested_types(cells, rows, headers, settings)
+    assert {(r.table_id, r.col): r.type for r in d.collect()} == {(1, 0): "decimal", (1, 1): "integer", (2, 1): "decimal", (3, 0): "decimal", (3, 1): "decimal"}
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython [read") == 2  # texts, and then dates
