@@ -164,14 +164,15 @@ _OLD_CELLS = "table_id long, run_id string, row int, col int, extracted_text str
 _OLD_COLUMNS = "table_id long, col int, name string, type string, source_header string, type_confirmed boolean"
 
 
-def _pointers(store: Store) -> DataFrame:
+def _pointers(store: Store, at: int | None = None) -> DataFrame:
     """table_id, run_id: the current run of each table that has one."""
-    return store.current("tables", schema="table_id long, current_run_id string").filter("current_run_id is not null").select("table_id", F.col("current_run_id").alias("run_id"))
+    return store.current("tables", at, "table_id long, current_run_id string").filter("current_run_id is not null").select("table_id", F.col("current_run_id").alias("run_id"))
 
 
-def current_cells(store: Store) -> DataFrame:
-    """Cells of every table's current run."""
-    return store.current("cells", schema=_OLD_CELLS).drop("table_id").join(_pointers(store), "run_id")
+def current_cells(store: Store, at: int | None = None, places: DataFrame | None = None) -> DataFrame:
+    """Cells of every table's current run, or those of them at places (run_id, row, col, each once); other runs' cells are not put together."""
+    runs = _pointers(store, at)
+    return store.current("cells", at, _OLD_CELLS, runs if places is None else places.join(runs, "run_id"))
 
 
 def _logged(log: DataFrame, version: int) -> DataFrame:
@@ -189,9 +190,8 @@ def commit_extraction(store: Store, extracted: DataFrame, sizes: DataFrame, tabl
     another commit comes between, store.Conflict is raised and nothing has changed.
     """
     base = store.version()
-    pointers = _pointers(store)
-    old = store.current("cells", base, _OLD_CELLS).drop("table_id").join(pointers, "run_id")
-    old_rows = store.current("rows", base, "run_id string, row int, role string").join(pointers, "run_id").select("table_id", "row", "role")
+    old = current_cells(store, base)
+    old_rows = store.current("rows", base, "run_id string, row int, role string", _pointers(store, base)).select("table_id", "row", "role")
     if failed is not None:
         sizes = sizes.join(failed.select("table_id"), "table_id", "left_anti")
         extracted = extracted.join(failed.select("table_id"), "table_id", "left_anti")
@@ -220,24 +220,46 @@ def _with_ids(cells: DataFrame) -> DataFrame:
     return cells.withColumn("cell_id", F.concat_ws(":", "run_id", "row", "col"))
 
 
-def _edited(store: Store, change: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> int:
-    """One commit of what a change does to the cells' corrected_text and review, and of its log."""
-    base = store.version()
-    cells = _with_ids(current_cells(store))
-    after, log = change(cells)
-    places = cells.select("cell_id", "run_id", "row", "col")
-    touched = after.join(log.select("cell_id").distinct(), "cell_id", "left_semi").select("run_id", "row", "col", "corrected_text", "review")
-    return store.commit({"cells": touched, "corrections": _logged(log.join(places, "cell_id"), base + 1)}, base=base)
+def _places(ids: DataFrame) -> DataFrame:
+    """run_id, row, col: where cell ids lead to, each once."""
+    part = lambda i: F.regexp_extract("cell_id", r"(?s)^(.*):(-?\d+):(-?\d+)$", i)
+    return ids.select(part(1).alias("run_id"), part(2).try_cast("int").alias("row"), part(3).try_cast("int").alias("col")).distinct()
+
+
+def _edited(store: Store, edits: DataFrame, change: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], reads: tuple[str, ...] = ("extracted_text", "corrected_text", "review"), cells: DataFrame | None = None, base: int | None = None) -> int:
+    """One commit of what a change does, by edits (cell_id and more), to the cells' corrected_text and review, and of its log.
+
+    Of a cell's edits one counts.  Edits, and what the change reads of the cells that they name, are kept while the commit's parts read them;
+    other cells are not put together.  cells, base: those cells, as the caller has read them at a version.
+    """
+    base = store.version() if base is None else base
+    edits = edits.dropDuplicates(["cell_id"]).persist()
+    cells = current_cells(store, base, _places(edits)) if cells is None else cells
+    cells = _with_ids(cells.select("table_id", "run_id", "row", "col", *reads)).persist()
+    try:
+        after, log = change(cells, edits)
+        places = cells.select("cell_id", "run_id", "row", "col")
+        touched = after.join(log.select("cell_id").distinct(), "cell_id", "left_semi").select("run_id", "row", "col", "corrected_text", "review")
+        return store.commit({"cells": touched, "corrections": _logged(log.join(places, "cell_id"), base + 1)}, base=base)
+    finally:
+        cells.unpersist()
+        edits.unpersist()
 
 
 def edit_texts(store: Store, edits: DataFrame) -> int:
     """Stores edits (cell_id, text) of current cells, in bulk, with their log; the extracted text takes a correction back."""
-    return _edited(store, lambda cells: versions.set_texts(cells, edits))
+    return _edited(store, edits, versions.set_texts)
+
 
+def mark_reviews(store: Store, marks: DataFrame, cells: DataFrame | None = None, base: int | None = None) -> int:
+    """Stores review states (cell_id, review) of current cells with their log.
 
-def mark_reviews(store: Store, marks: DataFrame) -> int:
-    """Stores review states (cell_id, review) of current cells with their log."""
-    return _edited(store, lambda cells: versions.set_reviews(cells, marks))
+    cells, base: current_cells() at a version, or those of them that marks name, where marks were made of them: they are not read again,
+    and store.Conflict is raised if another commit has come since.
+    """
+    if (cells is None) != (base is None):
+        raise ValueError("cells are given with the version that they were read at")
+    return _edited(store, marks, versions.set_reviews, ("corrected_text", "review"), cells, base)
 
 
 def cleared(cells: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -255,10 +277,10 @@ def take_back(store: Store, version: int) -> int:
     log = store.current("corrections").filter((F.col("in_version") == version) & F.col("kind").isin("edit", "undo", "redo"))
     edits = log.select("cell_id", F.col("before").alias("text"), F.col("after").alias("__after"))
 
-    def change(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def change(cells: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
         same = cells.select("cell_id", F.coalesce("corrected_text", "extracted_text").alias("__now"))
         still = edits.join(same, "cell_id").filter(F.col("__now") == F.col("__after"))
         after, done = versions.set_texts(cells, still.select("cell_id", "text"))
         return after, done.withColumn("kind", F.lit("undo"))
 
-    return _edited(store, change)
+    return _edited(store, edits, change)

@@ -6,31 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsmith.operators import evaluate, versions, workflow
-from gridsmith.plans.fixtures import money, order_lines, table
-from gridsmith.sources.scratch import scratch_path
+from gridsmith.plans.fixtures import money, order_lines
+from gridsmith.sources.scratch import scratch_path, written
 from gridsmith.sources.store import Store
 
 
-def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_id, row (from 1), part, cents: the lines of each order, put together and numbered once for all that is made of them."""
+    return written(order_lines(spark, sf_dir).select("table_id", (F.col("row") + 1).alias("row"), "part", "cents"))
+
+
+def _first(lines: DataFrame) -> DataFrame:
     """The first extraction: lines up to the sixth, a quarter corrected, a third reviewed."""
     fixed, seen = F.when(F.col("part") % 4 == 0, "corrected"), F.when(F.col("part") % 3 == 0, "reviewed").otherwise("unreviewed")
-    lines = order_lines(spark, sf_dir).withColumn("row", F.col("row") + 1).filter("row < 7")
-    return lines.select("table_id", "row", F.lit(0).alias("col"), money(F.col("cents")).alias("extracted_text"), fixed.alias("corrected_text"), seen.alias("review"))
+    return lines.filter("row < 7").select("table_id", "row", F.lit(0).alias("col"), money(F.col("cents")).alias("extracted_text"), fixed.alias("corrected_text"), seen.alias("review"))
 
 
-def _second(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _second(lines: DataFrame) -> DataFrame:
     """The second extraction: lines from the second on, with other marks, a fifth with another price."""
-    lines = order_lines(spark, sf_dir).withColumn("row", F.col("row") + 1).filter("row > 1")
     changed = F.when(F.col("part") % 5 == 0, F.col("cents") + 1).otherwise(F.col("cents"))
-    return lines.select("table_id", "row", F.lit(0).alias("col"), F.concat(F.lit(" "), money(changed, ".", ",")).alias("extracted_text"))
+    return lines.filter("row > 1").select("table_id", "row", F.lit(0).alias("col"), F.concat(F.lit(" "), money(changed, ".", ",")).alias("extracted_text"))
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> Store:
+def _stored(spark: SparkSession, lines: DataFrame) -> Store:
     """A store with a first run of every order, of documents of fifty."""
     store = Store(spark, scratch_path(spark))
-    old = _first(spark, sf_dir)
+    old = _first(lines)
     run = F.concat(F.lit("a"), F.col("table_id"))
-    tables = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id")).distinct()
+    tables = lines.filter("row = 1").select("table_id")
     document = (F.col("table_id") % 50).alias("document_id")
     store.commit({
         "documents": tables.select(document).distinct(), "tables": tables.select("table_id", document, run.alias("current_run_id")), "runs": tables.select(run.alias("run_id"), "table_id", F.lit("completed").alias("status")),
@@ -41,23 +44,26 @@ def _stored(spark: SparkSession, sf_dir: str) -> Store:
 
 def stored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells after three commits: a first run, a second one that corrections carry over to, and a review of some conflicts."""
-    store = _stored(spark, sf_dir)
-    new = _second(spark, sf_dir)
-    carried = versions.carry_over(workflow.current_cells(store), new)
+    lines = _lines(spark, sf_dir)
+    store = _stored(spark, lines)
+    carried = versions.carry_over(workflow.current_cells(store), _second(lines))
     run = F.concat(F.lit("b"), F.col("table_id"))
-    tables = new.select("table_id").distinct()
+    tables = lines.filter("row = 2").select("table_id")
     store.commit({
         "cells": carried.select(run.alias("run_id"), "row", "col", "extracted_text", "corrected_text", "review", "flags"), "runs": tables.select(run.alias("run_id"), "table_id", F.lit("completed").alias("status")),
         "tables": tables.select("table_id", run.alias("current_run_id")),
     })
-    cells = workflow._with_ids(workflow.current_cells(store))
-    workflow.mark_reviews(store, cells.filter("review = 'needsReview' and row % 3 = 0").select("cell_id", F.lit("reviewed").alias("review")))
+    base = store.version()
+    cells = workflow._with_ids(workflow.current_cells(store, base).select("table_id", "run_id", "row", "col", "corrected_text", "review"))
+    chosen = cells.filter("review = 'needsReview' and row % 3 = 0").persist()
+    workflow.mark_reviews(store, chosen.select("cell_id", F.lit("reviewed").alias("review")), chosen, base)
+    chosen.unpersist()
     return workflow.current_cells(store).select("table_id", "run_id", "row", "corrected_text", "review", F.array_join("flags", ",").alias("flags"))
 
 
 def stored_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of cells once every tenth document is deleted with all that hangs on it."""
-    store = _stored(spark, sf_dir)
+    store = _stored(spark, _lines(spark, sf_dir))
     store.delete("documents", store.current("documents").filter("document_id % 10 = 0"))
     return workflow.current_cells(store).select("table_id", "run_id", "row", "corrected_text", "review")
 

@@ -16,7 +16,7 @@ import uuid
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 #: the keys of each kind of row, and what its rows hang on: kind -> (keys, kind of the parent, the parent's key)
 KINDS: dict[str, tuple[list[str], str | None, str | None]] = {
@@ -26,7 +26,7 @@ KINDS: dict[str, tuple[list[str], str | None, str | None]] = {
 }
 #: rows of these stay as they were first written
 INSERT_ONLY = {"corrections"}
-_OWN = [StructField("__version", LongType()), StructField("__deleted", BooleanType()), StructField("__set", ArrayType(StringType()))]
+_OWN = [StructField("__version", LongType()), StructField("__deleted", BooleanType())]
 
 
 class Conflict(RuntimeError):
@@ -64,15 +64,14 @@ class Store:
             keys = KINDS[kind][0]
             parts = []
             if kind in rows:
-                fields = [c for c in rows[kind].columns if c not in keys]
-                parts.append(rows[kind].withColumns({"__deleted": F.lit(False), "__set": F.array(*map(F.lit, fields)).cast("array<string>")}))
+                parts.append(rows[kind].withColumn("__deleted", F.lit(False)))
             if kind in deleted:
-                parts.append(deleted[kind].select(*keys).distinct().withColumns({"__deleted": F.lit(True), "__set": F.lit(None).cast("array<string>")}))
+                parts.append(deleted[kind].select(*keys).distinct().withColumn("__deleted", F.lit(True)))
             data = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
             path = f"data/{kind}/{uuid.uuid4().hex}"
             data.withColumn("__version", F.lit(base + 1).cast("long")).write.parquet(f"{self.root}/{path}")
             own = StructType([f for f in data.schema.fields if not f.name.startswith("__")])
-            named[kind] = {"path": path, "schema": own.jsonValue(), "whole": whole}
+            named[kind] = {"path": path, "schema": own.jsonValue(), "whole": whole, "deletes": kind in deleted}
         self._publish({"version": base + 1, "kinds": named})
         return base + 1
 
@@ -95,51 +94,80 @@ class Store:
         files.delete(path(tmp), True)
         raise Conflict(f"version {manifest['version']} is taken")
 
-    def history(self, kind: str, at: int | None = None) -> DataFrame | None:
-        """Every row that was written of a kind up to a version, with __version, __deleted and __set; None if there is none.
+    def _parts(self, kind: str, at: int | None = None) -> list[dict]:
+        """What versions name of a kind, from its last base on: version, path, fields by name, and whether keys may be deleted."""
+        own = [m["kinds"][kind] | {"version": m["version"]} for m in self._manifests(at) if kind in m["kinds"]]
+        last = max((i for i, p in enumerate(own) if p["whole"]), default=0)
+        read = lambda p: {f.name: f.dataType for f in StructType.fromJson(p["schema"]).fields}
+        return [{"version": p["version"], "path": p["path"], "fields": read(p), "deletes": p.get("deletes", True)} for p in own[last:]]
 
-        One scan, whatever the number of commits: fields that a commit did not know are null.
-        """
-        parts = [m["kinds"][kind] for m in self._manifests(at) if kind in m["kinds"]]
-        last = max((i for i, p in enumerate(parts) if p["whole"]), default=0)
+    def _rows(self, kind: str, parts: list[dict]) -> DataFrame | None:
+        """The rows of parts in one scan, whatever their number, with __version and __deleted: fields that a commit did not know are null."""
         fields: dict[str, StructField] = {}
-        for p in parts[last:]:
-            for f in StructType.fromJson(p["schema"]).fields:
-                if f.name in fields and fields[f.name].dataType != f.dataType:
-                    raise PySparkException(f"{kind}.{f.name} is {fields[f.name].dataType.simpleString()} and {f.dataType.simpleString()}")
-                fields.setdefault(f.name, StructField(f.name, f.dataType, True))
+        for p in parts:
+            for name, of in p["fields"].items():
+                if name in fields and fields[name].dataType != of:
+                    raise PySparkException(f"{kind}.{name} is {fields[name].dataType.simpleString()} and {of.simpleString()}")
+                fields.setdefault(name, StructField(name, of, True))
         if not fields:
             return None
-        return self.spark.read.schema(StructType([*fields.values(), *_OWN])).parquet(*[f"{self.root}/{p['path']}" for p in parts[last:]])
+        return self.spark.read.schema(StructType([*fields.values(), *_OWN])).parquet(*[f"{self.root}/{p['path']}" for p in parts])
 
-    def current(self, kind: str, at: int | None = None, schema: str | None = None) -> DataFrame | None:
-        """The rows of a kind as they are, or were at a version: keys and fields.  None, or an empty table of schema, if there is none."""
-        d = self.history(kind, at)
+    def history(self, kind: str, at: int | None = None) -> DataFrame | None:
+        """Every row that was written of a kind up to a version, with __version, __deleted and __set, the fields it sets; None if there is none."""
+        parts = self._parts(kind, at)
+        d = self._rows(kind, parts)
         if d is None:
-            return None if schema is None else self.spark.createDataFrame([], schema)
+            return None
+        sets = [x for p in parts for x in (F.lit(p["version"]).cast("long"), F.array(*[F.lit(c) for c in p["fields"] if c not in KINDS[kind][0]]).cast("array<string>"))]
+        return d.withColumn("__set", F.when(~F.col("__deleted"), F.element_at(F.create_map(*sets), F.col("__version"))))
+
+    def current(self, kind: str, at: int | None = None, schema: str | None = None, of: DataFrame | None = None) -> DataFrame | None:
+        """The rows of a kind as they are, or were at a version: keys and fields.  None, or an empty table of schema, if there is none.
+
+        of: some keys of the kind, each once for what else it has.  Only rows with these keys are put together, and its other columns come
+        along, instead of fields of their names.
+        """
+        parts = self._parts(kind, at)
+        d = self._rows(kind, parts)
+        if d is None and schema is None:
+            return None
         keys = KINDS[kind][0]
-        fields = [c for c in d.columns if c not in keys and not c.startswith("__")]
-        pick, edge = (F.min_by, F.min) if kind in INSERT_ONLY else (F.max_by, F.max)
+        more = [] if of is None else [c for c in of.columns if c not in keys]
+        some = lambda x: x if of is None else x.drop(*more).join(of.hint("shuffle_hash"), [c for c in of.columns if c in keys])
+        if d is None:
+            return some(self.spark.createDataFrame([], schema))
+        d = some(d)
+        fields = [c for c in d.columns if c not in keys and c not in more and not c.startswith("__")]
+        live = ~F.col("__deleted")
+        if len(parts) == 1:  # a key is in a commit at most once, and its row outlasts its deletion
+            return d.filter(live).select(*keys, *more, *fields)
+        pick = F.min_by if kind in INSERT_ONLY else F.max_by
         v = F.col("__version")
 
-        def where(ok: Column, x: Column) -> Column:
-            return F.when(ok, x)
+        def found(c: str) -> Column:
+            setting = [p["version"] for p in parts if c in p["fields"]]
+            ok = live if len(setting) == len(parts) else live & v.isin(setting)
+            return pick(F.struct(v.alias("v"), F.col(c).alias("x")), F.when(ok, v)).alias(f"__x_{c}")
 
-        live = ~F.col("__deleted")
-        sets = {c: live & F.array_contains("__set", c) for c in fields}
-        found = [F.max(where(F.col("__deleted"), v)).alias("__gone"), F.max(where(live, v)).alias("__born")]
-        found += [pick(F.struct(F.col(c).alias("x")), where(sets[c], v)).alias(f"__x_{c}") for c in fields] + [edge(where(sets[c], v)).alias(f"__v_{c}") for c in fields]
-        d = d.groupBy(*keys).agg(*found)
+        each = [found(c) for c in fields]
+        if not any(p["deletes"] for p in parts):
+            values = [F.col(f"__x_{c}")["x"].alias(c) for c in fields]
+            return (d.groupBy(*keys, *more).agg(*each) if each else d.select(*keys, *more).distinct()).select(*keys, *more, *values)
+        edges = [F.max(F.when(F.col("__deleted"), v)).alias("__gone"), F.max(F.when(live, v)).alias("__born")]
         gone = F.coalesce("__gone", F.lit(-1))
-        values = [F.when(F.col(f"__v_{c}") >= gone, F.col(f"__x_{c}")["x"]).alias(c) for c in fields]
-        return d.filter(F.col("__born") >= gone).select(*keys, *values)
+        values = [F.when(F.col(f"__x_{c}")["v"] >= gone, F.col(f"__x_{c}")["x"]).alias(c) for c in fields]
+        return d.groupBy(*keys, *more).agg(*edges, *each).filter(F.col("__born") >= gone).select(*keys, *more, *values)
 
     def hanging_on(self, kind: str, keys: DataFrame) -> dict[str, DataFrame]:
         """The keys to delete with those of a kind: of the kind itself and of all that hangs on it, level by level."""
         gone = {kind: keys.select(*KINDS[kind][0]).distinct()}
         for child, (own, parent, key) in KINDS.items():  # parents come first
-            if parent in gone and (d := self.current(child)) is not None:
-                gone[child] = d.join(gone[parent].select(key).distinct(), key, "left_semi").select(*own)
+            if parent in gone:
+                held = gone[parent].select(key).distinct()
+                d = self.current(child, of=held if key in own else None)
+                if d is not None:
+                    gone[child] = (d if key in own else d.join(held, key, "left_semi")).select(*own)
         return gone
 
     def delete(self, kind: str, keys: DataFrame, base: int | None = None) -> int:

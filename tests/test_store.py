@@ -110,3 +110,62 @@ def test_the_life_of_a_table_in_the_store(spark, store):
     workflow.edit_texts(store, workflow.restored(workflow._with_ids(workflow.current_cells(store)), every))
     assert {r.corrected_text for r in now().values()} == {None}
     assert {r.kind for r in store.current("corrections").collect()} == {"edit", "review", "carriedOver", "conflict", "undo"}
+
+
+def test_an_edit_takes_its_edits_once_and_reads_the_cells_that_they_name(spark, store, monkeypatch):
+    make = spark.createDataFrame
+    store.commit({
+        "tables": make([(1, "a1"), (2, "a2"), (3, None)], "table_id long, current_run_id string"),
+        "cells": make([(run, r, 0, f"{run}{r}", None, "unreviewed") for run in ("a1", "a2", "old") for r in range(4)], "run_id string, row int, col int, extracted_text string, corrected_text string, review string"),
+    })
+    taken, read = spark.sparkContext.accumulator(0), []
+
+    @F.udf("string")
+    def counted(x):
+        taken.add(1)
+        return x
+
+    put_together = workflow.current_cells
+    monkeypatch.setattr(workflow, "current_cells", lambda *a: read.append(put_together(*a)) or read[-1])
+    ids = ["a1:1:0", "a2:3:0", "a2:3:0", "old:1:0", "a1:01:0", "none", "a1:9:0"]
+    workflow.mark_reviews(store, make([(x, "reviewed") for x in ids], "cell_id string, review string").select(counted(F.col("cell_id")).alias("cell_id"), "review"))
+    assert taken.value == len(ids)
+    assert rows(put_together(store).filter("review = 'reviewed'"), "run_id", "row", "extracted_text") == [("a1", 1, "a11"), ("a2", 3, "a23")]
+    assert rows(store.current("corrections"), "table_id", "row", "before", "after") == [(1, 1, "unreviewed", "reviewed"), (2, 3, "unreviewed", "reviewed")]
+    assert len(read) == 1 and rows(read[0], "run_id", "row") == [("a1", 1), ("a2", 3)]
+
+
+def test_cells_that_were_read_are_not_read_again_and_another_commit_is_a_conflict(spark, store, monkeypatch):
+    make = spark.createDataFrame
+    some = make([("a1", r, 0, "x", None, "unreviewed") for r in range(3)], "run_id string, row int, col int, extracted_text string, corrected_text string, review string")
+    store.commit({"tables": make([(1, "a1")], "table_id long, current_run_id string"), "cells": some})
+    base = store.version()
+    cells = workflow._with_ids(workflow.current_cells(store, base)).filter("row > 0")
+    marks = cells.select("cell_id", F.lit("reviewed").alias("review"))
+    with monkeypatch.context() as m:
+        m.setattr(workflow, "current_cells", None)
+        assert workflow.mark_reviews(store, marks, cells, base) == 2
+    assert rows(workflow.current_cells(store), "row", "review") == [(0, "unreviewed"), (1, "reviewed"), (2, "reviewed")]
+    with pytest.raises(Conflict):
+        workflow.mark_reviews(store, marks, cells, base)
+    with pytest.raises(ValueError):
+        workflow.mark_reviews(store, marks, cells)
+
+
+def test_rows_of_some_keys_are_merged_deleted_and_compacted_like_all(spark, store):
+    make = spark.createDataFrame
+    keys = "run_id string, row int, col int"
+    store.commit({"cells": make([(run, r, 0, f"{run}{r}") for run in "abc" for r in range(3)], f"{keys}, text string")})
+    assert "Aggregate" not in store.current("cells")._jdf.queryExecution().toString()  # one commit has a key once
+    store.commit({"cells": make([("a", 1, 0, 7), ("b", 1, 0, 8), ("d", 0, 0, 9)], f"{keys}, mark int")})
+    store.commit({"cells": make([("b", 2, 0, "new")], f"{keys}, text string")}, deleted={"cells": make([("a", 1, 0), ("b", 2, 0), ("c", 0, 0)], keys)})
+    of = make([("a", 1), ("b", 2), ("b", 3), ("none", 4), ("d", 5)], "run_id string, place int")
+    want = store.current("cells").join(of, "run_id")
+    fields = ("run_id", "row", "text", "mark", "place")
+    got = rows(store.current("cells", of=of), *fields)
+    assert got == rows(want, *fields) and ("b", 2, "new", None, 3) in got and len(got) == 9
+    assert [r[1] for r in got if r[0] == "a"] == [0, 2]
+    assert rows(store.current("cells", of=of, at=1), "run_id", "row", "place") == sorted([("a", r, 1) for r in range(3)] + [("b", r, p) for r in range(3) for p in (2, 3)], key=str)
+    assert {(r["__version"], None if r["__set"] is None else tuple(r["__set"])) for r in store.history("cells").collect()} == {(1, ("text",)), (2, ("mark",)), (3, ("text",)), (3, None)}
+    store.compact("cells")
+    assert rows(store.current("cells", of=of), *fields) == got
