@@ -43,3 +43,16 @@ def test_a_result_without_cells_stays_open(spark):
     results = spark.createDataFrame([row(0, []), row(1, ["a", "b"]), row(2, ["b"]), row(3, ["gone"]), row(4, [None]), row(5, None)], schema)
     cells = spark.createDataFrame([(1, "a", "unreviewed"), (1, "b", "reviewed"), (1, "b", "reviewed"), (2, "gone", "reviewed")], "table_id int, cell_id string, review string")
     assert sorted(r["row"] for r in rules.unresolved(results, cells).collect()) == [0, 1, 3, 4, 5]
+
+
+def test_row_shapes_meet_by_row(no_broadcast):
+    """A position is no row: columns and what cells cover are arrays, also of spans, of rows without cells and of rows named twice."""
+    spark = no_broadcast
+    cells = [(1, 0, 0, 2, 2), (1, 0, 2, 1, 1), (1, 1, 2, 1, 1), (1, 2, 1, 1, 1), (1, 4, 0, 0, 3), (2, 0, 0, 1, 1)]
+    cells = spark.createDataFrame([(*c, f"c{i}", "data", []) for i, c in enumerate(cells)], "table_id int, row int, col int, row_span int, col_span int, cell_id string, role string, flags array<string>")
+    rows = spark.createDataFrame([(1, r, "data") for r in (0, 1, 2, 2, 3, 4)] + [(2, 0, "data"), (2, 1, "total")], "table_id int, row int, role string")
+    columns = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0)], "table_id int, col int")
+    results, tested = rules.check_row_shape(cells, rows, columns)
+    assert not [x for x in moved(results) if "col#" in x]
+    gaps = sorted((r["table_id"], r["row"], r["col"]) for r in results.collect() if not r["cell_ids"])
+    assert gaps == [(1, 2, 0), (1, 3, 0)] and {r["table_id"]: r["tested"] for r in tested.collect()} == {1: 6, 2: 1}
