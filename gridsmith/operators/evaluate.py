@@ -25,9 +25,10 @@ def row_similarity(truth: DataFrame, got: DataFrame, least: float = 0.0) -> Data
 
     Such rows share more than least * n cells, so at least one of the n - floor(least * n) of the truth row that are
     rarest in their column: rows meet on these alone, and are compared whole then.  A value that all rows of a column
-    have brings no rows together unless it alone is enough.  Both sides are written once, as several steps read them.
+    have brings no rows together unless it alone is enough.  Both sides are written once by document, as several steps
+    read them: none of these moves a cell.
     """
-    filled = lambda cells, row: written(cells.select("doc", F.col("row").alias(row), "col", clean(F.coalesce("text", F.lit(""))).alias("t")).filter("doc is not null and t != ''"))
+    filled = lambda cells, row: written(cells.select("doc", F.col("row").alias(row), "col", clean(F.coalesce("text", F.lit(""))).alias("t")).filter("doc is not null and t != ''"), "doc")
     t, g = filled(truth, "truth_row"), filled(got, "got_row")
     often = g.groupBy("doc", "col", "t").agg(F.count("*").alias("often"))
     rare = F.row_number().over(Window.partitionBy("doc", "truth_row").orderBy("often", "col"))

@@ -56,3 +56,12 @@ def test_row_shapes_meet_by_row(no_broadcast):
     assert not [x for x in moved(results) if "col#" in x]
     gaps = sorted((r["table_id"], r["row"], r["col"]) for r in results.collect() if not r["cell_ids"])
     assert gaps == [(1, 2, 0), (1, 3, 0)] and {r["table_id"]: r["tested"] for r in tested.collect()} == {1: 6, 2: 1}
+
+
+def test_row_alignment_moves_no_cell(no_broadcast):
+    from gridsmith.operators import evaluate
+
+    cells = no_broadcast.createDataFrame([("d", r, c, f"{r}{c}") for r in range(4) for c in range(2)], "doc string, row int, col int, text string")
+    pairs = evaluate.align_rows(cells, cells.filter("row != 1"))
+    assert not moved(pairs)
+    assert sorted(map(tuple, pairs.select("truth_row", "got_row").collect())) == [(0, 0), (2, 2), (3, 3)]
