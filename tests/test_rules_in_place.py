@@ -65,3 +65,15 @@ def test_row_alignment_moves_no_cell(no_broadcast):
     pairs = evaluate.align_rows(cells, cells.filter("row != 1"))
     assert not moved(pairs)
     assert sorted(map(tuple, pairs.select("truth_row", "got_row").collect())) == [(0, 0), (2, 2), (3, 3)]
+
+
+def test_next_issue_writes_and_tells_only_what_it_reads(spark):
+    """Of norm the fields that rules read, and of rules the one it asks for: no other message is made."""
+    cells = reviewing._checked_once(spark, SF)
+    assert {f.name for f in cells.schema["norm"].dataType} == {"kind", "canonical", "fraction_digits", "had_leading_zeros"}
+    plan = reviewing.next_issue(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "leading_zeros" not in plan.replace("had_leading_zeros", "") and "low_score" not in plan
+    some, every = rules.check_cells(cells, only=("convert",)), rules.check_cells(cells)
+    for a, b in zip(some, every, strict=True):
+        b = b.filter("rule = 'convert'")
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
